@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import token_counts
+from docloom.llm import quality_rules, token_counts
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -26,3 +26,13 @@ def tokenizer_path(name: str) -> str:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_rules.apply_policy(quality_rules.ledger(docs.select("doc_id", "text")))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+ORACLES["op4_quality_rules"] = quality_rules.SQL
