@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import quality_rules, token_counts
+from docloom.llm import quality_crf, quality_rules, token_counts
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -36,3 +37,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_quality_rules"] = quality_rules.SQL
+
+
+@query
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(quality_crf.remainder(F.col("doc_id"), quality_crf.HELD_OUT_OF) == quality_crf.HELD_OUT, F.lit(False))
+    return quality_crf.classify(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
