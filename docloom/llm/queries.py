@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, quality_crf, quality_rules, token_counts
+from docloom.llm import nearest, packing, quality_crf, quality_rules, simhash, token_counts
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -57,3 +57,15 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = quality_crf.train(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(quality_crf.remainder(F.col("doc_id"), quality_crf.HELD_OUT_OF) == quality_crf.HELD_OUT, F.lit(False))
     return quality_crf.classify(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
