@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import nearest, packing, quality_crf, quality_rules, simhash, token_counts
+from docloom.llm import chat, html_text, mixing, nearest, packing, quality_crf, quality_rules, simhash, token_counts
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -69,3 +69,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "p_clean", "p_low", "p_toxic", "n_tokens", "rate", "copies")
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat"] = chat.SQL
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
