@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, html_text, mixing, nearest, packing, quality_crf, quality_rules, simhash, token_counts
+from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, quality_crf, quality_rules, simhash, token_counts
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -89,3 +89,10 @@ ORACLES["op7_chat"] = chat.SQL
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality_crf.remainder(F.col("doc_id"), language_model.TRAIN_OF) == language_model.HELD_OUT
+    return language_model.score(docs, held_out)
