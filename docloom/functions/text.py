@@ -86,7 +86,7 @@ def roman_to_int(text: Column) -> Column:
 
 def detect_numbering(text: Column) -> Column:
     """(style, marker) of a line's leading number: the first form that fits; a roman form must be a roman number."""
-    out = F.lit(None).cast("struct<style:string,marker:string>")
+    text, out = F.trim(text), F.lit(None).cast("struct<style:string,marker:string>")
     for pattern, style in reversed(MARKERS):
         marker = F.regexp_extract(text, pattern, 1)
         fits = text.rlike(pattern)

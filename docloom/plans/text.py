@@ -56,7 +56,7 @@ def detect_numbering(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES ('iv', 4), ('MCMXCIV', 1994), ('iix', 10), ('x', 10), ('abc', NULL), ('', NULL), ('mmmm', NULL)) AS t(roman, number)""")
+SELECT * FROM (VALUES ('iv', 4), ('MCMXCIV', 1994), ('iix', 8), ('x', 10), ('abc', NULL), ('', NULL), ('mmmm', NULL)) AS t(roman, number)""")
 def roman_to_int(spark, sf_dir):
     rows = [(x,) for x in ("iv", "MCMXCIV", "iix", "x", "abc", "", "mmmm")]
     return spark.createDataFrame(rows, "roman string").withColumn("number", T.roman_to_int(F.col("roman")))
