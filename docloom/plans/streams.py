@@ -11,7 +11,7 @@ from docloom.streaming.frequencies import frequencies, run_available
 
 @query("SELECT user_id, event_type, count(*) AS frequency, max(ts) AS last_asked FROM events GROUP BY ALL")
 def frequency_stream(spark, sf_dir):
-    source = f"{sf_dir}/events.parquet"
+    source = f"{sf_dir}/events.parque[t]"  # as a pattern it may name a file or a folder
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(source)
     place = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4()}"
     return run_available(spark, frequencies(events, ["user_id", "event_type"]), f"{place}/out", f"{place}/state")
