@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.once import computed
+
 WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -80,28 +82,30 @@ def measure(docs: DataFrame) -> DataFrame:
     """``docs`` plus the measures; a null text counts as empty. Columns of these names are replaced."""
     kept = [c for c in docs.columns if c not in MEASURES]
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(
-        *kept,
-        F.array_remove(F.split(text, SPACE), "").alias("__words"),
-        F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(F.translate(line, SPACE_CHARS[1:], " "))) > 0).alias("__lines"),
-        F.length(_without(text, SPACE_CHARS)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long").alias("n_capitals"),
-    )
-    hashed = split.select(
-        *kept,
-        F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
-        "word_chars",
-        "n_symbols",
-        "n_capitals",
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+    split = computed(
+        docs,
+        kept,
+        {
+            # words and lines are compared as hashes: arrays of numbers have hash sets, arrays of strings have not
+            "__hashes": F.transform(F.array_remove(F.split(text, SPACE), ""), lambda w: F.xxhash64(w)),
+            "__lines": F.transform(F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(F.translate(line, SPACE_CHARS[1:], " "))) > 0), lambda line: F.xxhash64(line)),
+            "word_chars": F.length(_without(text, SPACE_CHARS)).cast("long"),
+            "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
+            "n_capitals": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long"),
+        },
     )
-    return hashed.select(
-        *kept,
-        F.size("__hashes").cast("long").alias("n_words"),
-        *MEASURES[1:-1],
-        _repeat_words(F.col("__hashes")).cast("long").alias("n_repeat_words"),
+    return computed(
+        split,
+        kept,
+        {
+            "n_words": F.size("__hashes").cast("long"),
+            "word_chars": F.col("word_chars"),
+            "n_symbols": F.col("n_symbols"),
+            "n_capitals": F.col("n_capitals"),
+            "n_lines": F.size("__lines").cast("long"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "n_repeat_words": _repeat_words(F.col("__hashes")).cast("long"),
+        },
     )
 
 
