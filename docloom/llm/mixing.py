@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.once import computed
 from docloom.session import cut_lineage
 
 DOMAINS = ("clean", "low", "toxic")
@@ -23,8 +24,9 @@ TRAIN_DOCS = 4_000
 VOCABULARY = 2_000
 LEAST_DOCS = 5
 STEPS = 20
-ROUNDS = 40
-CLOSE = 0.002
+ROUNDS = 25
+CLOSE = 0.005
+SUPPLY = 1.0
 AS_ONE = 0.05
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -44,7 +46,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabu
     """Log-odds of each domain against clean: a prior, and whole-number weights of the most telling words.
 
     Learned from at most ``train_docs`` labelled documents, chosen by hashed id. Labels with a null are left
-    out; quality 0 makes a document low, else toxic 1 makes it toxic. Without labels all documents are clean.
+    out; quality 0 makes a document low, else toxic 1 makes it toxic. A domain of fewer than ``LEAST_DOCS`` labelled
+    documents can't be learned: no document belongs to it.
     """
     domain = F.when(F.col("quality") == 0, 1).when(F.col("toxic") == 1, 2).otherwise(0)
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(domain).alias("domain"))
@@ -52,13 +55,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabu
     rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", words_of(F.col("text")).alias("words")))
     sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
     n = [sizes.get(k, 0) for k in range(3)]
-    if not sum(n):
+    taught = [k for k in (1, 2) if n[k] >= LEAST_DOCS and n[0] >= LEAST_DOCS]
+    if not taught:
         return {"prior": [0.0, -math.inf, -math.inf], "weights": {}}
     held = [F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(3)]
     seen = rows.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*held)
     share = [(F.col(f"n{k}") + 0.1) / (n[k] + 0.2) for k in range(3)]
     odds = {k: F.round(F.least(F.greatest(F.log(share[k] / share[0]), F.lit(-6.0)), F.lit(6.0))) for k in (1, 2)}
-    said = F.greatest(*(F.abs(share[k] - share[0]) * F.abs(F.log(share[k] / share[0])) for k in (1, 2)))
+    said = F.greatest(F.lit(0.0), *(F.abs(share[k] - share[0]) * F.abs(F.log(share[k] / share[0])) for k in taught))
     telling = (
         seen.where(F.col("n0") + F.col("n1") + F.col("n2") >= LEAST_DOCS)
         .select("word", said.alias("said"), *(odds[k].cast("int").alias(f"w{k}") for k in (1, 2)))
@@ -69,10 +73,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabu
     )
     weights: dict = {}
     for row in telling:
-        for k in (1, 2):
+        for k in taught:
             if row[f"w{k}"]:
                 weights.setdefault((k, row[f"w{k}"]), []).append(row.word)
-    prior = [math.log((n[k] + 0.5) / (n[0] + 0.5)) for k in range(3)]
+    prior = [math.log((n[k] + 0.5) / (n[0] + 0.5)) if k in (0, *taught) else -math.inf for k in range(3)]
     return {"prior": prior, "weights": weights}
 
 
@@ -89,7 +93,7 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     def literal(words: list[int]) -> Column:
         return F.lit(words) if words else F.array().cast("array<bigint>")
 
-    held = docs.select(*kept, n_tokens(F.col("text")).alias("n_tokens"), F.array_intersect(words_of(F.col("text")), literal(every)).alias("__held"))
+    held = computed(docs, kept, {"n_tokens": n_tokens(F.col("text")), "__held": F.array_intersect(words_of(F.col("text")), literal(every))})
 
     def score(k: int) -> Column:
         total = F.lit(0)
@@ -98,12 +102,11 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
                 total = total + weight * F.size(F.array_intersect("__held", literal(words)))
         return F.lit(model["prior"][k]) + total / F.greatest(F.lit(1.0), F.sqrt(F.size("__held") / 4))
 
-    if math.isinf(model["prior"][1]):
+    if all(map(math.isinf, model["prior"][1:])):
         return held.select(*kept, F.lit(1.0).alias("p_clean"), F.lit(0.0).alias("p_low"), F.lit(0.0).alias("p_toxic"), "n_tokens")
-    scored = held.select(*kept, "n_tokens", *(F.exp(F.least(score(k), F.lit(50.0))).alias(f"__e{k}") for k in (1, 2)))
+    scored = computed(held, [*kept, "n_tokens"], {f"__e{k}": F.exp(F.least(score(k), F.lit(50.0))) for k in (1, 2)})
     whole = F.lit(1.0) + F.col("__e1") + F.col("__e2")
-    steps = [F.floor(F.col(f"__e{k}") / whole * STEPS + 1e-9).alias(f"__s{k}") for k in (1, 2)]
-    counted = scored.select(*kept, "n_tokens", *steps)
+    counted = computed(scored, [*kept, "n_tokens"], {f"__s{k}": F.floor(F.col(f"__e{k}") / whole * STEPS + 1e-9) for k in (1, 2)})
     s1, s2 = F.col("__s1"), F.col("__s2")
     return counted.select(*kept, ((STEPS - s1 - s2) / STEPS).alias("p_clean"), (s1 / STEPS).alias("p_low"), (s2 / STEPS).alias("p_toxic"), "n_tokens")
 
@@ -111,8 +114,9 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
 def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
     """(p_low, p_toxic, rate): the fitted rate of every combination of posteriors among ``scored``.
 
-    The total is what leaves the expected tokens of the clean domain as they are. A domain without tokens
-    can't be reached and takes no part; an empty table gives no rates.
+    The total is what leaves the expected tokens of the clean domain as they are. No domain is asked for more
+    than ``SUPPLY`` times the expected tokens it has, as a scarce one would otherwise push the others' documents
+    out or be repeated without end; its shortfall is left open. An empty table gives no rates.
     """
     cells = cut_lineage(scored.groupBy("p_clean", "p_low", "p_toxic").agg(F.sum("n_tokens").alias("tokens")).coalesce(1))
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -126,7 +130,7 @@ def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int =
         now, ahead = found[: len(p)], found[len(p) :]
         if not start:
             start, whole = now, now[0] / targets[DOMAINS[0]]
-            aims = [whole * targets[d] for d in DOMAINS]
+            aims = [min(whole * targets[d], SUPPLY * s) for d, s in zip(DOMAINS, start)]
         if done == rounds or all(abs(x - aim) <= CLOSE * max(aim, CLOSE * whole) for x, aim, s in zip(now, aims, start) if s):
             break
         slope = sum((x * F.lit((a - aim) / s) for x, a, aim, s in zip(p, ahead, aims, start) if s), F.lit(0.0))
