@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docloom.session import shuffle_partitions
 
-HEAD_DOCS = 2_000
+HEAD_SHARE = 0.05
 HEAD_SIZE = 65_536
 HEAD_WORD_CHARS = 48
 FLUSH_ENTRIES = 400_000
@@ -71,20 +71,27 @@ def piece_counts(model: str, words: list[str]) -> list[int]:
 
 
 def _head(docs: DataFrame, model: str) -> dict[str, int]:
-    """Piece counts of frequent pre-tokens, found in a bounded sample: which ones they are changes speed, not results."""
+    """Piece counts of frequent pre-tokens, found in a share of the rows: which ones they are changes speed, not results.
 
-    def most_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The share is counted where it lies, and only counts of distinct pre-tokens are shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(pre_tokens(text or ""))
-        words = [w for w, _ in seen.most_common(HEAD_SIZE) if len(w) <= HEAD_WORD_CHARS]
-        if words:
-            yield pa.RecordBatch.from_pydict({"word": words, "n": piece_counts(model, words)}, schema=pa.schema([("word", pa.string()), ("n", pa.int32())]))
-
-    sample = docs.select("text").limit(HEAD_DOCS).coalesce(1)
-    rows = sample.mapInArrow(most_common, "word string, n int").limit(HEAD_SIZE).collect()
-    return {row.word: row.n for row in rows}
+                seen.update(w for w in pre_tokens(text or "") if len(w) <= HEAD_WORD_CHARS)
+        yield pa.RecordBatch.from_pydict({"word": list(seen), "freq": list(seen.values())}, schema=pa.schema([("word", pa.string()), ("freq", pa.int64())]))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if words:
+                yield pa.RecordBatch.from_pydict({"word": words, "n": piece_counts(model, words)}, schema=pa.schema([("word", pa.string()), ("n", pa.int32())]))
+
+    seen = docs.select("text").sample(HEAD_SHARE, seed=1).mapInArrow(count, "word string, freq long")
+    top = seen.groupBy("word").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "word").limit(HEAD_SIZE).select("word")
+    return {row.word: row.n for row in top.mapInArrow(pieces, "word string, n int").collect()}
 
 
 def count_tokens(docs: DataFrame, model: str, over: int = 4096) -> DataFrame:
