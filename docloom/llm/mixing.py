@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.once import computed
+from docloom.llm.once import computed, written
 from docloom.session import cut_lineage
 
 DOMAINS = ("clean", "low", "toxic")
@@ -32,14 +32,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:
-    """Hashes of the distinct words of a text; null counts as empty. (Arrays of numbers are compared by hash sets.)"""
+    """Hashes of the words of a text, repeats included; null counts as empty. (Arrays of numbers are compared by hash sets.)"""
     words = F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def n_tokens(text: Column) -> Column:
-    """Words of a text, and one for its end."""
-    return (F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), "")) + 1).cast("long")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY) -> dict:
@@ -52,7 +47,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabu
     domain = F.when(F.col("quality") == 0, 1).when(F.col("toxic") == 1, 2).otherwise(0)
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(domain).alias("domain"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", words_of(F.col("text")).alias("words")))
+    rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", F.array_distinct(words_of(F.col("text"))).alias("words")))
     sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
     n = [sizes.get(k, 0) for k in range(3)]
     taught = [k for k in (1, 2) if n[k] >= LEAST_DOCS and n[0] >= LEAST_DOCS]
@@ -83,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabu
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` plus p_clean, p_low, p_toxic (whole multiples of ``1 / STEPS`` that add up to one) and n_tokens.
 
-    The sum of a document's word weights is damped by the square root of how many it has, as neighbouring
+    Tokens are the words and one for the end. The sum of a document's word weights is damped by the square root of how many it has, as neighbouring
     words say much the same. A null or empty text gets the prior. Columns of these names are replaced.
     """
     names = [*(f"p_{d}" for d in DOMAINS), "n_tokens"]
@@ -93,7 +88,8 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     def literal(words: list[int]) -> Column:
         return F.lit(words) if words else F.array().cast("array<bigint>")
 
-    held = computed(docs, kept, {"n_tokens": n_tokens(F.col("text")), "__held": F.array_intersect(words_of(F.col("text")), literal(every))})
+    split = computed(docs, kept, {"__words": words_of(F.col("text"))})
+    held = computed(split, kept, {"n_tokens": (F.size("__words") + 1).cast("long"), "__held": F.array_intersect("__words", literal(every))})
 
     def score(k: int) -> Column:
         total = F.lit(0)
@@ -140,26 +136,30 @@ def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int =
     return cells.select("p_low", "p_toxic", "rate")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` plus p_clean, p_low, p_toxic, n_tokens, rate and copies.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) plus p_clean, p_low, p_toxic, n_tokens, rate and copies.
 
     ``copies`` is the whole number of times to take the document: the rate rounded up with the chance of its
     fraction, by a hash of id and text, so that it is the same in every run and right in expectation; rates
     within ``AS_ONE`` of one are taken as one. Null and empty texts count one token. Repeated rows get equal
-    copies. Columns of the new names are replaced; an empty table stays empty.
+    copies. Columns of the new names are replaced; an empty table stays empty. Posteriors are written once, with the
+    columns kept, and read for the rates and for the result.
     """
     model = fit(docs, labels)
-    scored = posteriors(docs.drop("rate", "copies"), model)
-    found = rates(scored, targets).withColumnsRenamed({"p_low": "__l", "p_toxic": "__t"})
+    new = [*(f"p_{d}" for d in DOMAINS), "n_tokens"]
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in (*new, "rate", "copies")]
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
+    scored = written(posteriors(docs.withColumn("__at", at), model).select(*kept, *new, "__at"))
+    found = rates(scored, targets).withColumnsRenamed({"p_low": "__l", "p_toxic": "__t"})
     near_one = F.abs(F.col("rate") - 1) <= AS_ONE
     joined = scored.join(F.broadcast(found), (F.col("p_low") == F.col("__l")) & (F.col("p_toxic") == F.col("__t"))).drop("__l", "__t")
-    return joined.withColumn("copies", F.when(near_one, 1).otherwise(F.floor(F.col("rate") + at)).cast("long"))
+    return joined.withColumn("copies", F.when(near_one, 1).otherwise(F.floor(F.col("rate") + F.col("__at"))).cast("long")).drop("__at")
 
 
 def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with each row as often as its copies say; columns as they were."""
     names = docs.columns
-    mixed = mix(docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(names)), "doc_id", "text"), labels, targets)
+    aliased = docs.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)), "doc_id", "text")
+    mixed = mix(aliased, labels, targets, keep=[f"__{i}" for i in range(len(names))])
     again = mixed.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return again.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))
