@@ -1,21 +1,21 @@
 """Language-model scoring over Elias-Fano n-gram tries.
 
-The model predicts a word from the word before it and, behind a frequent word, from the class of the one before
-that. Histories are classes of bounded number: each of the ``HEAD`` most frequent training words is one,
-all other words share one, and the second place tells ``NEAR`` words apart. So the histories' totals fit a broadcast
-of bounded size, while the n-grams themselves, which grow with the corpus, never leave the shard of their predicted
-word. With c for training counts and N for all training tokens,
+The model predicts a word from the two words before it; every word that occurs is a history of its own, and every
+n-gram of the training rows is counted. With c for training counts and N for all training tokens,
 
     p1(w) = (1 - UNSEEN) c(w) / N                 or, never seen, UNSEEN / N (as many unseen types as tokens)
     p2(w | h) = (1 - a) p1(w) + a c(h w) / c(h),          a = SHARE2 c(h) / (c(h) + HALF)
     p3(w | g h) = (1 - b) p2(w | h) + b c(g h w) / c(g h),  b = SHARE3 c(g h) / (c(g h) + HALF)
 
-Each shard stores its n-grams as a trie of three levels, words, histories and second classes. Children are
-monotone Elias-Fano sequences relative to their parent, found through Elias-Fano pointers and a successor search
-between them; probabilities are kept as 16-bit codes. All arrays of a trie lie in one memory map. One exchange
-deals the n-grams of all texts to the shards, training and held-out alike: a shard counts the training ones, builds
-its trie and scores all. The n-grams of a very frequent word are dealt by word and history, as its own count is
-broadcast, so that no shard gets a hot word whole.
+Two exchanges bring the counts together. The first deals the n-grams of all texts, training and held-out alike, by
+their history h, where c(h), c(g h) and c(g h w) are complete; the second deals them by their word w, where c(w) is,
+and c(h w) of a frequent h. A frequent word's own count is broadcast, and its n-grams are dealt by the neighbouring word as well, so that no shard
+gets a hot word whole; frequent words also travel as short numbers. That is all the frequent words are for: the rest
+are told apart by 64-bit hashes, and none is left out.
+
+Each shard keeps its training n-grams as a trie. Children are monotone Elias-Fano sequences relative to their
+parent, found through Elias-Fano pointers and a successor search between them. All arrays of a trie lie in one
+memory map.
 """
 
 from __future__ import annotations
@@ -33,15 +33,17 @@ from xxhash import xxh64_intdigest
 
 from docloom.session import cut_lineage, shuffle_partitions
 
-HEAD, HEAD_WORD_BYTES = 65_000, 64
+HEAD, HEAD_WORD_BYTES = 250_000, 64
+FREQUENT = 10_000_000  # words of at least one in so many tokens travel as numbers
 FLUSH_WORDS = 500_000
-NEAR = 253
-END, TAIL = 0, 65_535
-REST = 255
+END, TAIL = 0, (1 << 24) - 1
+NEAR = TAIL  # every history has its second word
+REST = -1
 SHARE2, SHARE3, HALF = 0.2, 0.1, 1.0
 UNSEEN = 0.05
 FLUSH_TOKENS = 2_000_000
 FLUSH_DOCS = 60_000
+PARTS = 4  # shards a task works through, one at a time
 TRAIN_OF, HELD_OUT = 10, 0
 _STEP = 20.0 / 65_535  # of a log10 probability's code
 
@@ -133,36 +135,58 @@ def coded(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs / _STEP), 0, 65_535).astype(np.uint16)
 
 
+def _fresh(column: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(column), bool)
+    out[1:] = column[1:] != column[:-1]
+    return out
+
+
+def counted(columns: list[np.ndarray], trained: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of n-grams, a row each: the training counts of their first one, two ... words by distinct prefix, and each row's prefix.
+
+    Words are numbered within the shard and its trie is asked for each distinct prefix once.
+    """
+    _, numbers = np.unique(np.concatenate(columns), return_inverse=True)
+    numbers = [x.astype(np.int32) for x in np.split(numbers, len(columns))]
+    order = np.lexsort(numbers[::-1])
+    numbers = [x[order] for x in numbers]
+    new, prefixes, firsts = np.zeros(len(order), bool), [], []
+    for x in numbers:
+        new = new | _fresh(x)
+        prefixes.append(np.cumsum(new) - 1)
+        firsts.append(np.flatnonzero(new))
+    n_trained = np.add.reduceat(trained[order].astype(np.int64), firsts[-1]) if len(order) else np.zeros(0, np.int64)
+    kept = firsts[-1][n_trained > 0]
+    trie = Trie([x[kept].astype(np.int64) for x in numbers], n_trained[n_trained > 0])
+    counts = []
+    parent = np.zeros(1, np.int64)
+    for depth, (x, first) in enumerate(zip(numbers, firsts)):
+        above = parent[prefixes[depth - 1][first]] if depth else np.zeros(len(first), np.int64)
+        parent, count = trie.look_up(depth, above, x[first])
+        counts.append(count)
+    rows = []
+    for prefix in prefixes:
+        row = np.empty(len(order), np.int64)
+        row[order] = prefix
+        rows.append(row)
+    return counts, rows
+
+
 class Trie:
-    """N-grams of one shard: (key, history, second class) with training counts, from sorted distinct rows."""
-
-    def __init__(self, key: np.ndarray, history: np.ndarray, second: np.ndarray, count: np.ndarray, totals: np.ndarray, pairs: np.ndarray):
-        n_all = max(1, int(totals.sum()))
-        self.totals, self.pairs, self.log_n = totals, pairs, np.log10(n_all)
-        words, word_of = np.unique(key, return_inverse=True)
-        head = words < TAIL
-        own = np.bincount(word_of, count, len(words)) if len(words) else np.zeros(0)
-        uni = np.where(head, totals[np.where(head, words, 0).astype(np.int64)], own)
-        p1 = (1 - UNSEEN) * uni / n_all
-        first = np.flatnonzero(np.concatenate([[True], (word_of[1:] != word_of[:-1]) | (history[1:] != history[:-1])])) if len(key) else np.zeros(0, np.int64)
-        node_of = np.cumsum(np.isin(np.arange(len(key)), first)) - 1
-        c2 = np.bincount(node_of, count, len(first)) if len(key) else np.zeros(0)
-        parent2, h2 = word_of[first], history[first]
-        own2 = weight(totals[h2], SHARE2)
-        p2 = (1 - own2) * p1[parent2] + own2 * c2 / totals[h2]
-        deep = history <= NEAR
-        parent3, g3 = node_of[deep], second[deep]
-        behind = pairs[g3, history[deep]]
-        own3 = weight(behind, SHARE3)
-        p3 = (1 - own3) * p2[parent3] + own3 * count[deep] / behind
-        pointer2, child2 = _children(parent2, h2, len(words))
-        pointer3 = np.searchsorted(parent3, np.arange(len(first) + 1))
-        filled = pointer3[1:] > pointer3[:-1]
-        last = np.where(filled, g3[np.maximum(pointer3[1:] - 1, 0)] if len(g3) else 0, 0).astype(np.uint64)
-        bases = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last)[:-1]]) if len(first) else np.zeros(0, np.uint64)
-        child3 = g3.astype(np.uint64) + bases[parent3]
-        self.levels = {name: EliasFano.build(v) for name, v in (("words", words), ("pointer2", pointer2), ("child2", child2), ("pointer3", pointer3), ("child3", child3))}
-        self.values = {"uni": uni.astype(np.int64), "p1": coded(np.log10(np.maximum(p1, 1e-19))), "p2": coded(np.log10(p2)), "p3": coded(np.log10(p3))}
+    """Training n-grams of one shard, from sorted distinct rows of whole numbers: a level a column, with the counts below each node."""
+
+    def __init__(self, columns: list[np.ndarray], count: np.ndarray):
+        self.levels, self.values = {}, {}
+        parent, n_parents = np.zeros(len(count), np.int64), min(1, len(count))
+        new = np.zeros(len(count), bool)
+        for depth, column in enumerate(columns):
+            new |= _fresh(column)
+            first = np.flatnonzero(new)
+            pointers, children = _children(parent[first], column[first], n_parents)
+            self.levels |= {f"pointer{depth}": EliasFano.build(pointers), f"child{depth}": EliasFano.build(children)}
+            parent, n_parents = np.cumsum(new) - 1, len(first)
+            self.values[f"count{depth}"] = np.add.reduceat(count, first) if n_parents else np.zeros(0, np.int64)
         self._map()
 
     def _map(self) -> None:
@@ -177,13 +201,13 @@ class Trie:
             owner[name] = view
             at += -(-array.nbytes // 8) * 8
 
-    def _child(self, name: str, pointers: str, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def _child(self, depth: int, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The child of each parent with that value, or -1: a successor search relative to where the parent's range begins."""
-        if not len(parent) or not self.levels[name].n:
+        level, pointers = self.levels[f"child{depth}"], self.levels[f"pointer{depth}"]
+        if not len(parent) or not level.n:
             return np.full(len(parent), -1)
-        low = self.levels[pointers].access(parent).astype(np.int64)
-        high = self.levels[pointers].access(parent + 1).astype(np.int64)
-        level = self.levels[name]
+        low = pointers.access(parent).astype(np.int64)
+        high = pointers.access(parent + 1).astype(np.int64)
         base = np.where(low > 0, level.access(np.maximum(low - 1, 0)), np.uint64(0))
         x = base + value.astype(np.uint64)
         at = level.successor(low, high, x)
@@ -191,232 +215,266 @@ class Trie:
         hit[hit] = level.access(at[hit]) == x[hit]
         return np.where(hit, at, -1)
 
-    def look_up(self, key: np.ndarray, history: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words and log10 probabilities of the n-grams."""
-        n = len(key)
-        words = self.levels["words"]
-        word = np.full(n, -1)
-        if words.n:
-            at = words.successor(np.zeros(n, np.int64), np.full(n, words.n), key)
-            hit = at < words.n
-            hit[hit] = words.access(at[hit]) == key[hit]
-            word = np.where(hit, at, -1)
-        head = key < TAIL
-        count = np.where(head, self.totals[np.where(head, key, 0).astype(np.int64)], 0)
-        seen = word >= 0
-        count[seen] = self.values["uni"][word[seen]]
-        with np.errstate(divide="ignore"):
-            log1 = np.where(count > 0, np.log10((1 - UNSEEN) * np.maximum(count, 1)) - self.log_n, np.log10(UNSEEN) - self.log_n)
-        log1[seen] = -_STEP * self.values["p1"][word[seen]]
-        log2 = log1 + np.log10(1 - weight(self.totals[history], SHARE2))
-        node = np.full(n, -1)
-        node[seen] = self._child("child2", "pointer2", word[seen], history[seen])
-        found = node >= 0
-        log2[found] = -_STEP * self.values["p2"][node[found]]
-        deep = history <= NEAR
-        out = log2.copy()
-        out[deep] += np.log10(1 - weight(self.pairs[second[deep], history[deep]], SHARE3))
-        at3 = np.flatnonzero(found & deep)
-        leaf = self._child("child3", "pointer3", node[at3], second[at3])
-        out[at3[leaf >= 0]] = -_STEP * self.values["p3"][leaf[leaf >= 0]]
-        return count, out
+    def look_up(self, depth: int, parent: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes (-1 if there is none, as below a parent of -1) and their counts."""
+        node = np.full(len(value), -1)
+        met = np.flatnonzero(parent >= 0)
+        node[met] = self._child(depth, parent[met], value[met])
+        count, hit = np.zeros(len(value), np.int64), node >= 0
+        count[hit] = self.values[f"count{depth}"][node[hit]]
+        return node, count
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def classes(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a text's tokens (its end last), and the history and second class of each."""
-    n = len(words) + 1
-    ids = np.fromiter((known.get(w, TAIL) for w in words), np.int64, n - 1)
-    tokens = np.append(ids, END)
-    history = np.concatenate([[END], ids])
-    second = np.full(n, REST, np.int64)
-    before = np.concatenate([[END, END], ids[:-1]])[:n]
-    near = (history <= NEAR) & (before <= NEAR)
-    second[near] = before[near]
-    return tokens, history, second
+class Numbers(dict):
+    """Word numbers: those of the frequent words as given, a marked 64-bit hash for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = xxh64_intdigest(word) | 1 << 63
+        return number
 
 
-def head_words(docs: DataFrame, head: int = HEAD) -> dict[bytes, int]:
-    """Class numbers (from 1) of the ``head`` most frequent words of up to ``HEAD_WORD_BYTES`` bytes in all rows.
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, n) of the training rows; the null word is the end of a text.
 
     Tasks count their own words first, so that one row a task and word is shuffled.
     """
 
-    def counted(seen: Counter) -> pa.RecordBatch:
+    def batch_of(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=pa.schema([("word", pa.binary()), ("n", pa.int64())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
+            seen[None] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 seen.update(split_words(text))
                 if len(seen) >= FLUSH_WORDS:
-                    yield counted(seen)
+                    yield batch_of(seen)
                     seen = Counter()
-        yield counted(seen)
+        yield batch_of(seen)
 
-    counts = docs.select("text").mapInArrow(count, "word binary, n long").where(F.length("word") <= HEAD_WORD_BYTES)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word")
-    return {bytes(r.word): i + 1 for i, r in enumerate(top.collect())}
+    return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def totals_of(train: DataFrame, known) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens behind each history (and of each head word), and behind each pair of classes: a bounded table."""
+def _shut(array: np.ndarray) -> bytes:
+    """An array's bytes, those of equal place side by side, compressed."""
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = np.zeros(TAIL + 1, np.int64), np.zeros((REST + 1, NEAR + 1), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _, history, second = classes(split_words(text), known.value)
-                one += np.bincount(history, minlength=TAIL + 1) if len(history) > 20_000 else 0
-                if len(history) <= 20_000:
-                    np.add.at(one, history, 1)
-                near = history <= NEAR
-                np.add.at(two, (second[near], history[near]), 1)
-        every = np.concatenate([one, two.ravel()])
-        at = np.flatnonzero(every)
-        yield pa.RecordBatch.from_pydict({"at": at, "n": every[at]}, schema=pa.schema([("at", pa.int64()), ("n", pa.int64())]))
-
-    rows = train.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    every = np.zeros(TAIL + 1 + (REST + 1) * (NEAR + 1), np.int64)
-    every[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return every[: TAIL + 1], every[TAIL + 1 :].reshape(REST + 1, NEAR + 1)
-
-
-_MESSAGE = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), *((name, pa.binary()) for name in ("held_out", "keys", "key_n", "subs", "sub_n", "at", "freq", "info"))])
-_MESSAGE_DDL = "bucket int, batch long, docs int, held_out binary, keys binary, key_n binary, subs binary, sub_n binary, at binary, freq binary, info binary"
-_PART = pa.schema([("batch", pa.int64()), ("docs", pa.int32()), ("sums", pa.binary()), ("info", pa.binary())])
-_PART_DDL = "batch long, docs int, sums binary, info binary"
-_ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("types", pa.int64())])
-_ROW_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, types long"
+
+def _opened(data: bytes, dtype: str) -> np.ndarray:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def _packed(columns: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Word numbers in three bytes each, and the long ones after them."""
+    every = np.concatenate(columns)
+    short = np.minimum(every, TAIL).astype("<u4")
+    return _shut(short), _shut(every[every >= TAIL])
+
+
+def _unpacked(short: bytes, long: bytes, n_columns: int) -> list[np.ndarray]:
+    every = _opened(short, "<u4").astype(np.uint64)
+    every[every == TAIL] = _opened(long, "<u8")
+    return np.split(every, n_columns)
+
+
+def _places(at: np.ndarray) -> bytes:
+    """Ascending places of texts in a batch, or runs of them, as differences."""
+    return _shut(np.diff(at, prepend=at.dtype.type(0)))
+
+
+def _opened_places(data: bytes) -> np.ndarray:
+    return np.cumsum(_opened(data, "<u2"), dtype="<u2")
+
+
+def _bucket(word: np.ndarray, other: np.ndarray, buckets: int) -> np.ndarray:
+    """The shard of a word, of a frequent word and its neighbour."""
+    spread = (word * np.uint64(0x9E3779B97F4A7C15)) ^ np.where(word < TAIL, other * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
+    spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((spread >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _schema(**types: pa.DataType) -> tuple[pa.Schema, str]:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return pa.schema(list(types.items())), ", ".join(f"{k} {names[t]}" for k, t in types.items())
+
+
+_TEXTS, _TEXTS_DDL = _schema(bucket=pa.int32(), batch=pa.int64(), docs=pa.int32(), held_out=pa.binary(), short=pa.binary(), long=pa.binary(), at=pa.binary(), info=pa.binary())
+_BEHIND, _BEHIND_DDL = _schema(bucket=pa.int32(), runs=pa.binary(), short=pa.binary(), long=pa.binary(), at=pa.binary(), trained=pa.binary(), codes=pa.binary(), info=pa.binary())
+_PART, _PART_DDL = _schema(batch=pa.int64(), docs=pa.int32(), at=pa.binary(), log_p=pa.binary(), base=pa.binary(), known=pa.binary(), info=pa.binary())
+_ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_ROW_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 _NO_ID = -(1 << 63)
+_NONE = 65_535
 
 
-def _flat(starts: np.ndarray, n: int) -> np.ndarray:
-    """Lengths of runs that begin at ``starts`` in ``n`` rows."""
-    return np.diff(np.append(starts, n)).astype("<u4")
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
 
 
-def score(docs: DataFrame, held_out, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
 
     ``docs``: doc_id and text; other columns are ignored. ``held_out`` is a boolean column over it: the model
     learns from the rows where it is false or null. A null or empty text is its end alone. Repeated rows are
     counted and scored each; a null doc_id stays null. Without training rows every word is unseen and N is 0;
-    an empty table stays empty.
+    an empty table stays empty. Only if a ``head`` is asked for, just that many words (of up to ``HEAD_WORD_BYTES`` bytes)
+    are told apart as histories and all others share one.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    tasks = shuffle_partitions(spark)
+    buckets = tasks * PARTS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = docs.where(~F.col("held_out"))
     context = spark.sparkContext
-    known = context.broadcast(head_words(train, head))
-    totals, pairs = totals_of(train, known)
-    counts = context.broadcast((totals, pairs))
-    train_tokens = int(totals.sum())
+    words = cut_lineage(word_counts(docs.where(~F.col("held_out"))))
+    found = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
+    train_tokens, types, ends = (int(x or 0) for x in found)
+    likely = words.where(F.length("word") <= HEAD_WORD_BYTES)
+    if head is None:
+        likely = likely.where(F.col("n") * FREQUENT >= train_tokens)
+    top = likely.orderBy(F.desc("n"), "word").limit(HEAD if head is None else head).collect()
+    own = np.array([ends, *(r.n for r in top)], np.int64)
+    shared = context.broadcast(({bytes(r.word): i + 1 for i, r in enumerate(top)}, own))
+    n_all = max(1, train_tokens)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Messages to the shards: per batch of texts, the distinct n-grams with their texts and frequencies."""
-        lookup, first = known.value, TaskContext.get().partitionId() << 36
+        """The n-grams of a batch of texts, dealt to the shards of their histories."""
+        lookup, first = Numbers(shared.value[0]), TaskContext.get().partitionId() << 36
+        n_given = len(lookup)
         held: list[tuple] = []
         n = row = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([x[0] for x in held])
-            sub = np.concatenate([x[1] for x in held])
-            at = np.repeat(np.arange(len(held), dtype=np.uint64), [len(x[0]) for x in held])
-            is_head = key < TAIL
-            spread = (key * np.uint64(0x9E3779B97F4A7C15)) ^ np.where(is_head, (sub >> np.uint64(8)) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
-            bucket = (spread >> np.uint64(33)) % np.uint64(buckets)
-            minor = (sub << np.uint64(32)) | at
-            order = np.lexsort((minor, key, bucket))
-            bucket, key, minor = bucket[order], key[order], minor[order]
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (minor[1:] != minor[:-1]) | (bucket[1:] != bucket[:-1])])
-            start = np.flatnonzero(fresh)
-            freq = _flat(start, len(key))
-            bucket, key, sub, at = bucket[start], key[start], minor[start] >> np.uint64(32), (minor[start] & np.uint64(0xFFFFFFFF)).astype("<u2")
-            flags = np.packbits(np.array([x[3] for x in held], np.uint8)).tobytes()
-            info = np.array([(_NO_ID if x[2] is None else x[2], len(x[0]), x[3]) for x in held], np.int64).tobytes()
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            sizes = np.array([len(x[0]) for x in held])
+            word = np.concatenate([x[0] for x in held])
+            at = np.repeat(np.arange(len(held), dtype="<u2"), sizes)
+            place = word if head is None else np.minimum(word, np.uint64(TAIL))
+            history = np.concatenate([np.full(1, END, np.uint64), place[:-1]])
+            second = np.concatenate([np.full(2, END, np.uint64), place[:-2]])[: len(word)]
+            second[np.cumsum(sizes) - sizes] = END
+            bucket = _bucket(history, np.where(history == END, word, second), buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            flags = np.packbits(np.array([x[2] for x in held], np.uint8)).tobytes()
+            info = np.array([(_NO_ID if x[1] is None else x[1], len(x[0]), x[2]) for x in held], np.int64).tobytes()
             mine = (first + row) % buckets
             for b in range(buckets):
-                lo, hi = cuts[b], cuts[b + 1]
-                if lo == hi and b != mine:
-                    continue
-                k, s = key[lo:hi], sub[lo:hi]
-                new_key = np.concatenate([[True], k[1:] != k[:-1]]) if hi > lo else np.zeros(0, bool)
-                new_sub = new_key | np.concatenate([[True], s[1:] != s[:-1]]) if hi > lo else new_key
-                subs_at = np.flatnonzero(new_sub)
-                keys_at = np.flatnonzero(new_key[subs_at])
-                columns = (k[np.flatnonzero(new_key)].astype("<u8"), _flat(keys_at, len(subs_at)), s[subs_at].astype("<u4"), _flat(subs_at, len(k)), at[lo:hi], np.minimum(freq[lo:hi], 0xFFFF).astype("<u2"))
-                if freq[lo:hi].max(initial=0) > 0xFFFF:
-                    columns = (*columns[:5], freq[lo:hi].astype("<u4"))
-                values = [b, first + row, len(held), flags, *(c.tobytes() for c in columns), info if b == mine else b""]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _MESSAGE.types)], schema=_MESSAGE)
+                rows = order[cuts[b] : cuts[b + 1]]
+                if len(rows) or b == mine:
+                    yield _row(_TEXTS, b, first + row, len(held), flags, *_packed([history[rows], second[rows], word[rows]]), _places(at[rows]), info if b == mine else b"")
 
         for batch in batches:
             for doc_id, text, out in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = split_words(text)
-                tokens, history, second = classes(words, lookup)
-                key = tokens.astype(np.uint64)
-                tail = np.flatnonzero(tokens == TAIL)
-                if len(tail):
-                    key[tail] = np.fromiter((xxh64_intdigest(words[i]) | 1 << 63 for i in tail.tolist()), np.uint64, len(tail))
-                held.append((key, ((history << 8) | second).astype(np.uint64), doc_id, out))
-                n += len(key)
+                split = split_words(text)
+                ids = np.zeros(len(split) + 1, np.uint64)
+                ids[:-1] = np.fromiter(map(lookup.__getitem__, split), np.uint64, len(split))
+                held.append((ids, doc_id, out))
+                n += len(ids)
                 if n >= FLUSH_TOKENS or len(held) >= FLUSH_DOCS:
                     yield from flush()
                     row += len(held)
                     held, n = [], 0
+                    if len(lookup) > n_given + FLUSH_WORDS:
+                        lookup = Numbers(shared.value[0])
         if held:
             yield from flush()
 
-    def read(message: dict) -> tuple:
-        keys, key_n = np.frombuffer(message["keys"], "<u8"), np.frombuffer(message["key_n"], "<u4")
-        subs, sub_n = np.frombuffer(message["subs"], "<u4"), np.frombuffer(message["sub_n"], "<u4")
-        at = np.frombuffer(message["at"], "<u2")
-        freq = np.frombuffer(message["freq"], "<u2" if len(message["freq"]) == 2 * len(at) else "<u4").astype(np.int64)
-        return np.repeat(keys, key_n), subs.astype(np.int64), sub_n, at, freq
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts, builds and queries the trie of each bucket in the partition."""
-        by_bucket: dict[int, list[dict]] = {}
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
+        found: dict[int, list[dict]] = {}
         for batch in batches:
             for message in batch.to_pylist():
-                by_bucket.setdefault(message["bucket"], []).append(message)
-        for bucket, messages in by_bucket.items():
-            keys, subs, sums = [], [], []
-            for message in messages:
-                key, sub, sub_n, at, freq = read(message)
-                if len(key):
-                    flags = np.unpackbits(np.frombuffer(message["held_out"], np.uint8), count=message["docs"]).astype(bool)
-                    trained = np.add.reduceat(np.where(flags[at], 0, freq), np.concatenate([[0], np.cumsum(sub_n[:-1])]).astype(np.int64))
-                    hit = trained > 0
-                    keys.append(key[hit])
-                    subs.append(sub[hit])
-                    sums.append(trained[hit])
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            sub = np.concatenate(subs) if subs else np.zeros(0, np.int64)
-            count = np.concatenate(sums) if sums else np.zeros(0, np.int64)
-            order = np.lexsort((sub, key))
-            key, sub, count = key[order], sub[order], count[order]
-            if len(key):
-                start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]))
-                key, sub, count = key[start], sub[start], np.add.reduceat(count, start)
-            trie = Trie(key, sub >> 8, sub & 255, count, *counts.value)
-            types = int((np.unique(key) >= TAIL).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1 - bucket, 0, np.array([types], "<i8").tobytes(), b""), _PART.types)], schema=_PART)
-            for message in messages:
-                key, sub, sub_n, at, freq = read(message)
-                sums = np.zeros((3, message["docs"]))
-                if len(key):
-                    word_count, log_p = trie.look_up(key, sub >> 8, sub & 255)
-                    for line, value in enumerate((log_p, np.log10(word_count + 0.1), (word_count > 0).astype(float))):
-                        sums[line] = np.bincount(at, np.repeat(value, sub_n) * freq, message["docs"])
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((message["batch"], message["docs"], sums.tobytes(), message["info"]), _PART.types)], schema=_PART)
+                found.setdefault(message["bucket"], []).append(message)
+        return found
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What histories and their second words say of each n-gram, dealt to the shards of the words."""
+        shards = by_bucket(batches)
+        while shards:
+            bucket, messages = shards.popitem()
+            for m in messages:
+                if m["info"]:
+                    yield _row(_BEHIND, bucket, np.array([m["batch"], m["docs"], 0], "<i8").tobytes(), *[b""] * 5, m["info"])
+            parts = [_unpacked(m["short"], m["long"], 3) for m in messages]
+            history, second, word = (np.concatenate(x) for x in zip(*parts))
+            ats = [_opened_places(m["at"]) for m in messages]
+            out = [np.unpackbits(np.frombuffer(m["held_out"], np.uint8), count=m["docs"]).astype(bool) for m in messages]
+            at, trained = np.concatenate(ats), ~np.concatenate([flags[a] for flags, a in zip(out, ats)])
+            del parts
+            (c_h, c_gh, c_ghw), (h, gh, ghw) = counted([history, second, word], trained)
+            pair = np.where(history == END, shared.value[1][END], c_gh[gh])
+            own3 = weight(pair, SHARE3)
+            told = own3 * c_ghw[ghw] / np.maximum(pair, 1)
+            left = 1 - own3
+            # behind a word without a number, all of its followers are here: the second place's share is added here
+            rare = np.flatnonzero(history >= TAIL)
+            (_, c_hw), (_, hw) = counted([history[rare], word[rare]], trained[rare])
+            total = c_h[h[rare]]
+            own2 = weight(total, SHARE2)
+            told[rare] += left[rare] * own2 * c_hw[hw] / np.maximum(total, 1)
+            left[rare] *= 1 - own2
+            codes = np.full((2, len(word)), _NONE, "<u2")
+            seen = told > 0
+            codes[0, seen] = np.minimum(coded(np.log10(told[seen])), _NONE - 1)
+            codes[1] = np.rint(left * 65_535)
+            del c_h, c_gh, c_ghw, h, gh, ghw, pair, own3, told, left, seen
+            goal = _bucket(word, history, buckets)
+            history[rare] = TAIL
+            order = np.argsort(goal, kind="stable")
+            cuts = np.searchsorted(goal[order], np.arange(buckets + 1))
+            message_of = np.repeat(np.arange(len(messages)), [len(a) for a in ats])
+            for b in range(buckets):
+                rows = order[cuts[b] : cuts[b + 1]]
+                if len(rows):
+                    sizes = np.bincount(message_of[rows], minlength=len(messages)).tolist()
+                    runs = np.array([(m["batch"], m["docs"], k) for m, k in zip(messages, sizes) if k], "<i8").tobytes()
+                    numbers, long = _packed([word[rows], history[rows]])
+                    yield _row(_BEHIND, b, runs, numbers, long, _places(at[rows]), np.packbits(trained[rows]).tobytes(), _shut(codes[:, rows].ravel()), b"")
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Probabilities of the n-grams, summed by text."""
+        own = shared.value[1]
+        sums: dict[tuple[int, int], list[tuple]] = {}
+        shards = by_bucket(batches)
+        while shards:
+            _, messages = shards.popitem()
+            for m in messages:
+                if m["info"]:
+                    batch, n_docs, _ = np.frombuffer(m["runs"], "<i8").tolist()
+                    yield _row(_PART, batch, n_docs, *[b""] * 4, m["info"])
+            messages = [m for m in messages if not m["info"]]
+            if not messages:
+                continue
+            word, history = (np.concatenate(x) for x in zip(*(_unpacked(m["short"], m["long"], 2) for m in messages)))
+            ats = [_opened_places(m["at"]) for m in messages]
+            at = np.concatenate(ats)
+            trained = np.concatenate([np.unpackbits(np.frombuffer(m["trained"], np.uint8), count=len(a)) for m, a in zip(messages, ats)])
+            told, left = (np.concatenate(x) for x in zip(*(np.split(_opened(m["codes"], "<u2"), 2) for m in messages)))
+            (c_w, c_wh), (w, wh) = counted([word, history], trained)
+            count = np.where(word < TAIL, own[np.where(word < TAIL, word, 0).astype(np.int64)], c_w[w])
+            p = np.where(count > 0, (1 - UNSEEN) * count, UNSEEN) / n_all
+            common = np.flatnonzero(history < TAIL)
+            total = own[history[common].astype(np.int64)]
+            own2 = weight(total, SHARE2)
+            p[common] = (1 - own2) * p[common] + own2 * c_wh[wh[common]] / np.maximum(total, 1)
+            p = left / 65_535 * p + np.where(told < _NONE, 10.0 ** (-_STEP * told), 0.0)
+            lines = (np.log10(p), np.log10(count + 0.1), (count > 0).astype(float))
+            runs = np.concatenate([np.frombuffer(m["runs"], "<i8") for m in messages]).reshape(-1, 3)
+            ends = np.cumsum(runs[:, 2])
+            for (batch, n_docs, size), end in zip(runs.tolist(), ends.tolist()):
+                here, of = np.unique(at[end - size : end], return_inverse=True)
+                sums.setdefault((batch, n_docs), []).append((here, *(np.bincount(of, x[end - size : end]) for x in lines)))
+        for (batch, n_docs), found in sums.items():
+            places, *values = (np.concatenate(x) for x in zip(*found))
+            here, of = np.unique(places, return_inverse=True)
+            log_p, base, known = (np.bincount(of, x) for x in values)
+            yield _row(_PART, batch, n_docs, _places(here), _shut(log_p.astype("<f4")), base.tobytes(), _shut(known.astype("<u4")), b"")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums over the shards, by text."""
@@ -424,28 +482,24 @@ def score(docs: DataFrame, held_out, head: int = HEAD) -> DataFrame:
         infos: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in batch.to_pylist():
-                if part["batch"] < 0:
-                    types = int(np.frombuffer(part["sums"], "<i8")[0])
-                    yield pa.RecordBatch.from_pydict({"doc_id": [None], "held_out": [None], "n_tokens": [None], "n_known": [None], "base": [None], "score": [None], "types": [types]}, schema=_ROW)
-                    continue
-                values = np.frombuffer(part["sums"]).reshape(3, part["docs"])
-                if part["batch"] in sums:
-                    sums[part["batch"]] += values
-                else:
-                    sums[part["batch"]] = values.copy()
                 if part["info"]:
                     infos[part["batch"]] = np.frombuffer(part["info"], np.int64).reshape(-1, 3)
+                    continue
+                values = np.stack([_opened(part["log_p"], "<f4").astype(float), np.frombuffer(part["base"]), _opened(part["known"], "<u4").astype(float)])
+                if part["batch"] not in sums:
+                    sums[part["batch"]] = np.zeros((3, part["docs"]))
+                sums[part["batch"]][:, _opened_places(part["at"])] += values
         for batch_id, (log_p, base, n_known) in sums.items():
             info = infos[batch_id]
             ids = pa.array(info[:, 0], mask=info[:, 0] == _NO_ID)
-            columns = [ids, pa.array(info[:, 2].astype(bool)), pa.array(info[:, 1]), pa.array(np.rint(n_known).astype(np.int64)), pa.array(base), pa.array(log_p), pa.nulls(len(info), pa.int64())]
+            columns = [ids, pa.array(info[:, 2].astype(bool)), pa.array(info[:, 1]), pa.array(np.rint(n_known).astype(np.int64)), pa.array(base), pa.array(log_p)]
             yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
 
-    parts = docs.mapInArrow(scan, _MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(shard, _PART_DDL)
-    rows = cut_lineage(parts.repartition(buckets, "batch").mapInArrow(gather, _ROW_DDL))
-    tail_types = rows.agg(F.sum("types")).first()[0] or 0
-    types = int(tail_types) + int((totals[:TAIL] > 0).sum())
+    task = F.col("bucket") % tasks
+    texts = docs.mapInArrow(scan, _TEXTS_DDL).repartitionById(tasks, task)
+    parts = texts.mapInArrow(behind, _BEHIND_DDL).repartitionById(tasks, task).mapInArrow(ahead, _PART_DDL)
+    rows = parts.repartition(tasks, "batch").mapInArrow(gather, _ROW_DDL)
     whole = float(np.log10(train_tokens + 0.1 * (types + 1)))
-    return rows.where("types is null").select(
+    return rows.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * whole).alias("base_score"), "score"
     )

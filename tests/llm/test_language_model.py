@@ -106,3 +106,20 @@ def test_no_training_rows_and_empty_table(spark):
     row = L.score(docs, F.lit(True)).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.n_tokens == 3 and math.isfinite(row.score)
     assert L.score(docs.where("false"), F.lit(False)).count() == 0
+
+
+def test_every_history_and_second_word_counts(spark):
+    """Contexts far past the numbered words: each rare word has its own followers, which a pooled history can't tell."""
+    rows = [(i, f"rare{i} odd{i} next{i} rare{i} odd{i} next{i}", False) for i in range(400)]
+    rows += [(1000 + i, f"rare{i} odd{i} next{i}", True) for i in range(0, 400, 40)] + [(2000 + i, f"rare{i + 1} odd{i} next{i}", True) for i in range(0, 400, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    want, _, _ = plain(rows, 10**6)
+    for frequent in (L.FREQUENT, 10):
+        L.FREQUENT, kept = frequent, L.FREQUENT
+        try:
+            found = L.score(docs, F.col("h")).collect()
+        finally:
+            L.FREQUENT = kept
+        same(found, want)
+    scores = {r.doc_id: r.score for r in found}
+    assert all(scores[1000 + i] > scores[2000 + i] for i in range(0, 400, 40))
