@@ -28,8 +28,10 @@ AREA = 24_000  # blocks, with padding, that are labelled at a time
 
 # Elements of the HTML standard by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea head".split())
+QUIET = frozenset("template svg iframe canvas audio video select".split())
+MATH = frozenset("math annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = MATH | frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article main nav aside footer header body form blockquote".split())
 
@@ -55,11 +57,22 @@ def _end_of(tag: str) -> re.Pattern:
 
 
 def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page in order; comments, scripts, styles and form controls leave no text."""
+    """The leaf blocks of a page in order; comments, scripts, styles, pictures, players and form controls leave no text.
+
+    What such an element holds is left out only if it is closed before its parent is; if not, it counts as empty.
+    """
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
+    ahead: dict[str, int] = {}
+
+    def closes_at(tag: str, at: int) -> int:
+        """Where the next close tag of that name stands, or the end of the page."""
+        if ahead.get(tag, -1) < at:
+            found = _end_of(tag).search(html, at)
+            ahead[tag] = found.start() if found else len(html)
+        return ahead[tag]
 
     def flush() -> None:
         nonlocal linked
@@ -104,12 +117,19 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            close = _end_of(tag).search(html, at)
-            if tag not in INLINE:
-                parts.append(" ")
-            if tag == "head" and close is None:
+            close = closes_at(tag, at)
+            parts.append(" ")
+            if tag == "head" and close == end:
                 continue
-            at = close.end() if close else end
+            at = _end_of(tag).match(html, close).end() if close < end else end
+            continue
+        empty = token[3].rstrip().endswith("/")
+        if tag in QUIET or tag == "button" and any(t == "form" for t, _ in stack):
+            parts.append(" ")
+            close = end if empty else closes_at(tag, at)
+            parent = next((t for t, _ in reversed(stack) if t not in INLINE), None)
+            if close < end and (parent is None or close < closes_at(parent, at)):
+                at = _end_of(tag).match(html, close).end()
             continue
         if tag in VOID:
             if tag == "hr":
@@ -125,7 +145,7 @@ def blocks(html: str) -> list[Block]:
                 elif name in SCOPES:
                     break
         names = tuple(w for m in _MARK.finditer(token[3]) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-        if not token[3].rstrip().endswith("/"):
+        if not empty:
             stack.append((tag, names))
     flush()
     return found

@@ -82,3 +82,20 @@ def test_null_empty_and_repeated_pages(spark):
     assert {(r.text, r.n_chars) for r in got if r.page_id in (1, 2)} == {("", 0)}
     assert {r.text for r in got if r.page_id == 3} == {"Some words stand here now."}
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        *((f"<article><p>a <{t} class='x'/> b</p><p>c</p></article><p>d</p><{t}>e</{t}>", ["a b", "c", "d"]) for t in ("svg", "iframe")),
+        ("<article><p>a <math/> b</p><p>c</p></article>", ["a b", "c"]),
+        ("<article><p>a</p><object/><p>c</p></article>", ["a", "c"]),
+        *((f"<article><p>a</p><{t}><p>b</p></article><p>c</p>", ["a", "b", "c"]) for t in ("button", "select", "noscript", "video")),
+        *((f"<div><{t}><p>b</p></div><div><{t}>e</{t}><p>c</p></div>", ["b", "c"]) for t in ("select", "video")),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", ["So x=2 holds."]),
+        ("<noscript><p>n</p></noscript><object><p>o</p></object><p>k", ["n", "o", "k"]),
+        ("<p>a<svg><text>no</text></svg>b</p>", ["a b"]),
+    ],
+)
+def test_only_what_an_element_holds_is_left_out(html, texts):
+    assert [b.text for b in H.blocks(html)] == texts
