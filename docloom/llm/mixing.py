@@ -24,10 +24,8 @@ TRAIN_DOCS = 4_000
 VOCABULARY = 2_000
 LEAST_DOCS = 5
 STEPS = 20
-ROUNDS = 25
-CLOSE = 0.005
-SUPPLY = 1.0
-AS_ONE = 0.05
+ROUNDS = 400
+CLOSE = 0.002
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -79,7 +77,8 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` plus p_clean, p_low, p_toxic (whole multiples of ``1 / STEPS`` that add up to one) and n_tokens.
 
     Tokens are the words and one for the end. The sum of a document's word weights is damped by the square root of how many it has, as neighbouring
-    words say much the same. A null or empty text gets the prior. Columns of these names are replaced.
+    words say much the same. A null or empty text gets the prior. Multiples are chosen with the chance of the fraction, by a
+    hash of id and text, so that they are right in expectation. Columns of these names are replaced.
     """
     names = [*(f"p_{d}" for d in DOMAINS), "n_tokens"]
     kept = [c for c in docs.columns if c not in names]
@@ -88,8 +87,9 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     def literal(words: list[int]) -> Column:
         return F.lit(words) if words else F.array().cast("array<bigint>")
 
-    split = computed(docs, kept, {"__words": words_of(F.col("text"))})
-    held = computed(split, kept, {"n_tokens": (F.size("__words") + 1).cast("long"), "__held": F.array_intersect("__words", literal(every))})
+    chance = F.pmod(F.xxhash64(F.lit("posteriors"), "doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
+    split = computed(docs, kept, {"__words": words_of(F.col("text")), "__chance": chance})
+    held = computed(split, [*kept, "__chance"], {"n_tokens": (F.size("__words") + 1).cast("long"), "__held": F.array_intersect("__words", literal(every))})
 
     def score(k: int) -> Column:
         total = F.lit(0)
@@ -100,19 +100,19 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
 
     if all(map(math.isinf, model["prior"][1:])):
         return held.select(*kept, F.lit(1.0).alias("p_clean"), F.lit(0.0).alias("p_low"), F.lit(0.0).alias("p_toxic"), "n_tokens")
-    scored = computed(held, [*kept, "n_tokens"], {f"__e{k}": F.exp(F.least(score(k), F.lit(50.0))) for k in (1, 2)})
+    scored = computed(held, [*kept, "n_tokens", "__chance"], {f"__e{k}": F.exp(F.least(score(k), F.lit(50.0))) for k in (1, 2)})
     whole = F.lit(1.0) + F.col("__e1") + F.col("__e2")
-    counted = computed(scored, [*kept, "n_tokens"], {f"__s{k}": F.floor(F.col(f"__e{k}") / whole * STEPS + 1e-9) for k in (1, 2)})
-    s1, s2 = F.col("__s1"), F.col("__s2")
+    sums = {"__s1": F.col("__e1"), "__s12": F.col("__e1") + F.col("__e2")}
+    counted = computed(scored, [*kept, "n_tokens"], {k: F.least(F.lit(STEPS), F.floor(x / whole * STEPS + F.col("__chance"))) for k, x in sums.items()})
+    s1, s2 = F.col("__s1"), F.col("__s12") - F.col("__s1")
     return counted.select(*kept, ((STEPS - s1 - s2) / STEPS).alias("p_clean"), (s1 / STEPS).alias("p_low"), (s2 / STEPS).alias("p_toxic"), "n_tokens")
 
 
 def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
     """(p_low, p_toxic, rate): the fitted rate of every combination of posteriors among ``scored``.
 
-    The total is what leaves the expected tokens of the clean domain as they are. No domain is asked for more
-    than ``SUPPLY`` times the expected tokens it has, as a scarce one would otherwise push the others' documents
-    out or be repeated without end; its shortfall is left open. An empty table gives no rates.
+    The total is what leaves the expected tokens of the clean domain as they are. Documents of a scarce domain
+    get rates above one; only a domain without any expected tokens is left out. An empty table gives no rates.
     """
     cells = cut_lineage(scored.groupBy("p_clean", "p_low", "p_toxic").agg(F.sum("n_tokens").alias("tokens")).coalesce(1))
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -126,7 +126,7 @@ def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int =
         now, ahead = found[: len(p)], found[len(p) :]
         if not start:
             start, whole = now, now[0] / targets[DOMAINS[0]]
-            aims = [min(whole * targets[d], SUPPLY * s) for d, s in zip(DOMAINS, start)]
+            aims = [whole * targets[d] for d in DOMAINS]
         if done == rounds or all(abs(x - aim) <= CLOSE * max(aim, CLOSE * whole) for x, aim, s in zip(now, aims, start) if s):
             break
         slope = sum((x * F.lit((a - aim) / s) for x, a, aim, s in zip(p, ahead, aims, start) if s), F.lit(0.0))
@@ -140,8 +140,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """``docs`` (or its columns ``keep``) plus p_clean, p_low, p_toxic, n_tokens, rate and copies.
 
     ``copies`` is the whole number of times to take the document: the rate rounded up with the chance of its
-    fraction, by a hash of id and text, so that it is the same in every run and right in expectation; rates
-    within ``AS_ONE`` of one are taken as one. Null and empty texts count one token. Repeated rows get equal
+    fraction, by a hash of id and text, so that it is the same in every run and right in expectation. Null and empty texts count one token. Repeated rows get equal
     copies. Columns of the new names are replaced; an empty table stays empty. Posteriors are written once, with the
     columns kept, and read for the rates and for the result.
     """
@@ -151,9 +150,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
     scored = written(posteriors(docs.withColumn("__at", at), model).select(*kept, *new, "__at"))
     found = rates(scored, targets).withColumnsRenamed({"p_low": "__l", "p_toxic": "__t"})
-    near_one = F.abs(F.col("rate") - 1) <= AS_ONE
     joined = scored.join(F.broadcast(found), (F.col("p_low") == F.col("__l")) & (F.col("p_toxic") == F.col("__t"))).drop("__l", "__t")
-    return joined.withColumn("copies", F.when(near_one, 1).otherwise(F.floor(F.col("rate") + F.col("__at"))).cast("long")).drop("__at")
+    return joined.withColumn("copies", F.floor(F.col("rate") + F.col("__at")).cast("long")).drop("__at")
 
 
 def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

@@ -62,3 +62,19 @@ def test_small_cases(spark):
     assert mixing.mix(docs, labels).where(F.col("rate").isNull()).count() == 0
     empty = spark.createDataFrame([], docs.schema)
     assert mixing.mix(empty, labels).count() == 0 and mixing.take(empty, none).count() == 0
+
+
+def test_scarce_domains_are_raised_to_their_targets(spark):
+    cells = [(1.0, 0.0, 0.0, 9000), (0.9, 0.1, 0.0, 300), (0.2, 0.8, 0.0, 60), (0.1, 0.0, 0.9, 20)]
+    scored = spark.createDataFrame(cells, "p_clean double, p_low double, p_toxic double, n_tokens long")
+    got = {(r.p_low, r.p_toxic): r.rate for r in mixing.rates(scored).collect()}
+    reached = sum(np.array(c[:3]) * c[3] * got[c[1], c[2]] for c in cells)
+    assert np.allclose(reached / reached.sum(), [mixing.TARGETS[d] for d in mixing.DOMAINS], rtol=0.02)
+    assert got[0.0, 0.9] > 2
+
+
+def test_small_posteriors_are_right_on_average(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    model = {"prior": [0.0, float(np.log(0.02 / 0.95)), float(np.log(0.03 / 0.95))], "weights": {}}
+    row = mixing.posteriors(docs, model).agg(*(F.avg(f"p_{d}") for d in mixing.DOMAINS)).first()
+    assert list(row) == pytest.approx([0.95, 0.02, 0.03], abs=0.002)
