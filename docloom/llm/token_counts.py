@@ -3,8 +3,10 @@
 A sentencepiece BPE model whose pieces hold the space mark only at their front never merges across the
 start of a word, so the token count of a text is the sum over its pre-tokens (a run of spaces and the
 characters up to the next space). Frequent pre-tokens are joined through a broadcast table of at most
-``HEAD_SIZE`` short entries; every other pre-token is shuffled to the bucket that counts it, once for the
-whole corpus, and its counts go back to the documents as sums. No token ids are kept anywhere.
+``HEAD_SIZE`` short entries. Every other pre-token goes, once for each block of documents that holds it, to the
+bucket that counts its pieces once for the whole corpus; the count goes back to the block, where it meets the
+frequencies of the block's documents. What is shuffled is bounded by the distinct pre-tokens of the documents,
+however many buckets there are. No token ids are kept anywhere.
 """
 
 from __future__ import annotations
@@ -13,34 +15,40 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import shuffle_partitions
+from docloom.session import cut_lineage, shuffle_partitions
 
 HEAD_SHARE = 0.05
-HEAD_SIZE = 65_536
+HEAD_SIZE = 131_072
 HEAD_WORD_CHARS = 48
-FLUSH_ENTRIES = 400_000
+BLOCK_ENTRIES = 400_000
 
 _RUN = re.compile(" +[^ ]*")
 _LOADED: dict = {}
 
-_MESSAGE = pa.schema(
-    [
-        ("bucket", pa.int32()),
-        ("first_row", pa.int64()),
-        ("rows", pa.list_(pa.int32())),
-        ("words", pa.list_(pa.string())),
-        ("freqs", pa.list_(pa.int32())),
-        ("base", pa.list_(pa.struct([("row", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())]))),
-    ]
-)
-_MESSAGE_DDL = "bucket int, first_row long, rows array<int>, words array<string>, freqs array<int>, base array<struct<row:int,doc_id:long,n_bytes:long,n:long>>"
-_PART = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
+_SHAPE = {
+    "bucket": ("int", pa.int32()),
+    "block": ("long", pa.int64()),
+    "at": ("array<int>", pa.list_(pa.int32())),  # places of the words in the block's list
+    "words": ("array<string>", pa.list_(pa.string())),
+    "pieces": ("array<int>", pa.list_(pa.int32())),
+    "docs": ("array<struct<doc_id:long,n_bytes:long,n:long,size:int>>", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("size", pa.int32())]))),
+    "refs": ("array<int>", pa.list_(pa.int32())),  # of each document in turn: places of its words, and how often it has them
+    "freqs": ("array<int>", pa.list_(pa.int32())),
+}
+_MESSAGE, _MESSAGE_DDL = pa.schema([(k, t) for k, (_, t) in _SHAPE.items()]), ", ".join(f"{k} {ddl}" for k, (ddl, _) in _SHAPE.items())
+_COUNT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def _messages(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: [r.get(k) for r in rows] for k in _SHAPE}, schema=_MESSAGE)
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -90,7 +98,17 @@ def _head(docs: DataFrame, model: str) -> dict[str, int]:
                 yield pa.RecordBatch.from_pydict({"word": words, "n": piece_counts(model, words)}, schema=pa.schema([("word", pa.string()), ("n", pa.int32())]))
 
     seen = docs.select("text").sample(HEAD_SHARE, seed=1).mapInArrow(count, "word string, freq long")
-    top = seen.groupBy("word").agg(F.sum("freq").alias("freq")).orderBy(F.desc("freq"), "word").limit(HEAD_SIZE).select("word")
+    totals = cut_lineage(seen.groupBy("word").agg(F.sum("freq").alias("freq")))
+    # the least frequency that leaves at most HEAD_SIZE words, from how many words there are by steps of frequency
+    step = F.floor(F.log2("freq") * 8).cast("int")
+    left, least = HEAD_SIZE, None
+    for row in totals.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if row["count"] > left:
+            break
+        left, least = left - row["count"], row.step
+    if least is None:
+        return {}
+    top = totals.where(step >= least).select("word")
     return {row.word: row.n for row in top.mapInArrow(pieces, "word string, n int").collect()}
 
 
@@ -106,72 +124,81 @@ def count_tokens(docs: DataFrame, model: str, over: int = 4096) -> DataFrame:
     head = spark.sparkContext.broadcast(_head(docs, model))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per-document frequencies: sums over the head, and messages of the rest to its buckets."""
-        known, row = head.value.get, 0
-        start = TaskContext.get().partitionId() << 36
-
-        def fresh():
-            return [([], [], [], []) for _ in range(buckets)]
-
-        def flush(parts, first):
-            out = {name: [] for name in _MESSAGE.names}
-            for bucket, (rows, words, freqs, base) in enumerate(parts):
-                if rows or base:
-                    for name, value in zip(_MESSAGE.names, (bucket, start + first, rows, words, freqs, base)):
-                        out[name].append(value)
-            return pa.RecordBatch.from_pydict(out, schema=_MESSAGE)
-
-        parts, first, held = fresh(), 0, 0
+        """Blocks of documents with their frequencies, sums over the head taken, and the other words to their buckets."""
+        known, block = head.value.get, TaskContext.get().partitionId() << 32
+
+        def flush(places, docs, refs, freqs):
+            dealt: dict[int, tuple[list, list]] = {}
+            for word, at in places.items():
+                ats, words = dealt.setdefault(zlib.crc32(word.encode()) % buckets, ([], []))
+                ats.append(at)
+                words.append(word)
+            rows = [{"bucket": b, "block": block, "at": ats, "words": words} for b, (ats, words) in dealt.items()]
+            return _messages([*rows, {"bucket": block % buckets, "block": block, "docs": docs, "refs": refs, "freqs": freqs}])
+
+        places, docs, refs, freqs = {}, [], [], []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = text or ""
-                at, total = row - first, 0
+                total, before = 0, len(refs)
                 for word, freq in Counter(pre_tokens(text)).items():
                     n = known(word)
                     if n is not None:
                         total += n * freq
                     else:
-                        rows, words, freqs, _ = parts[zlib.crc32(word.encode()) % buckets]
-                        rows.append(at)
-                        words.append(word)
+                        refs.append(places.setdefault(word, len(places)))
                         freqs.append(freq)
-                        held += 1
-                parts[row % buckets][3].append({"row": at, "doc_id": doc_id, "n_bytes": len(text.encode()), "n": total})
-                row += 1
-                held += 1
-                if held >= FLUSH_ENTRIES:
-                    yield flush(parts, first)
-                    parts, first, held = fresh(), row, 0
-        if held:
-            yield flush(parts, first)
+                docs.append({"doc_id": doc_id, "n_bytes": len(text.encode()), "n": total, "size": len(refs) - before})
+                if len(refs) + len(docs) >= BLOCK_ENTRIES:
+                    yield flush(places, docs, refs, freqs)
+                    places, docs, refs, freqs = {}, [], [], []
+                    block += 1
+        if docs:
+            yield flush(places, docs, refs, freqs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts each distinct pre-token of the bucket once and sums by document."""
+        """Counts each distinct pre-token of the bucket once; blocks of documents pass."""
+        counted: dict[str, int] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["words"] is not None:
+                    words = row.pop("words")
+                    new = [w for w in words if w not in counted]
+                    counted.update(zip(new, piece_counts(model, new)))
+                    row["pieces"] = [counted[w] for w in words]
+                yield _messages([row])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of a block's words, joined to the frequencies of its documents and summed; rows come sorted by block."""
         import numpy as np
 
-        counted: dict[str, int] = {}
+        def summed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts)
+            held = rows.filter(pa.compute.is_valid(rows["docs"]))
+            ats, pieces = (rows[c].combine_chunks().flatten().to_numpy() for c in ("at", "pieces"))
+            n_of = np.zeros(len(ats), np.int64)
+            n_of[ats] = pieces
+            docs, refs, freqs = (held[c].combine_chunks().flatten() for c in ("docs", "refs", "freqs"))
+            doc_id, n_bytes, base, size = docs.flatten()
+            upto = np.concatenate([[0], np.cumsum(n_of[refs.to_numpy()] * freqs.to_numpy())])
+            ends = np.cumsum(size.to_numpy())
+            n = base.to_numpy() + upto[ends] - upto[ends - size.to_numpy()]
+            return pa.RecordBatch.from_arrays([doc_id, n_bytes, pa.array(n, pa.int64())], schema=_COUNT)
+
+        parts: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for message in batch.to_pylist():
-                words = message["words"]
-                new = [w for w in dict.fromkeys(words) if w not in counted]
-                counted.update(zip(new, piece_counts(model, new)))
-                base = message["base"]
-                rows = np.array(message["rows"] + [x["row"] for x in base], dtype=np.int64)
-                n = np.array([counted[w] * f for w, f in zip(words, message["freqs"])] + [x["n"] for x in base], dtype=np.int64)
-                size = int(rows.max()) + 1
-                sums, doc_ids, n_bytes = np.zeros(size, np.int64), [None] * size, [None] * size
-                np.add.at(sums, rows, n)
-                for x in base:
-                    doc_ids[x["row"]], n_bytes[x["row"]] = x["doc_id"], x["n_bytes"]
-                hit = np.unique(rows)
-                yield pa.RecordBatch.from_pydict(
-                    {"row_id": hit + message["first_row"], "doc_id": [doc_ids[i] for i in hit], "n_bytes": [n_bytes[i] for i in hit], "n": sums[hit]}, schema=_PART
-                )
-
-    messages = docs.mapInArrow(scan, _MESSAGE_DDL).repartition(buckets, "bucket")
-    parts = messages.mapInArrow(count, "row_id long, doc_id long, n_bytes long, n long")
-    return (
-        parts.groupBy("row_id")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
-    )
+            at = 0
+            for value, size in [(k, len(list(same))) for k, same in groupby(batch.column("block").to_pylist())]:
+                if value != last and parts:
+                    yield summed(parts)
+                    parts = []
+                parts.append(batch.slice(at, size))
+                last, at = value, at + size
+        if parts:
+            yield summed(parts)
+
+    counted = docs.mapInArrow(scan, _MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(count, _MESSAGE_DDL)
+    blocks = counted.repartition(buckets, "block").sortWithinPartitions("block")
+    found = blocks.mapInArrow(gather, "doc_id long, n_bytes long, n_tokens long")
+    return found.withColumn("over_limit", F.col("n_tokens") > over)
