@@ -24,25 +24,28 @@ def sibling_links(nodes: DataFrame, parent: str, order: str) -> DataFrame:
     return nodes.withColumns({"previous": F.lag(order).over(place), "next": F.lead(order).over(place), "sequence": (F.row_number().over(place) - 1).cast("long")})
 
 
-def _last_of_rank(keys: list[str], order: str, rank: str) -> list[Column]:
+def _last_of_rank(keys: list[str], order: str, rank: str, carry: str | None) -> list[Column]:
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return [F.max(F.when(F.col(rank) == k, F.col(order))).over(before) for k in range(RANKS)]
+    value = F.struct(F.col(order).alias("at"), F.col(carry).alias("carried")) if carry else F.col(order)
+    return [F.max(F.when(F.col(rank) == k, value)).over(before) for k in range(RANKS)]
 
 
-def rank_stack(nodes: DataFrame, keys: list[str], order: str, rank: str = "rank") -> DataFrame:
+def rank_stack(nodes: DataFrame, keys: list[str], order: str, rank: str = "rank", carry: str | None = None) -> DataFrame:
     """``nodes`` plus ``ancestors``: order values of the open ranked nodes above each, outermost first.
 
     A rank's last node is open if no node of a smaller rank came after it; a ranked node sees only smaller
-    ranks, a node without rank sees all. Six running maxima, no loop over rows.
+    ranks, a node without rank sees all. Six running maxima, no loop over rows. With ``carry`` the ancestors
+    are structs (at, carried) of the order value and that column.
     """
     names = [f"__last{k}" for k in range(RANKS)]
-    marked = nodes.withColumns(dict(zip(names, _last_of_rank(keys, order, rank))))
+    marked = nodes.withColumns(dict(zip(names, _last_of_rank(keys, order, rank, carry))))
     open_ = []
     for k, name in enumerate(names):
-        smaller = [F.coalesce(F.col(x), F.lit(-1)) for x in names[:k]]
+        at = [F.col(f"{x}.at") if carry else F.col(x) for x in names[: k + 1]]
+        smaller = [F.coalesce(x, F.lit(-1)) for x in at[:-1]]
         shut = F.greatest(*smaller) if len(smaller) > 1 else smaller[0] if smaller else F.lit(-1)
         seen = F.col(rank).isNull() | (F.col(rank) > k)
-        open_.append(F.when(seen & (F.col(name) > shut), F.col(name)))
+        open_.append(F.when(seen & (at[-1] > shut), F.col(name)))
     return marked.withColumn("ancestors", F.filter(F.array(*open_), lambda x: x.isNotNull())).drop(*names)
 
 

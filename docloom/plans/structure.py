@@ -23,29 +23,6 @@ def sibling_links(spark, sf_dir):
     return S.sibling_links(_lines(spark, sf_dir).select("doc_id", "pos"), "doc_id", "pos")
 
 
-@query(f"""
-WITH {_LINES}, r AS (SELECT doc_id, pos, CASE WHEN length(line) % 8 < 6 THEN length(line) % 8 END AS rank FROM l)
-SELECT doc_id, pos, rank, coalesce((SELECT string_agg(b.pos, '>' ORDER BY b.pos) FROM r b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.rank IS NOT NULL
-   AND (a.rank IS NULL OR b.rank < a.rank) AND NOT EXISTS (SELECT 1 FROM r c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos < a.pos AND c.rank <= b.rank)), '') AS path
-FROM r a""")
-def structural_path(spark, sf_dir):
-    """The open ancestors of every paragraph, ranks standing in by the line's length."""
-    rank = F.length("line") % 8
-    nodes = _lines(spark, sf_dir).select("doc_id", "pos", F.when(rank < 6, rank).alias("rank"))
-    stacked = S.rank_stack(nodes, ["doc_id"], "pos")
-    return stacked.select("doc_id", "pos", "rank", F.array_join(F.array_sort("ancestors"), ">").alias("path"))
-
-
-@query(f"""
-WITH {_LINES}, v AS (SELECT doc_id, pos, length(line) % 4 AS number FROM l)
-SELECT doc_id, pos, number, coalesce(number <> lag(number) OVER w + 1, false) AS gap,
-       round(greatest(0, 0.95 - CASE WHEN coalesce(number <> lag(number) OVER w + 1, false) THEN 0.25 ELSE 0 END), 3)::DOUBLE AS confidence
-FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
-def sequence_gaps(spark, sf_dir):
-    nodes = _lines(spark, sf_dir).select("doc_id", "pos", (F.length("line") % 4).alias("number"))
-    return S.sequence_gaps(nodes, ["doc_id"], "pos", "number", F.lit(0.95))
-
-
 @query(f"""
 WITH {_LINES}, k AS (SELECT doc_id, pos, CASE WHEN length(line) < 40 THEN 'COVER' ELSE 'BODY' END AS label FROM l),
 f AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM k),

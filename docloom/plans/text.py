@@ -45,16 +45,6 @@ def model_tier(spark, sf_dir):
     return frame.withColumn("tier", T.model_tier(F.col("question"), F.col("n_documents")))
 
 
-@query("""
-SELECT * FROM (VALUES ('(1) a', 'DECIMAL_PAREN_FULL', '1'), ('12) a', 'DECIMAL_PAREN_CLOSE', '12'), ('3. a', 'DECIMAL_DOT', '3'), ('(b) a', 'LETTER_PAREN_FULL', 'b'),
- ('b) a', 'LETTER_PAREN_CLOSE', 'b'), ('KEDUA a', 'ORDINAL_WORD', 'KEDUA'), ('IV. a', 'ROMAN_UPPER_DOT', 'IV'), ('c. a', 'ROMAN_LOWER_DOT', 'c'),
- ('B. a', 'LETTER_UPPER_DOT', 'B'), ('a. a', 'LETTER_DOT', 'a'), ('plain', NULL, NULL)) AS t(line, style, marker)""")
-def detect_numbering(spark, sf_dir):
-    lines = ["(1) a", "12) a", "3. a", "(b) a", "b) a", "KEDUA a", "IV. a", "c. a", "B. a", "a. a", "plain"]
-    found = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("x", T.detect_numbering(F.col("line")))
-    return found.select("line", "x.style", "x.marker")
-
-
 @query("""
 SELECT * FROM (VALUES ('iv', 4), ('MCMXCIV', 1994), ('iix', 8), ('x', 10), ('abc', NULL), ('', NULL), ('mmmm', NULL)) AS t(roman, number)""")
 def roman_to_int(spark, sf_dir):
