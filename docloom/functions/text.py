@@ -26,6 +26,15 @@ MARKERS = [
     (r"^([A-Z])\.", "LETTER_UPPER_DOT"),
     (r"^([a-z])\.", "LETTER_DOT"),
 ]
+DELIMITER_LINE = r"(?m)^[=\-]{3,}\s*$"
+HEADER_LINE = r"(?im)^\s*(SOURCE\s+S\d+|SYSTEM|ASSISTANT|USER QUERY|CONVERSATION CONTEXT|UNTRUSTED EVIDENCE|REMINDER)\s*:?\s*$"
+REFERENCE = (
+    r"(?i)\bpasal\s+\d+[a-z]?\b|\bayat\s+\(?\d+\)?|\bhuruf\s+[a-z]\b|\bbab\s+[ivxlcdm]+\b|\b(?:angka|butir|poin|bagian)\s+\d+[a-z]?\b"
+    rf"|\blampiran\s+(?:[ivxlcdm]+|\d+)\b|\b(?:{'|'.join(ORDINALS)})\b"
+)
+LOCK_FILE = r"(^|/)~\$|\.tmp$"
+MIME = {".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+COST_PER_1K = {"FAST": "0.000500", "STRONG": "0.010000"}
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
@@ -98,24 +107,72 @@ def detect_numbering(text: Column) -> Column:
 
 def defang(text: Column) -> Column:
     """Delimiter lines and lines that pose as section headers, marked as quotations."""
-    quoted = F.regexp_replace(text, r"(?m)^[=\-]{3,}\s*$", "[quoted from document: $0]")
-    header = r"(?im)^\s*(SOURCE\s+S\d+|SYSTEM|ASSISTANT|USER QUERY|CONVERSATION CONTEXT|UNTRUSTED EVIDENCE|REMINDER)\s*:?\s*$"
-    return F.regexp_replace(quoted, header, "[quoted from document: $0]")
+    quoted = F.regexp_replace(text, DELIMITER_LINE, "[quoted from document: $0]")
+    return F.regexp_replace(quoted, HEADER_LINE, "[quoted from document: $0]")
 
 
 def parse_reference(query: Column) -> Column:
-    """The structural reference in a query: kind, article, clause, letter, appendix and ordered path terms.
+    """The structural reference in a query: kind, article, clause, letter, appendix, decision and path terms in order.
 
-    Of several values of one kind the last counts; the kinds rank ARTICLE, APPENDIX, GENERIC_PATH; null if none.
+    References are read from left to right; of several values of one kind the last counts. The kinds rank ARTICLE,
+    APPENDIX, DECISION, GENERIC_PATH, and only the chosen kind's fields are filled; all null if there is none.
     """
+    found = F.regexp_extract_all(query, F.lit(REFERENCE), F.lit(0))
+    pairs = F.transform(found, lambda m: F.struct(F.lower(F.element_at(F.split(m, r"\s+"), 1)).alias("word"), F.regexp_replace(F.element_at(F.split(m, r"\s+"), -1), r"[()]", "").alias("value")))
 
-    def last(pattern: str) -> Column:
-        found = F.regexp_extract_all(query, F.lit(rf"(?i)\b{pattern}"), F.lit(1))
-        return F.lower(F.try_element_at(found, F.lit(-1)))
+    def last(*words: str) -> Column:
+        return F.try_element_at(F.filter(pairs, lambda p: p["word"].isin(*words)), F.lit(-1))["value"]
 
-    article, clause, letter = last(r"pasal\s+(\d+[a-z]?)\b"), last(r"ayat\s+\(?(\d+)\)?"), last(r"huruf\s+([a-z])\b")
-    appendix = last(r"lampiran\s+([ivxlcdm]+|\d+)\b")
-    path = F.regexp_extract_all(query, F.lit(r"(?i)\b(?:(?:angka|butir|poin|bagian)\s+\d+[a-z]?|bab\s+[ivxlcdm]+|huruf\s+[a-z])\b"), F.lit(0))
-    terms = F.transform(path, lambda t: F.lower(F.element_at(F.split(t, r"\s+"), -1)))
-    kind = F.when(article.isNotNull(), "ARTICLE").when(appendix.isNotNull(), "APPENDIX").when(F.size(terms) > 0, "GENERIC_PATH")
-    return F.struct(kind.alias("kind"), article.alias("article"), clause.alias("clause"), letter.alias("letter"), appendix.alias("appendix"), F.array_join(terms, ">").alias("path"))
+    article, appendix = F.lower(last("pasal")), F.upper(last("lampiran"))
+    decision = F.upper(last(*(w.lower() for w in ORDINALS)))
+    steps = F.filter(pairs, lambda p: p["word"].isin("huruf", "bab", "angka", "butir", "poin", "bagian"))
+    terms = F.transform(steps, lambda p: F.when(p["word"] == "bab", F.upper(p["value"])).otherwise(F.lower(p["value"])))
+    kind = F.when(article.isNotNull(), "ARTICLE").when(appendix.isNotNull(), "APPENDIX").when(decision.isNotNull(), "DECISION").when(F.size(terms) > 0, "GENERIC_PATH")
+
+    def of(name: str, value: Column, field: str) -> Column:
+        return F.when(kind == name, value).alias(field)
+
+    return F.struct(
+        kind.alias("kind"), of("ARTICLE", article, "article"), of("ARTICLE", last("ayat"), "clause"), of("ARTICLE", F.lower(last("huruf")), "letter"),
+        of("APPENDIX", appendix, "appendix"), of("DECISION", decision, "decision"), of("GENERIC_PATH", terms, "terms"),
+    )
+
+
+def extension(path: Column) -> Column:
+    """The lower-case ending of a file name with its dot, or an empty text."""
+    return F.lower(F.regexp_extract(F.element_at(F.split(path, r"[/\\]"), -1), r"[^.](\.[^.]+)$", 1))
+
+
+def mime_type(path: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair)), extension(path)), F.lit("application/octet-stream"))
+
+
+def title_of_file(path: Column) -> Column:
+    """A file's name without folder and ending."""
+    return F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"(?<=[^.])\.[^.]*$", "")
+
+
+def is_lock_file(path: Column) -> Column:
+    return path.rlike(LOCK_FILE)
+
+
+def unc_host(path: Column) -> Column:
+    """The host of a network path of two leading slashes of either kind, in lower case; null if it is none."""
+    return F.nullif(F.lower(F.regexp_extract(path, r"^(?:\\\\|//)([^\\/]+)[\\/]", 1)), F.lit(""))
+
+
+def estimated_cost(tier: Column, tokens_in: Column, tokens_out: Column) -> Column:
+    """Dollars of an answer by its tier's rate for 1,000 tokens; null if anything is missing or the tier has no rate."""
+    rate = F.try_element_at(F.create_map(*(x for k, v in COST_PER_1K.items() for x in (F.lit(k), F.lit(v).cast("decimal(10,6)")))), tier)
+    return ((tokens_in + tokens_out).cast("decimal(12,0)") / 1000 * rate).cast("decimal(14,6)")
+
+
+def shown_latency(ms: Column) -> Column:
+    """Milliseconds below one second, else seconds with one decimal."""
+    return F.when(ms.isNull(), "-").when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", ms / 1000))
+
+
+def shown_age(seconds: Column) -> Column:
+    """An age in hours below one day, else in days."""
+    hours = F.floor(seconds / 3600 + 0.5).cast("long")
+    return F.when(hours < 1, "just now").when(hours < 24, F.format_string("%dh ago", hours)).otherwise(F.format_string("%dd ago", F.floor(hours / 24 + 0.5).cast("long")))

@@ -36,50 +36,8 @@ def sanitize_filename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.sanitize_filename(F.col("url")).alias("name"), T.slugify(F.col("url")).alias("slug"))
 
 
-@query("""
-SELECT * FROM (VALUES ('Apa isi Pasal 17?', 1, 'FAST'), ('Apa isi Pasal 17?', 2, 'STRONG'), ('Bandingkan kedua aturan', 1, 'STRONG'),
- ('Apa dasar hukum dan siapa penyelenggara?', 1, 'STRONG'), ('mitigasi', 0, 'FAST'), ('Perbedaannya', 1, 'FAST')) AS t(question, n_documents, tier)""")
-def model_tier(spark, sf_dir):
-    rows = [("Apa isi Pasal 17?", 1), ("Apa isi Pasal 17?", 2), ("Bandingkan kedua aturan", 1), ("Apa dasar hukum dan siapa penyelenggara?", 1), ("mitigasi", 0), ("Perbedaannya", 1)]
-    frame = spark.createDataFrame(rows, "question string, n_documents int")
-    return frame.withColumn("tier", T.model_tier(F.col("question"), F.col("n_documents")))
-
-
 @query("""
 SELECT * FROM (VALUES ('iv', 4), ('MCMXCIV', 1994), ('iix', 8), ('x', 10), ('abc', NULL), ('', NULL), ('mmmm', NULL)) AS t(roman, number)""")
 def roman_to_int(spark, sf_dir):
     rows = [(x,) for x in ("iv", "MCMXCIV", "iix", "x", "abc", "", "mmmm")]
     return spark.createDataFrame(rows, "roman string").withColumn("number", T.roman_to_int(F.col("roman")))
-
-
-@query("""
-SELECT * FROM (VALUES ('Apa isi Pasal 17?', 'ARTICLE', '17', NULL, NULL, NULL, ''), ('Pasal 5 ayat (2) huruf b', 'ARTICLE', '5', '2', 'b', NULL, 'b'),
- ('angka 11 huruf a', 'GENERIC_PATH', NULL, NULL, 'a', NULL, '11>a'), ('Lampiran II', 'APPENDIX', NULL, NULL, NULL, 'ii', ''),
- ('bab III angka 4', 'GENERIC_PATH', NULL, NULL, NULL, NULL, 'iii>4'), ('mitigasi risiko', NULL, NULL, NULL, NULL, NULL, ''))
- AS t(question, kind, article, clause, letter, appendix, path)""")
-def parse_reference(spark, sf_dir):
-    rows = [(x,) for x in ("Apa isi Pasal 17?", "Pasal 5 ayat (2) huruf b", "angka 11 huruf a", "Lampiran II", "bab III angka 4", "mitigasi risiko")]
-    found = spark.createDataFrame(rows, "question string").withColumn("x", T.parse_reference(F.col("question")))
-    return found.select("question", "x.*")
-
-
-@query(r"""
-WITH t AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4)) AS w FROM conversations),
-p AS (SELECT a.conv_id, a.turn, a.w AS claim, b.w AS evidence FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant')
-SELECT conv_id, turn, CASE WHEN len(claim) = 0 THEN 'UNCERTAIN' WHEN len(list_intersect(claim, evidence)) / len(claim) >= 0.3 THEN 'SUPPORTED' ELSE 'UNCERTAIN' END AS status,
-       round(CASE WHEN len(claim) = 0 THEN 0 ELSE len(list_intersect(claim, evidence)) / len(claim) END, 6) AS overlap FROM p""")
-def claim_verify(spark, sf_dir):
-    """An assistant's turn as a claim, the turn before it as its evidence: supported from an overlap of 0.3 on."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.significant_tokens(F.col("text")).alias("claim"))
-    evidence = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("claim").alias("evidence"))
-    pairs = turns.where("role = 'assistant'").join(evidence, ["conv_id", "turn"])
-    overlap = F.coalesce(F.try_divide(F.size(F.array_intersect("claim", "evidence")), F.size("claim")), F.lit(0.0))
-    return pairs.select("conv_id", "turn", F.when(overlap >= 0.3, "SUPPORTED").otherwise("UNCERTAIN").alias("status"), F.round(overlap, 6).alias("overlap"))
-
-
-@query(r"""
-SELECT * FROM (VALUES ('ok', 'ok'), ('a' || chr(10) || '====' || chr(10) || 'b', 'a' || chr(10) || '[quoted from document: ====]' || chr(10) || 'b'),
- ('SOURCE S1:', '[quoted from document: SOURCE S1:]'), ('the system: on', 'the system: on')) AS t(text, safe)""")
-def defang(spark, sf_dir):
-    rows = [("ok",), ("a\n====\nb",), ("SOURCE S1:",), ("the system: on",)]
-    return spark.createDataFrame(rows, "text string").withColumn("safe", T.defang(F.col("text")))
