@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import cut_lineage
 
 DENSE_FLOOR, DENSE_TOP, SPARSE_TOP, FUSED_TOP, EVIDENCE_TOP = 0.2, 30, 30, 20, 6
 RRF_K = 60
@@ -38,35 +39,51 @@ def postings(docs: DataFrame, key: str) -> DataFrame:
     return words.groupBy(key, "token").count().groupBy(key, T.feature_hash(F.col("token")).alias("idx")).agg(F.sum("count").alias("tf"))
 
 
-def document_frequencies(index: DataFrame, n_docs: Column) -> DataFrame:
-    """(idx, df, idf) with the probabilistic inverse document frequency."""
+def matches(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+    """(query, document, score, terms) of every pair with a common term: query tf x document tf x idf, summed, and how many terms are common.
+
+    Only the queries' terms of the documents are kept: distinct tokens are hashed once, those that share a place with a
+    query's are joined to the documents' tokens as they are read, and the counts give both the frequencies and the
+    postings. A query's weights of a term meet the term's postings as one list, so that a frequent term isn't a
+    hot key of pairs; scores are summed within tasks before they are shuffled.
+    """
+    asked = postings(queries, query_key)
+    words = docs.select(F.col(doc_key), F.explode(T.tokens(F.col("text"))).alias("token"))
+    places = words.select("token").distinct().select("token", T.feature_hash(F.col("token")).alias("idx"))
+    vocabulary = cut_lineage(places.join(asked.select("idx").distinct(), "idx", "left_semi"))
+    index = cut_lineage(words.join(vocabulary, "token").groupBy(doc_key, "idx").agg(F.count("*").alias("tf")))
+    size = docs.agg(F.count("*").alias("size"))
     df = index.groupBy("idx").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    idf = F.log(1 + (F.col("size") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df, "idx").join(F.broadcast(size)).select("idx", query_key, (F.col("tf") * idf).alias("w"))
+    lists = weighed.groupBy("idx").agg(F.collect_list(F.struct(query_key, "w")).alias("asked"))
+    pairs = index.join(lists, "idx").select(doc_key, "tf", F.inline("asked"))
+    return pairs.groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("tf") * F.col("w")), 6).alias("score"), F.count("*").alias("terms"))
 
 
 def sparse_top(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int = SPARSE_TOP) -> DataFrame:
     """(query, document, score, rank) by the sum of query tf x document tf x idf, through the inverted index."""
-    index = postings(docs, doc_key)
-    asked = postings(queries, query_key).withColumnRenamed("tf", "qf")
-    size = docs.agg(F.count("*").alias("n"))
-    weights = document_frequencies(index, F.lit(size.first().n))
-    hits = asked.join(weights, "idx").join(index, "idx")
-    scored = hits.groupBy(query_key, doc_key).agg(F.sum(F.col("qf") * F.col("tf") * F.col("idf")).alias("score"))
-    rounded = scored.withColumn("score", F.round("score", 6))
-    return top_k_per(rounded, [query_key], [F.desc("score"), F.col(doc_key)], k)
+    return top_k_per(matches(queries, docs, query_key, doc_key).drop("terms"), [query_key], [F.desc("score"), F.col(doc_key)], k)
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int = DENSE_TOP, floor: float = DENSE_FLOOR) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine of a stated query set, in blocks, against all vectors."""
-    block = F.floor(F.row_number().over(Window.partitionBy(F.pmod("vec_id", F.lit(64))).orderBy("vec_id")) / QUERY_BLOCK)
-    blocks = queries.withColumn("b", block).groupBy(F.pmod("vec_id", F.lit(64)).alias("p"), "b").agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).alias("qs"))
-    pairs = vectors.crossJoin(blocks.select("qs")).select("vec_id", "embedding", F.inline("qs"))
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-    cosine = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    scored = pairs.where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine, 6).alias("score")).where(F.col("score") >= floor)
+    """(query_id, vec_id, score, rank): exact cosine of a stated query set against all vectors, block by block.
+
+    Vectors are made units once. Queries are cut into blocks of at most ``QUERY_BLOCK``, and each vector meets each block
+    by an equi-join on the block's number; a block keeps its best rows within the tasks before anything is ranked.
+    """
+
+    def unit(column: str):
+        x = F.transform(column, lambda v: v.cast("double"))
+        return F.transform(x, lambda v: v / F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y)))
+
+    n_blocks = F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("int").alias("n")))
+    asked = queries.join(n_blocks).select((F.pmod(F.xxhash64("vec_id"), F.col("n"))).alias("b"), F.col("vec_id").alias("query_id"), unit("embedding").alias("q"))
+    blocks = asked.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    rows = vectors.join(n_blocks).select("vec_id", unit("embedding").alias("e"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("b"))
+    pairs = rows.join(blocks, "b").select("vec_id", "e", F.inline("qs")).where("vec_id <> query_id")
+    cosine = F.aggregate(F.zip_with("e", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("query_id", "vec_id", F.round(cosine, 6).alias("score")).where(F.col("score") >= floor)
     return top_k_per(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
 
@@ -81,15 +98,19 @@ def fuse(first: DataFrame, second: DataFrame, query: str, item: str, k: int = FU
     return top_k_per(scored, [query], [F.desc("score"), F.asc_nulls_last("r1"), F.asc_nulls_last("r2"), F.col(item)], k).select(query, item, "score", "rank")
 
 
-def rerank_decision(ranked: DataFrame, query: str, document: str) -> DataFrame:
-    """Per query whether to rerank: never for one row; for several documents, over six rows, or a close lead."""
+def rerank_decision(ranked: DataFrame, query: str, document: str, exact: Column | None = None) -> DataFrame:
+    """Per query whether to rerank: never for one row; for several documents; else never for exact matches; for over six rows, or a close lead.
+
+    ``exact`` says of a row whether its query was matched exactly.
+    """
     lead = Window.partitionBy(query).orderBy("rank")
     facts = ranked.withColumn("second", F.lead("score").over(lead)).groupBy(query).agg(
         F.count("*").alias("n"),
         F.countDistinct(document).alias("n_documents"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"),
         F.max(F.when(F.col("rank") == 1, F.col("second"))).alias("s2"),
+        F.bool_or(F.lit(False) if exact is None else exact).alias("exact"),
     )
     close = (F.col("s1") > 0) & ((F.col("s1") - F.col("s2")) / F.col("s1") < CLOSE_GAP)
-    verdict = F.when(F.col("n") <= 1, False).when(F.col("n_documents") > 1, True).when(F.col("n") > EVIDENCE_TOP, True).otherwise(F.coalesce(close, F.lit(False)))
+    verdict = F.when(F.col("n") <= 1, False).when(F.col("n_documents") > 1, True).when(F.col("exact"), False).when(F.col("n") > EVIDENCE_TOP, True).otherwise(F.coalesce(close, F.lit(False)))
     return facts.select(query, F.col("n").alias("n_rows"), "n_documents", verdict.alias("rerank"))

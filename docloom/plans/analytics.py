@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import quantiles
 from docloom.plans.registry import query
 from docloom.session import table
 
@@ -15,19 +15,42 @@ TOP = 20
 @query("""
 SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS answered,
        count(*) FILTER (WHERE event_type = 'error') AS insufficient, round(avg(value), 6) AS avg_latency,
-       round(quantile_cont(value, 0.95), 6) AS p95_latency,
-       round(count(*) FILTER (WHERE event_type <> 'error') / count(*)::DOUBLE, 6) AS answered_rate
+       round(quantile_cont(value, 0.95), 6) AS p95_latency, round(avg(value * 0.000001), 9) AS avg_cost,
+       round(count(*) FILTER (WHERE event_type <> 'error') / count(*)::DOUBLE, 6) AS answered_rate,
+       round(count(*) FILTER (WHERE event_type = 'purchase') / count(*)::DOUBLE, 6) AS citation_coverage,
+       round(count(*) FILTER (WHERE event_type = 'click') / count(*)::DOUBLE, 6) AS cache_hit_rate
 FROM events GROUP BY user_id""")
 def overview(spark, sf_dir):
+    """Usage by tenant; kinds of events stand in for citations and cache hits, a share of the latency for the cost."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
     failed = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+
+    def rate(of):
+        return F.round(F.coalesce(F.try_divide(F.count_if(of), F.count("*")), F.lit(0.0)), 6)
+
+    whole = events.groupBy("user_id").agg(
         F.count("*").alias("total"),
         F.count_if(~failed).alias("answered"),
         F.count_if(failed).alias("insufficient"),
         F.round(F.avg("value"), 6).alias("avg_latency"),
-        F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95_latency"),
-        F.round(F.coalesce(F.try_divide(F.count_if(~failed), F.count("*")), F.lit(0.0)), 6).alias("answered_rate"),
+        F.round(F.avg(F.col("value") * 0.000001), 9).alias("avg_cost"),
+        rate(~failed).alias("answered_rate"),
+        rate(F.col("event_type") == "purchase").alias("citation_coverage"),
+        rate(F.col("event_type") == "click").alias("cache_hit_rate"),
     )
+    counts = events.where("value is not null").groupBy("user_id", "value").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("user_id").agg(F.sum("c").alias("n"))
+    at = (F.col("n") - 1) * 0.95
+    held = _between(counts, sizes.select("user_id", (F.floor(at) + 1).alias("place"), (at - F.floor(at)).alias("part"), F.least(F.floor(at) + 2, F.col("n")).alias("following")), "user_id")
+    return whole.join(held.select("user_id", F.round("between", 6).alias("p95_latency")), "user_id", "left")
+
+
+def _between(counts, wanted, key):
+    """(key, between): the value ``part`` of the way from the value at ``place`` to that at ``following``."""
+    places = wanted.select(key, F.explode(F.array_distinct(F.array("place", "following"))).alias("place"))
+    found = quantiles.values_at(counts, places, key)
+    low, high = found.select(key, "place", F.col("value").alias("low")), found.select(key, F.col("place").alias("following"), F.col("value").alias("high"))
+    return wanted.join(low, [key, "place"]).join(high, [key, "following"]).select(key, (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("between"))
 
 
 @query(r"""
@@ -64,15 +87,11 @@ def top_documents(spark, sf_dir):
 
 
 @query("""
-SELECT source, count(*) AS n_documents, sum(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)))::BIGINT AS n_chunks,
-       count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE lang = 'de') AS n_de,
-       count(*) FILTER (WHERE lang = 'fr') AS n_fr, count(*) FILTER (WHERE lang = 'es') AS n_es
-FROM documents GROUP BY source""")
+SELECT source, coalesce(lang, '(none)') AS lang, count(*) AS n_documents, sum(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)))::BIGINT AS n_chunks FROM documents GROUP BY ALL""")
 def kb_status(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    """Documents and chunks by tenant and language, whatever languages there are."""
     chunks = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0))
-    langs = [F.count_if(F.col("lang") == x).alias(f"n_{x}") for x in ("en", "de", "fr", "es")]
-    return docs.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(chunks).alias("n_chunks"), *langs)
+    return table(spark, sf_dir, "documents").groupBy("source", F.coalesce("lang", F.lit("(none)")).alias("lang")).agg(F.count("*").alias("n_documents"), F.sum(chunks).alias("n_chunks"))
 
 
 @query("""
@@ -102,18 +121,12 @@ WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
            FROM n GROUP BY event_type, n)
 SELECT event_type, n, round(CASE WHEN n >= 20 THEN low + (place - floor(place)) * (coalesce(high, low) - low) ELSE top END, 6) AS p95 FROM p""")
 def latency_p95_exclusive(spark, sf_dir):
-    """The exclusive quantile from 20 values on, else the largest. Counts by value come first, so no group is sorted whole."""
+    """The exclusive quantile from 20 values on, else the largest; ranges of values are narrowed in rounds, so no group is sorted whole."""
     counts = table(spark, sf_dir, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value"))
-    sized = counts.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy("event_type"))})
-    place = (F.col("n") + 1) * 0.95
-    found = sized.groupBy("event_type", "n").agg(
-        F.max("value").alias("top"),
-        F.min(F.when(F.col("upto") >= F.floor(place), F.col("value"))).alias("low"),
-        F.min(F.when(F.col("upto") >= F.floor(place) + 1, F.col("value"))).alias("high"),
-    )
-    between = F.col("low") + (place - F.floor(place)) * (F.coalesce("high", "low") - F.col("low"))
-    return found.select("event_type", "n", F.round(F.when(F.col("n") >= 20, between).otherwise(F.col("top")), 6).alias("p95"))
+    sizes = counts.groupBy("event_type").agg(F.sum("c").alias("n"))
+    at = F.when(F.col("n") >= 20, (F.col("n") + 1) * 0.95).otherwise(F.col("n"))
+    wanted = sizes.select("event_type", F.floor(at).alias("place"), (at - F.floor(at)).alias("part"), F.least(F.floor(at) + 1, F.col("n")).alias("following"))
+    return _between(counts, wanted, "event_type").join(sizes, "event_type").select("event_type", "n", F.round("between", 6).alias("p95"))
 
 
 @query("""

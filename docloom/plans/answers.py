@@ -139,14 +139,19 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _answers(spark, sf_dir):
+def cited(rows):
+    """The assistant's turns of ``rows`` with the citations they are given."""
     how = (F.col("conv_id") + F.col("turn")) % 5
-    text = F.col("text")
-    cited = (
+    text = F.coalesce("text", F.lit(""))
+    said = (
         F.when(how == 0, F.concat(text, F.lit(" [S1]"))).when(how == 1, F.concat(text, F.lit(" [S1, S2] Pasal 3 "), text, F.lit(" [S9]"))).when(how == 2, text)
         .when(how == 3, F.concat(F.lit("Menurut Pasal 3 "), text, F.lit(" [S1] lalu "), text, F.lit(" [ S2 ]"))).otherwise(F.concat(text, F.lit(" [S1][S2] tail")))
     )
-    return _turns(spark, sf_dir).where("role = 'assistant'").select(*KEYS, cited.alias("text"))
+    return rows.where("role = 'assistant'").select(*KEYS, said.alias("text"))
+
+
+def _answers(spark, sf_dir):
+    return cited(_turns(spark, sf_dir))
 
 
 def _evidence(spark, sf_dir):

@@ -30,9 +30,9 @@ def latest_job_left_join(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 def anti_promoted(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
@@ -97,7 +97,7 @@ def star_join(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4""")
+SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 8""")
 def recent_messages(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return ranking.top_k_per(rows, ["conv_id"], [F.desc("turn")], 4, "n").drop("n")
+    return ranking.top_k_per(rows, ["conv_id"], [F.desc("turn")], 8, "n").drop("n")

@@ -33,11 +33,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's, or, where none is set (tests), one of our own."""
+    """The shared checkpoint folder: the cluster's, or, where none is set and all runs on one machine (tests), one of our own."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current is None:
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
         current = context.getCheckpointDir()
     return current
