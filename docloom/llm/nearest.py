@@ -1,12 +1,13 @@
 """Approximate nearest neighbours: stable projections, a kd-tree, and a chi-square stopping test.
 
 Unit vectors are projected to ``DIMS`` dimensions by independent Gaussian (2-stable) sums. The upper levels of
-one kd-tree, grown on a bounded sample of projections, part all rows into cells, one group of a shuffle each;
-each cell grows the lower levels itself. A query takes its projected neighbours in order of distance and
-verifies them by the cosine of the original vectors. If a row at true distance s lies within projected distance
-r, then (r / s) squared follows a chi-square law with ``DIMS`` degrees of freedom: the search stops as soon as
-that law, at the next projected distance and the k-th best true distance, exceeds ``CERTAINTY``. The first round
-searches a query's home cell; the bound found there tells which other cells the second round has to ask.
+one kd-tree, grown on a bounded sample of projections, part all rows into cells, one group of a shuffle each (a cell
+of more than ``CELL_ROWS`` rows is dealt into several groups); each group grows the lower levels itself. A query goes
+through the tree's buckets in order of their distance and verifies a row by the cosine of the original vectors only
+while the row's projected distance passes the stopping test. If a row at true distance s lies within projected
+distance r, then (r / s) squared follows a chi-square law with ``DIMS`` degrees of freedom: a query is done with all
+rows for which that law, at their projected distance and the k-th best true distance, exceeds ``CERTAINTY``. The
+first round searches a query's home group; the bound found there tells which others the second round has to ask.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from docloom.session import cut_lineage
 
-DIMS = 8
+DIMS = 24
 K = 5
-CERTAINTY = 0.97
-SAMPLE = 20_000
+CERTAINTY = 0.94
+SAMPLE = 8_192
 CELL_ROWS = 8_192
 BUCKET = 64
 SEED = 17
@@ -128,6 +129,7 @@ class Cell:
         _, self.leaves = grow(self.low, BUCKET)
         self.lower = np.array([self.low[rows].min(0) for rows in self.leaves])
         self.upper = np.array([self.low[rows].max(0) for rows in self.leaves])
+        self.verified = 0
 
     def search(self, queries: np.ndarray, low: np.ndarray, bound: np.ndarray, k: int, certainty: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows (-1: none) and cosines of the k nearest found for each unit query; ``bound``: a k-th best known so far."""
@@ -138,17 +140,23 @@ class Cell:
         point = chi_square_point(certainty)
         active = np.arange(n)
         for step in range(len(self.leaves)):
-            kth = np.maximum(best[active, -1], bound[active])
-            limit = point * np.maximum(2 - 2 * kth, 0.0)  # beyond this projected distance the test holds
-            active = active[(away[active, order[active, step]] <= limit) | ~np.isfinite(kth)]
+            # beyond this projected distance the test holds; without k rows it never does
+            limit = point * np.maximum(2 - 2 * np.maximum(best[active, -1], bound[active]), 0.0)
+            going = away[active, order[active, step]] <= limit
+            active, limit = active[going], limit[going]
             if not len(active):
                 break
             turn = order[active, step]
-            for leaf in np.unique(turn):
-                who, members = active[turn == leaf], self.leaves[leaf]
-                cosines = queries[who] @ self.unit[members].T
+            by_turn = np.argsort(turn, kind="stable")
+            for part in np.split(by_turn, np.flatnonzero(np.diff(turn[by_turn])) + 1):
+                who, members = active[part], self.leaves[turn[part[0]]]
+                near = ((low[who, None, :] - self.low[None, members, :]) ** 2).sum(2) <= limit[part, None]
+                q, m = np.nonzero(near)
+                self.verified += len(q)
+                cosines = np.full(near.shape, -np.inf)
+                cosines[q, m] = np.einsum("ij,ij->i", queries[who[q]], self.unit[members[m]])
                 together = np.hstack([best[who], cosines])
-                names = np.hstack([rows[who], np.broadcast_to(members, cosines.shape)])
+                names = np.hstack([rows[who], np.where(near, members, -1)])
                 top = np.argsort(-together, axis=1, kind="stable")[:, :k]
                 best[who], rows[who] = np.take_along_axis(together, top, 1), np.take_along_axis(names, top, 1)
         return rows, best
@@ -184,12 +192,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, certainty: float
     order = Window.partitionBy("embedding").orderBy("vec_id")
     listed = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     points = cut_lineage(listed.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    sample = [np.array(r.embedding) for r in points.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()]
-    if not sample:
-        return empty
     total = points.count()
-    unit = np.array(sample)
-    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+    share = max(1, -(-total // SAMPLE))
+    sample = [np.array(r.embedding) for r in points.where(F.pmod(F.xxhash64("embedding"), F.lit(share)) == 0).select("embedding").collect()]
+    if not total:
+        return empty
+    unit = np.array(sample, dtype=np.float64).reshape(-1, width)
+    unit = unit[np.lexsort(unit.T)] / np.maximum(np.linalg.norm(unit[np.lexsort(unit.T)], axis=1), 1e-300)[:, None]
     cells = max(1, -(-total // cell_rows))
     nodes, leaves = grow(unit @ matrix, max(1, -(-len(unit) // cells)))
     lower, upper = boxes(nodes, DIMS, len(leaves))
@@ -201,15 +210,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, certainty: float
         return u, u @ matrix
 
     @F.pandas_udf("long")
-    def cell_of(embeddings: pd.Series) -> pd.Series:
+    def leaf_of(embeddings: pd.Series) -> pd.Series:
         return pd.Series(home(nodes, low_of(embeddings)[1]), dtype="int64")
 
+    # a leaf's rows are dealt to as many groups as keep each within cell_rows
+    in_leaves = cut_lineage(points.withColumn("leaf", leaf_of("embedding")))
+    groups = np.ones(len(leaves), np.int64)
+    for row in in_leaves.groupBy("leaf").count().collect():
+        groups[row.leaf] = -(-row["count"] // cell_rows)
+    first_group = np.concatenate([[0], np.cumsum(groups)])
+
+    @F.pandas_udf("long")
+    def cell_of(leaf: pd.Series, dealt: pd.Series) -> pd.Series:
+        return pd.Series(first_group[leaf.to_numpy()] + dealt.to_numpy() % groups[leaf.to_numpy()], dtype="int64")
+
     @F.pandas_udf("array<long>")
     def cells_within(embeddings: pd.Series, homes: pd.Series, bound: pd.Series) -> pd.Series:
         low, radius = low_of(embeddings)[1], reach * np.maximum(2 - 2 * bound.fillna(-1.0).to_numpy(), 0.0)
         out, step = [], max(1, 4_000_000 // len(lower))
         for at in range(0, len(low), step):
-            near = box_distance(low[at : at + step], lower, upper) <= radius[at : at + step, None]
+            near = np.repeat(box_distance(low[at : at + step], lower, upper) <= radius[at : at + step, None], groups, axis=1)
             near[np.arange(len(near)), homes.to_numpy()[at : at + step]] = False
             out += [np.flatnonzero(x).tolist() for x in near]
         return pd.Series(out)
@@ -225,8 +245,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, certainty: float
         return pd.DataFrame({"embedding": who.embedding.to_numpy()[q], "ids": members.ids.to_numpy()[hit], "other": members.embedding.to_numpy()[hit], "bound": best[q, col]})
 
     shape = "embedding array<double>, ids array<long>, other array<double>, bound double"
-    placed = points.withColumn("cell", cell_of("embedding"))
-    first = asked.select("embedding").distinct().withColumn("cell", cell_of("embedding")).withColumn("bound", F.lit(None).cast("double"))
+    dealt = F.pmod(F.xxhash64(F.lit("dealt"), "embedding"), F.lit(1 << 31))
+    placed = in_leaves.withColumn("cell", cell_of("leaf", dealt)).drop("leaf")
+    first = asked.select("embedding").distinct().withColumn("leaf", leaf_of("embedding")).withColumn("cell", cell_of("leaf", dealt)).drop("leaf").withColumn("bound", F.lit(None).cast("double"))
     members = placed.groupBy("cell")
     at_home = cut_lineage(members.cogroup(first.groupBy("cell")).applyInPandas(search, shape))
     # k + 1 rows, counted with their copies, bound the distance that still matters
