@@ -1,55 +1,84 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-Fingerprints within ``max_bits`` agree wholly on one of ``max_bits + 1`` bands, so each distinct fingerprint
-goes to one shard a band: the shard of its zero distance to that band's value. Inside a shard a vantage-point
-tree parts the fingerprints by their distance to a vantage point; the triangle bound prunes the branches that
-cannot hold a partner. A shard with too many members is parted the same way before any task sees it: the
-fingerprints outside the radius, but within ``max_bits`` of it, visit the inner shard as well, which is enough
-to find every pair that crosses the boundary. Each task reports star-shaped links, no more than one for each
-fingerprint it looked at, never all pairs of a group; classes are found by contracting the link graph.
+The upper levels of one vantage-point tree are grown on a bounded sample of fingerprints and part all distinct
+fingerprints by their distance to a vantage point. A fingerprint outside a radius, but within ``max_bits`` of it,
+visits the inner side as well, and a visitor goes wherever the triangle bound lets a partner be: that is enough to
+find every pair that crosses a boundary, and all else is pruned. Each leaf is a shard of a shuffle and grows the
+tree's lower levels itself. Tasks report star-shaped links, no more than one for each fingerprint a block looked at,
+never all pairs of a group; classes are found by contracting the link graph.
+
+``deduplicate`` looks for texts whose sets of ``SHINGLE`` words are alike by ``ALIKE`` or more. At that likeness
+fingerprints of ``WIDE`` words of 64 bits differ in up to ``WIDE_BITS`` bits nearly always. The vantage point is then
+the empty text, whose distance is the size of a set: sets of a ratio below ``ALIKE`` can't be alike, so shells of sizes
+meet only their neighbours. What has met is checked on the texts themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
+from docloom.llm.once import computed, written
 from docloom.session import cut_lineage, shuffle_partitions
 
 WORDS = 4
 MAX_BITS = 4
 SEED = 42
-SHARD_MAX = 20_000
-SPLIT_ROUNDS = 8
-LEAF = 512
+SAMPLE = 20_000
+SHARD_ROWS = 32_768
+LEAF = 128
+SHINGLE, ALIKE = 5, 0.8
+WIDE, WIDE_BITS = 2, 27
+BLOCK_ROWS = 16_384
+LEADERS = 16
+SMALL_ROWS = 4_000_000  # a table of two numbers a row is broadcast up to this size, and joined by a shuffle beyond
 _CHUNK = 1 << 16
+_AREA = 1 << 21
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint of a text's word shingles as a signed number; 0 if it has no word."""
+def _shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
+    """Hashes of a text's word shingles, repeats included (of the whole sequence, if shorter), and its words joined."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64), b""
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
-    width = min(words, len(found))
-    ends = (starts + sizes)[width - 1 :].tolist()
+    ends = (starts + sizes)[min(words, len(found)) - 1 :].tolist()
     hashes = (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends))
-    shingles = np.fromiter(hashes, np.dtype("<u8"), len(ends))
+    return np.fromiter(hashes, np.dtype("<u8"), len(ends)), joined
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed number; 0 if there are none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), _CHUNK):
-        part = shingles[at : at + _CHUNK]
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK])
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > max(1, len(hashes)), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint of a text's word shingles as a signed number; 0 if it has no word."""
+    return _majority(_shingle_hashes(text, words)[0])
+
+
+def wide_fingerprint(text: str | None, words: int = SHINGLE) -> tuple[int, int, int, int]:
+    """A hash of the words, two words of fingerprint, and the number of distinct shingles. The second word's bits come from the same hashes, mixed."""
+    hashes, joined = _shingle_hashes(text, words)
+    distinct = np.unique(hashes)
+    mixed = (distinct ^ (distinct >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return xxh64_intdigest(joined) - (1 << 63), _majority(distinct), _majority(mixed ^ (mixed >> np.uint64(32))), len(distinct)
 
 
 @F.pandas_udf(LongType())
@@ -63,12 +92,27 @@ def fingerprints(docs: DataFrame, words: int = WORDS):
     return _fingerprints(docs["text"].cast("string"), F.lit(words))
 
 
-def _star(own: np.ndarray, others: np.ndarray, max_bits: int) -> Iterator[np.ndarray]:
-    """Links (2 x n) that join what lies within ``max_bits`` of a member of ``own``, block by block."""
-    every = np.concatenate([own, others])
-    for at in range(0, len(own), LEAF):
-        rows = own[at : at + LEAF]
-        near = np.bitwise_count(rows[:, None] ^ every[None, :]) <= max_bits
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("h", "f0", "f1", "n")]))
+def _wide_fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield pd.DataFrame([wide_fingerprint(t) for t in texts], columns=["h", "f0", "f1", "n"], dtype="int64")
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (rows of 64-bit words), one by one or each with each."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _star(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, max_bits: int) -> Iterator[np.ndarray]:
+    """Links (2 x n) of ids that join what lies within ``max_bits`` of a member of ``own``, block by block."""
+    every, ids = np.concatenate([own, others]), np.concatenate([own_ids, other_ids])
+    step = max(1, min(LEAF, _AREA // max(1, len(every))))
+    for at in range(0, len(own), step):
+        rows = own[at : at + step]
+        away = np.zeros((len(rows), len(every)), np.uint8)
+        for word in range(own.shape[1]):
+            away += np.bitwise_count(rows[:, word, None] ^ every[None, :, word])
+        near = away <= max_bits
         if near.sum() == len(rows):  # each row meets only itself
             continue
         label = np.arange(len(rows))
@@ -79,112 +123,163 @@ def _star(own: np.ndarray, others: np.ndarray, max_bits: int) -> Iterator[np.nda
                 break
             label = again
         met = np.flatnonzero(by_column < len(rows))
-        roots = rows[by_column[met]]
-        apart = every[met] != roots
-        yield np.stack([every[met][apart], roots[apart]])
+        roots = own_ids[at : at + step][by_column[met]]
+        apart = ids[met] != roots
+        yield np.stack([ids[met][apart], roots[apart]])
+
 
+def parted(fps: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """A vantage point among the fingerprints and the radius that halves them; none if all are equally far."""
+    vantage = fps[len(fps) // 2]
+    far = distances(fps, vantage)
+    radius = int(np.median(far))
+    if radius == far.max():
+        radius = int(far[far < radius].max(initial=-1))
+    return None if radius < 0 else (vantage, radius)
 
-def tree_links(own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF) -> Iterator[np.ndarray]:
-    """Links of distinct fingerprints: own with own and own with visitors, by a vantage-point tree."""
+
+def tree_links(own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF, seen: dict | None = None) -> Iterator[np.ndarray]:
+    """Links of distinct 64-bit fingerprints: own with own and own with visitors, by a vantage-point tree.
+
+    ``seen`` counts the splits made and the visits pruned by the triangle bound.
+    """
     stack = [(own, visitors)]
     while stack:
         own, visitors = stack.pop()
-        if len(own) <= leaf:
+        split = parted(own[:, None]) if len(own) > leaf else None
+        if split is None:
             if len(own):
-                yield from _star(own, visitors, max_bits)
+                yield from _star(own[:, None], own, visitors[:, None], visitors, max_bits)
             continue
-        vantage = own[len(own) // 2]
-        far, far_v = np.bitwise_count(own ^ vantage), np.bitwise_count(visitors ^ vantage)
-        radius = int(np.median(far))
-        if radius == far.max():
-            radius -= 1
-        inner, near_border = far <= radius, far.astype(np.int64) <= radius + max_bits
-        stack.append((own[inner], np.concatenate([visitors[far_v.astype(np.int64) <= radius + max_bits], own[~inner & near_border]])))
-        stack.append((own[~inner], visitors[far_v.astype(np.int64) > radius - max_bits]))
-
-
-def _split_large(shards: DataFrame, max_bits: int, shard_max: int) -> DataFrame:
-    """Parts shards of more than ``shard_max`` own members by vantage points, with visitors across boundaries.
-
-    After ``SPLIT_ROUNDS`` rounds a shard may still be large; its task then searches it in blocks, as any other.
-    """
-    for _ in range(SPLIT_ROUNDS):
-        large = cut_lineage(
-            shards.where("own").groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage")).where(F.col("n") > shard_max)
-        )
-        if large.isEmpty():
-            break
-        measured = shards.join(large, "shard", "left").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
-        radii = (
-            measured.where("own and vantage is not null")
-            .groupBy("shard")
-            .agg(F.percentile_approx("d", 0.5).alias("median"), F.max("d").alias("most"))
-            .select("shard", F.when(F.col("median") == F.col("most"), F.col("most") - 1).otherwise(F.col("median")).alias("radius"))
-        )
-        placed = measured.join(radii, "shard", "left")
-        side = F.xxhash64("shard", "radius", "vantage")
-        inner, outer, d, radius = side, F.xxhash64(side), F.col("d"), F.col("radius")
-        home = F.when(d <= radius, inner).otherwise(outer)
-        copies = (
-            F.when(F.col("vantage").isNull(), F.array(F.struct(F.col("shard").alias("shard"), F.col("own").alias("own"))))
-            .when(
-                F.col("own"),
-                F.concat(
-                    F.array(F.struct(home.alias("shard"), F.lit(True).alias("own"))),
-                    F.when((d > radius) & (d <= radius + max_bits), F.array(F.struct(inner.alias("shard"), F.lit(False).alias("own")))).otherwise(
-                        F.array().cast("array<struct<shard:bigint,own:boolean>>")
-                    ),
-                ),
-            )
-            .otherwise(
-                F.filter(
-                    F.array(
-                        F.when(d <= radius + max_bits, F.struct(inner.alias("shard"), F.lit(False).alias("own"))),
-                        F.when(d > radius - max_bits, F.struct(outer.alias("shard"), F.lit(False).alias("own"))),
-                    ),
-                    lambda x: x.isNotNull(),
-                )
-            )
-        )
-        shards = cut_lineage(placed.select("fp", F.inline(copies)).select("shard", "fp", "own"))
-    return shards
-
-
-def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_max: int = SHARD_MAX) -> DataFrame:
+        vantage, radius = split
+        far, far_v = distances(own[:, None], vantage), distances(visitors[:, None], vantage)
+        inner, near_border = far <= radius, far <= radius + max_bits
+        to_inner, to_outer = far_v <= radius + max_bits, far_v > radius - max_bits
+        if seen is not None:
+            seen["splits"] = seen.get("splits", 0) + 1
+            seen["pruned"] = seen.get("pruned", 0) + int((~near_border).sum() + (~to_inner).sum() + (~to_outer).sum())
+        stack.append((own[inner], np.concatenate([visitors[to_inner], own[~inner & near_border]])))
+        stack.append((own[~inner], visitors[to_outer]))
+
+
+def upper_tree(sample: np.ndarray, most: int) -> list[tuple[int, int, int, int]]:
+    """Upper levels over a sample: nodes (vantage, radius, inner, outer), the root last; a leaf is a negative number."""
+    nodes: list[tuple[int, int, int, int]] = []
+    leaves = 0
+
+    def build(fps: np.ndarray) -> int:
+        nonlocal leaves
+        split = parted(fps[:, None]) if len(fps) > most else None
+        if split is None:
+            leaves += 1
+            return -leaves
+        vantage, radius = split
+        inner = distances(fps[:, None], vantage) <= radius
+        at = build(fps[inner]), build(fps[~inner])
+        nodes.append((int(vantage[0]), radius, *at))
+        return len(nodes) - 1
+
+    build(sample)
+    return nodes
+
+
+def placed(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], max_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, fingerprints, own) of every leaf that fingerprints live in or have to visit."""
+    stack = [(len(nodes) - 1 if nodes else -1, fps, np.ones(len(fps), bool))]
+    while stack:
+        at, rows, own = stack.pop()
+        if not len(rows):
+            continue
+        if at < 0:
+            yield -at - 1, rows, own
+            continue
+        vantage, radius, inner, outer = nodes[at]
+        far = distances(rows[:, None], np.array([vantage], np.uint64))
+        home = far <= radius
+        goes_in, goes_out = home | (far <= radius + max_bits), np.where(own, ~home, far > radius - max_bits)
+        stack.append((inner, rows[goes_in], (own & home)[goes_in]))
+        stack.append((outer, rows[goes_out], own[goes_out]))
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each shard of batches that come sorted by their first column."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns)]
+        cuts = np.flatnonzero(np.diff(held[0])) + 1
+        parts = list(zip(*(np.split(x, cuts) for x in held)))
+        yield from parts[:-1]  # the last shard may go on in the next batch
+        rest = list(parts[-1])
+    if rest is not None:
+        yield rest
+
+
+def _link_batch(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if parts:
+        a, b = np.concatenate(parts, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINK)
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
     """Distinct links (a, b) whose graph joins exactly the fingerprints that ``max_bits`` or fewer bits join.
 
     ``fps``: distinct fingerprints in column fp. Two are linked here if a chain of near pairs joins them;
-    not every near pair has a row of its own.
+    not every near pair has a row of its own. Shards hold about ``shard_rows`` fingerprints of their own, and
+    fewer where there are tasks to share them.
     """
-    bands = max_bits + 1
-    edges = [round(64 * b / bands) for b in range(bands + 1)]
-    keys = F.array(*(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) * bands + b for b, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-    shards = _split_large(fps.select(F.explode(keys).alias("shard"), "fp", F.lit(True).alias("own")), max_bits, shard_max)
+    tasks = shuffle_partitions(fps.sparkSession)
+    total = fps.count()
+    share = max(1, -(-total // SAMPLE))
+    sample = np.sort(np.array([r.fp for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).collect()], np.int64)).view(np.uint64)
+    sample = np.random.default_rng(SEED).permutation(sample)
+    nodes = upper_tree(sample, max(8, min(shard_rows, max(shard_rows // 32, total // (2 * tasks))) // share))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, rows, own in placed(batch.column(0).to_numpy().view(np.uint64), nodes, max_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(rows.view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(shard: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            parts = []
-            for fp_part, own_part in zip(np.split(fp, cuts), np.split(own, cuts)):
-                if len(fp_part) > 1:
-                    parts += tree_links(fp_part[own_part], fp_part[~own_part], max_bits)
-            if parts:
-                a, b = np.concatenate(parts, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINK)
-
-        rest = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
-        for batch in batches:
-            columns = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
-            held = tuple(np.concatenate(pair) for pair in zip(rest, columns))
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last shard may go on in the next batch
-            yield from found(*(x[:last] for x in held))
-            rest = tuple(x[last:] for x in held)
-        yield from found(*rest)
-
-    dealt = shards.repartition(shuffle_partitions(fps.sparkSession), "shard").sortWithinPartitions("shard")
+        for _, fp, own in _by_shard(batches):
+            fp, own = fp.view(np.uint64), own.astype(bool)
+            yield from _link_batch(list(tree_links(fp[own], fp[~own], max_bits, leaf)))
+
+    dealt = fps.select("fp").mapInArrow(place, "shard int, fp long, own boolean").repartition(tasks, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
+def wide_links(sets: DataFrame, max_bits: int = WIDE_BITS, alike: float = ALIKE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) of nodes whose wide fingerprints lie within ``max_bits`` and whose sizes allow the likeness.
+
+    ``sets``: node, f0, f1, n (distinct shingles). Shell k holds the sizes from ``alike ** -k`` on; a shell's rows meet
+    each other and those of the next, in blocks of ``block_rows``.
+    """
+    tasks = shuffle_partitions(sets.sparkSession)
+    shell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / alike) + 1e-9).cast("int")
+    rows = sets.select("node", "f0", "f1", "n", shell.alias("shell"))
+    blocks = {r.shell: -(-r["count"] // block_rows) for r in rows.groupBy("shell").count().collect()}  # shells: at most the logarithm of the largest size
+    number = F.create_map(*(F.lit(x) for pair in (blocks or {0: 1}).items() for x in pair))
+    of = F.coalesce(F.try_element_at(number, F.col("shell")), F.lit(1))
+    below = F.coalesce(F.try_element_at(number, F.col("shell") - 1), F.lit(0))
+    own = F.pmod(F.xxhash64("node"), of).cast("int")
+
+    def at(shell: Column, block: Column, mine: Column) -> Column:
+        return F.struct(shell.alias("shell"), block.alias("block"), mine.alias("own"))
+
+    here = F.transform(F.sequence(F.lit(0), of - 1), lambda b: at(F.col("shell"), b, b == own))
+    there = F.when(below > 0, F.transform(F.sequence(F.lit(0), F.greatest(below - 1, F.lit(0))), lambda b: at(F.col("shell") - 1, b, F.lit(False)))).otherwise(F.array().cast("array<struct<shell:int,block:int,own:boolean>>"))
+    dealt = rows.select("node", "f0", "f1", F.explode(F.concat(here, there)).alias("x")).select(F.xxhash64("x.shell", "x.block").alias("shard"), "node", "f0", "f1", "x.own")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, node, f0, f1, own in _by_shard(batches):
+            own = own.astype(bool)
+            fps = np.stack([f0, f1], axis=1).view(np.uint64)
+            yield from _link_batch(list(_star(fps[own], node[own], fps[~own], node[~own], max_bits)))
+
+    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long").distinct()
+
+
 def classes(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the link graph: equal roots, if and only if a path joins the nodes.
 
@@ -208,7 +303,12 @@ def classes(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, shard_max: int = SHARD_MAX) -> DataFrame:
+def small(table: DataFrame) -> DataFrame:
+    """``table`` (written before; a few numbers a row) marked for broadcast if it has at most ``SMALL_ROWS`` rows."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, root, component_id) of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``fp`` is the signed fingerprint, ``root`` names the class of fingerprints and ``component_id`` is the
@@ -218,25 +318,103 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     """
     prints = cut_lineage(docs.select(F.col("doc_id").cast("long"), fingerprints(docs, words).alias("fp")))
     fps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = classes(links(fps.select("fp"), max_bits, shard_max))
-    rooted = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+    labels = classes(links(fps.select("fp"), max_bits, shard_rows)).withColumnRenamed("node", "fp")
+    # only classes of several fingerprints are looked up by root
+    linked = cut_lineage(fps.join(small(labels), "fp"))
+    named = cut_lineage(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    told = linked.join(small(named), "root").select("fp", "root", "component_id")
+    alone = fps.join(small(labels), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return prints.join(small(cut_lineage(told.unionByName(alone))), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def shingle_set(text: Column, words: int = SHINGLE) -> Column:
+    """The distinct hashes of a text's word shingles (of its whole sequence of words, if shorter), A to Z in lower case."""
+    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hashes = F.transform(F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
+
+    def windows(h: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - words + 1)), lambda i: F.xxhash64(F.slice(h, i, words))))
 
+    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(windows(h))), 1)
 
-def deduplicate(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``docs`` for each class of near duplicates: that of the smallest doc_id, all columns as they were.
 
-    Null ids come after all others; of repeated rows of the chosen id and fingerprint one stays. An empty
-    table stays empty.
+def _kept_leaders(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a few rows in order, those that are not alike to a kept one before them."""
+    kept: list[tuple[int, np.ndarray]] = []
+    ordered = rows.sort_values(["none", "doc_id", "node"])
+    for node, shingles in zip(ordered.node, ordered.shingles):
+        own = np.sort(shingles)
+        common = (len(np.intersect1d(own, x, assume_unique=True)) for _, x in kept)
+        if not any(c >= ALIKE * (len(own) + len(x) - c) for c, (_, x) in zip(common, kept)):
+            kept.append((node, own))
+    return pd.DataFrame({"node": [n for n, _ in kept]}, dtype="int64")
+
+
+def unlike(members: DataFrame) -> DataFrame:
+    """The nodes to keep of every class: each other member is alike (``ALIKE`` of the joint shingles, or more) to one kept, and no two kept are.
+
+    ``members``: node, root, none, doc_id, shingles, in whose order (none, doc_id) members are kept. In each round a class's
+    first ``LEADERS`` undecided members decide among themselves, and those kept are held against its other members;
+    large classes are dealt to several tasks.
+    """
+    order = Window.partitionBy("root").orderBy("none", "doc_id", "node")
+    kept, open_ = None, members
+    while True:
+        first = cut_lineage(open_.select("root", "node", F.row_number().over(order).alias("n"), "none", "doc_id").where(F.col("n") <= LEADERS).select("root", "node"))
+        leaders = open_.join(first.select("node"), "node", "left_semi")
+        chosen = cut_lineage(leaders.groupBy("root").applyInPandas(_kept_leaders, "node long"))
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        rest = cut_lineage(open_.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > LEADERS).withColumn("parts", F.ceil(F.col("m") / 256).cast("int")))
+        if rest.isEmpty():
+            return kept
+        others = open_.join(small(rest.select("root", "parts")), "root").join(first.select("node"), "node", "left_anti").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        held = leaders.join(chosen, "node", "left_semi").join(small(rest.select("root", "parts")), "root").select("root", F.col("shingles").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        common = F.size(F.array_intersect("shingles", "of"))
+        met = common >= ALIKE * (F.size("shingles") + F.size("of") - common)
+        gone = cut_lineage(others.join(held, ["root", "part"]).where(met).select("node").distinct())
+        open_ = written(others.join(gone, "node", "left_anti").drop("parts", "part"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` without near duplicates, all columns as they were: every row that goes is alike to one that stays.
+
+    Two texts are alike if their sets of ``SHINGLE``-word shingles share ``ALIKE`` of what either holds; texts of fewer
+    words are one shingle, and texts without words are all alike. Candidates are found by wide fingerprints and
+    checked on the shingles. Of alike rows that of the smaller doc_id stays; null ids come after all others, and of
+    repeated rows one stays. An empty table stays empty.
     """
     names = docs.columns
-    found = near_duplicates(docs, words, max_bits)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
-    chosen = chosen.select(F.col("x.doc_id").alias("__id"), F.col("x.fp").alias("__fp"))
-    marked = docs.withColumn("__own_fp", fingerprints(docs, words)).withColumn("__own_id", F.col("doc_id").cast("long"))
-    kept = marked.join(chosen, (F.col("__own_fp") == F.col("__fp")) & F.col("__own_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__own_fp", "__own_id"]).select(*names)
+    kept = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)]
+    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("t", F.xxhash64("text", F.length("text")))
+    prints = written(computed(rows, ["doc_id", "t"], {"x": _wide_fingerprints(F.col("text"))}).select("doc_id", "t", "x.*"))
+    node = F.xxhash64("h", "f0", "f1", "n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("x")
+    sets = written(prints.groupBy(node.alias("node")).agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), least).select("node", "f0", "f1", "n", "x.*"))
+    roots = classes(wide_links(sets))
+    found = cut_lineage(sets.join(small(roots), "node").select("node", "root", "none", "doc_id", "t"))
+    key = ["doc_id", "t"]
+
+    def by_key(table: DataFrame) -> tuple[DataFrame, Column]:
+        named = table.withColumnsRenamed({c: f"__k_{c}" for c in key})
+        return small(named), F.col("t").eqNullSafe(F.col("__k_t")) & F.col("doc_id").eqNullSafe(F.col("__k_doc_id"))
+
+    wanted, same = by_key(found)
+    texts = rows.select(*key, "text").join(wanted, same).select("node", "root", "none", F.col("__k_doc_id").alias("doc_id"), "text")
+    again = cut_lineage(prints.groupBy(*key).count().where("count > 1").select(*key))
+    repeats = not again.isEmpty()
+    members = computed(texts, ["node", "root", "none", "doc_id"], {"shingles": shingle_set(F.col("text"))})
+    members = written(members.dropDuplicates(["node"]) if repeats else members)
+    dropped = found.select("node").join(unlike(members), "node", "left_anti")
+    # a row stays if it is the first of its text and that text is kept
+    firsts = sets.join(small(cut_lineage(dropped)), "node", "left_anti").select(*key)
+    goes = cut_lineage(prints.select(*key).distinct().join(firsts, (prints["t"] == firsts["t"]) & prints["doc_id"].eqNullSafe(firsts["doc_id"]), "left_anti"))
+    gone, same = by_key(goes)
+    left = rows.join(gone, same, "left_anti")
+    if repeats:
+        repeated, same = by_key(again)
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(key))
+    return left.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))
 
 
 def hex_digits(fp):

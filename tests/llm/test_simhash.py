@@ -63,12 +63,12 @@ def crafted(seed=3):
     return np.array(out, dtype=np.uint64)
 
 
-@pytest.mark.parametrize("shard_max", [20_000, 8])
-def test_classes_of_crafted_fingerprints(spark, shard_max):
+@pytest.mark.parametrize("shard_rows", [20_000, 8])
+def test_classes_of_crafted_fingerprints(spark, shard_rows):
     fps = crafted()
     distinct = np.unique(fps)
     frame = spark.createDataFrame([(int(x),) for x in distinct.view(np.int64)], "fp long")
-    found = {r.node % 2**64: r.root for r in simhash.classes(simhash.links(frame, shard_max=shard_max)).collect()}
+    found = {r.node % 2**64: r.root for r in simhash.classes(simhash.links(frame, shard_rows=shard_rows, leaf=8)).collect()}
     want = plain_classes(list(enumerate(distinct)))
     got: dict = {}
     for i, value in enumerate(distinct):
@@ -120,3 +120,61 @@ def test_the_query_against_brute_force(spark):
     want = plain_classes([(r.doc_id, plain_fingerprint(r.text)) for r in docs])
     got = QUERIES["op1_simhash"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_trees_grow_on_the_documents_and_prune(spark):
+    """On the query's own fingerprints the upper tree parts the rows, shards split on, and the triangle bound prunes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    fps = np.unique(np.array([simhash.fingerprint(r.text) for r in docs], np.int64).view(np.uint64))
+    nodes = simhash.upper_tree(fps, 256)
+    shards = list(simhash.placed(fps, nodes, simhash.MAX_BITS))
+    assert len(shards) > 2 and sum(int(own.sum()) for _, _, own in shards) == len(fps)
+    assert sum(len(rows) for _, rows, _ in shards) < 0.8 * len(shards) * len(fps)
+    seen: dict = {}
+    for _, rows, own in shards:
+        list(simhash.tree_links(rows[own], rows[~own], seen=seen, leaf=64))
+    assert seen["splits"] > 2 and seen["pruned"] > 0
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {b""}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rng, n_bases=150):
+    """Texts and copies with edits, whose likeness lies between 0.8 and 0.95, and copies with too many edits."""
+    rows = []
+    for base in range(n_bases):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 400))]
+        rows.append((2 * base + 1, " ".join(words)))
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.choice([0.005, 0.012, 0.02, 0.06]))), replace=False):
+            words[at] = f"new{at}"
+        rows.append((2 * base + 2, " ".join(words)))
+    return rows
+
+
+def test_deduplicate_against_brute_force(spark):
+    rows = edited(np.random.default_rng(11))
+    rows += [(1000 + i, rows[0][1] + f" tail{i}") for i in range(40)] + [(None, rows[2][1]), (2000, rows[4][1].upper()), (2001, None), (2002, " "), (2003, "a b"), (2004, "A  b")]
+    kept = {(r.doc_id, r.text) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {r: shingles(r[1]) for r in rows}
+    gone = [r for r in rows if r not in kept]
+    assert all(any(alike(sets[r], sets[k]) for k in kept) for r in gone)
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if a in kept and b in kept and alike(sets[a], sets[b])]
+    near = sum(alike(shingles(rows[i][1]), shingles(rows[i + 1][1])) for i in range(0, 300, 2))
+    assert near > 60 and len(pairs) <= 0.05 * near
+    assert (None, rows[2][1]) not in kept and not any((i, t) in kept for i, t in rows if i in (2000, 2002, 2004) or (i or 0) in range(1000, 1040))
+
+
+def test_many_unlike_members_of_one_class_are_all_decided(spark):
+    """A chain class of more members than are decided at a time, none of them alike to more than its neighbours."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 10**9, 60 * 40).tolist()
+    members = [(n, 1, False, n, [int(x) for x in words[n * 40 : n * 40 + 40]]) for n in range(60)]
+    members += [(100 + n, 1, False, 100 + n, members[n][4][:39] + [7]) for n in range(0, 60, 2)]
+    frame = spark.createDataFrame(members, "node long, root long, none boolean, doc_id long, shingles array<long>")
+    assert sorted(r.node for r in simhash.unlike(frame).collect()) == list(range(60))
