@@ -2,8 +2,8 @@
 
 Every line is labelled good or bad from its own features and those of the lines next to it; the
 forward-backward marginals of "good", weighted by line length, add up to the document's quality. The
-field is trained on the driver from the line features of at most ``train_docs`` labelled documents
-(``train_lines`` lines of each); scoring covers every line of every text, one partition at a time.
+field is trained on the driver from the features of every line of at most ``train_docs`` labelled documents;
+scoring covers every line of every text, one partition at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 3_000
-TRAIN_LINES = 48
+AREA = 40_000  # lines, with padding, that are worked on at a time
 HELD_OUT_OF, HELD_OUT = 4, 2
 ACCEPT = 0.7
 
@@ -79,7 +79,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def forward_backward(emissions: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals (docs x lines x 2), expected moves (2 x 2, over all docs) and log partition of each doc."""
+    """Marginals (docs x lines x 2), those of neighbouring labels (docs x lines - 1 x 2 x 2) and log partition of each doc."""
     docs, longest, _ = emissions.shape
     alpha, beta = np.zeros_like(emissions), np.zeros_like(emissions)
     alpha[:, 0] = emissions[:, 0]
@@ -92,8 +92,19 @@ def forward_backward(emissions: np.ndarray, moves: np.ndarray, mask: np.ndarray)
     log_z = _log_sum(alpha[:, -1], 1)
     marginals = np.exp(alpha + beta - log_z[:, None, None]) * mask[..., None]
     pairs = alpha[:, :-1, :, None] + moves + (emissions[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
-    expected = (np.exp(np.minimum(pairs, 0.0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
-    return marginals, expected, log_z
+    return marginals, np.exp(np.minimum(pairs, 0.0)) * mask[:, 1:, None, None], log_z
+
+
+def batches_of(sizes: list[int]) -> Iterator[list[int]]:
+    """Places of sequences of similar length, at most ``AREA`` lines with padding at a time (a longer one stands alone)."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end - at + 1) * sizes[order[end]] <= AREA:
+            end += 1
+        yield order[at:end]
+        at = end
 
 
 class LineField:
@@ -111,24 +122,24 @@ class LineField:
             return cls(weights, moves, np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32))
         every = np.vstack(parts)
         centre, scale = every.mean(0), every.std(0) + 1e-3
-        x, mask = padded([with_neighbours((p - centre) / scale) for p in parts])
-        counts = mask.sum(1)
         share = np.bincount(labels, minlength=2) / len(labels)
-        per_doc = 0.5 / np.maximum(share, 1e-6)[labels] / counts / len(labels)  # classes and documents weigh alike
-        x = x.astype(np.float64)
-        weighted = x * (mask * per_doc[:, None])[..., None]
-        truth = np.zeros((*mask.shape, 2))
-        truth[np.arange(len(labels)), :, labels] = 1.0
-        truth *= mask[..., None]
+        of_doc = 0.5 / np.maximum(share, 1e-6)[labels] / np.array([len(p) for p in parts]) / len(labels)  # classes and documents weigh alike
+        groups = []
+        for rows in batches_of([len(p) for p in parts]):
+            x, mask = padded([with_neighbours((parts[i] - centre) / scale) for i in rows])
+            truth = np.zeros((*mask.shape, 2))
+            truth[np.arange(len(rows)), :, labels[rows]] = 1.0
+            groups.append((x, mask, truth * mask[..., None], of_doc[rows]))
         stays = np.zeros((2, 2))
-        np.add.at(stays, (labels, labels), (counts - 1) * per_doc)
+        np.add.at(stays, (labels, labels), (np.array([len(p) for p in parts]) - 1) * of_doc)
         state = [np.zeros_like(a) for a in (weights, weights, moves, moves)]
         for step in range(1, rounds + 1):
-            marginals, _, _ = forward_backward(x @ weights, moves, mask)
-            gradient = np.einsum("dtf,dtk->fk", weighted, truth - marginals) - decay * weights
-            # the moves' expectations are weighted by document as the labels are
-            both = marginals[:, :-1, :, None] * marginals[:, 1:, None, :]
-            expected = (both * (mask[:, 1:] * per_doc[:, None])[..., None, None]).sum(axis=(0, 1))
+            gradient, expected = -decay * weights, np.zeros((2, 2))
+            for x, mask, truth, of in groups:
+                marginals, pairs, _ = forward_backward((x @ weights.astype(np.float32)).astype(np.float64), moves, mask)
+                off = ((truth - marginals) * of[:, None, None]).astype(np.float32)
+                gradient = gradient + np.tensordot(x, off, axes=([0, 1], [0, 1]))
+                expected += np.tensordot(of, pairs.sum(1), axes=1)
             for at, (value, slope) in enumerate(((weights, gradient), (moves, stays - expected - decay * moves))):
                 first, second = state[2 * at], state[2 * at + 1]
                 first += 0.1 * (slope - first)
@@ -136,22 +147,28 @@ class LineField:
                 value += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         return cls(weights, moves, centre, scale)
 
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        """What each line's own features and its neighbours' say of its labels, without a row of all of them."""
+        own = (features - self.centre) / self.scale
+        said = self.weights[0] + own @ self.weights[1 : 1 + N_FEATURES]
+        said[1:] += own[:-1] @ self.weights[1 + N_FEATURES : 1 + 2 * N_FEATURES]
+        said[:-1] += own[1:] @ self.weights[1 + 2 * N_FEATURES :]
+        return said
+
     def score(self, texts: list[str]) -> np.ndarray:
         """The quality of each text, 0 to 1; texts of similar length share a batch of bounded area."""
         found = [line_features(t) for t in texts]
-        order = sorted(range(len(texts)), key=lambda i: len(found[i][0]))
-        scores, at = np.empty(len(texts)), 0
-        while at < len(order):
-            end, longest = at + 1, len(found[order[at]][0])
-            while end < len(order) and end - at < 1024 and (end - at + 1) * len(found[order[end]][0]) <= 40_000:
-                longest, end = len(found[order[end]][0]), end + 1
-            batch = order[at:end]
-            x, mask = padded([with_neighbours((found[i][0] - self.centre) / self.scale) for i in batch])
-            marginals, _, _ = forward_backward(x.astype(np.float64) @ self.weights, self.moves, mask)
-            for row, i in enumerate(batch):
+        scores = np.empty(len(texts))
+        for rows in batches_of([len(lengths) for _, lengths in found]):
+            longest = max(len(found[i][1]) for i in rows)
+            emissions, mask = np.zeros((len(rows), longest, 2)), np.zeros((len(rows), longest), bool)
+            for row, i in enumerate(rows):
+                n = len(found[i][1])
+                emissions[row, :n], mask[row, :n] = self.emissions(found[i][0]), True
+            marginals, _, _ = forward_backward(emissions, self.moves, mask)
+            for row, i in enumerate(rows):
                 lengths = found[i][1]
                 scores[i] = float(np.dot(marginals[row, : len(lengths), 1], lengths) / lengths.sum())
-            at = end
         return np.clip(scores, 0.0, 1.0)
 
 
@@ -160,11 +177,11 @@ def remainder(doc_id, of: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineField:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineField:
     """Fits the field on at most ``train_docs`` labelled rows outside the held-out fold, chosen by hashed id.
 
-    Labels null in either column are left out; of several labels of one id the largest counts. With no
-    labelled document at all every score is 0.5.
+    Labels null in either column are left out; of several labels of one id the largest counts, and of several
+    texts of one id the one that is least by hash. With no labelled document at all every score is 0.5.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT))
@@ -177,11 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [line_features(t or "")[0][:train_lines] for t in pdf.text]
+            parts = [line_features(t or "")[0] for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "quality": pdf.quality, "features": [p.tobytes() for p in parts]})
 
-    found = rows.mapInPandas(features, "doc_id long, quality int, features binary").limit(2 * train_docs).collect()
-    found.sort(key=lambda r: (r.doc_id, r.features))
+    every = rows.mapInPandas(features, "doc_id long, quality int, features binary")
+    found = every.groupBy("doc_id").agg(F.min_by(F.struct("quality", "features"), F.xxhash64("features")).alias("x")).select("doc_id", "x.*").collect()
+    found.sort(key=lambda r: r.doc_id)
     parts = [np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES) for r in found]
     return LineField.fit(parts, np.array([int(r.quality > 0) for r in found], dtype=np.int64))
 

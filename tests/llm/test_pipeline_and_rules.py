@@ -70,6 +70,37 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(marginals[0], by_place / total) and np.isclose(log_z[0], np.log(total))
 
 
+def plain_score(field, text):
+    """A text's score line by line, with plain sums over all labelings of two neighbours."""
+    features, lengths = quality_crf.line_features(text or "")
+    rows = quality_crf.with_neighbours((features - field.centre) / field.scale).astype(float)
+    said = [np.exp(r @ field.weights) for r in rows]
+    step = np.exp(field.moves)
+    ahead, behind = [said[0] / said[0].sum()], [np.ones(2)]
+    for e in said[1:]:
+        a = np.array([sum(ahead[-1][i] * step[i, j] for i in (0, 1)) * e[j] for j in (0, 1)])
+        ahead.append(a / a.sum())
+    for e in said[:0:-1]:
+        b = np.array([sum(step[i, j] * e[j] * behind[-1][j] for j in (0, 1)) for i in (0, 1)])
+        behind.append(b / b.sum())
+    good = [a[1] * b[1] / (a @ b) for a, b in zip(ahead, behind[::-1])]
+    return float(np.dot(good, lengths) / lengths.sum())
+
+
+def test_scores_against_a_plain_field(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    field = quality_crf.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = {r.doc_id: plain_score(field, r.text) for r in docs.collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op2_quality_crf"](spark, SMALL).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_a_text_of_very_many_lines_is_scored_whole():
+    field = quality_crf.LineField(np.random.default_rng(1).standard_normal((40, 2)), np.zeros((2, 2)), np.zeros(13, np.float32), np.ones(13, np.float32))
+    text = "\n".join(f"line {i} of a text !" if i % 3 else "### $$" for i in range(100_000))
+    assert abs(field.score([text])[0] - plain_score(field, text)) < 1e-6
+
+
 def test_held_out_accuracy(spark):
     where = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{where}/labels.parquet")
