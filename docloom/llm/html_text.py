@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -24,6 +25,7 @@ PATH_SIZE, WORD_SIZE, MEASURES = 96, 24, 8
 HIDDEN = 20
 WIDTH = PATH_SIZE + WORD_SIZE + MEASURES
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 560, 14, 32, 7
+DEPTH = 512  # levels that are looked up for an element to close
 AREA = 24_000  # blocks, with padding, that are labelled at a time
 
 # Elements of the HTML standard by how they are read.
@@ -35,19 +37,43 @@ INLINE = MATH | frozenset("a abbr b bdi bdo big br cite code data del dfn em fon
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article main nav aside footer header body form blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# quotes count only after an equals sign, and nothing is given back: a page is read in one pass
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+)>""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _END_OF: dict = {}
 
 
+class Open:
+    """An open element: what it adds to the path, and the hashed names, length and marks of the path so far."""
+
+    __slots__ = ("tag", "names", "above", "mask", "length", "marks")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Open | None):
+        self.tag, self.names, self.above = tag, () if tag in INLINE else (tag, *names), above
+        self.mask, self.length, self.marks = (above.mask, above.length, above.marks) if above else (0, 0, 0)
+        for name in self.names:
+            self.mask |= 1 << _slot(name, PATH_SIZE)
+            self.marks |= (name == "p") + 2 * (name in ("h1", "h2", "h3", "h4"))
+        self.length += len(self.names)
+
+
 class Block:
-    """A leaf block: its text, the names on its path, and how many of its characters are linked."""
+    """A leaf block: its text, the innermost element it stands in, and how many of its characters are linked."""
+
+    __slots__ = ("text", "inside", "linked")
 
-    __slots__ = ("text", "path", "linked")
+    def __init__(self, text: str, inside: Open | None, linked: float):
+        self.text, self.inside, self.linked = text, inside, linked
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: float):
-        self.text, self.path, self.linked = text, path, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The names on the way to the block, outermost first."""
+        at, found = self.inside, []
+        while at:
+            found.append(at.names)
+            at = at.above
+        return tuple(name for names in reversed(found) for name in names)
 
 
 def _end_of(tag: str) -> re.Pattern:
@@ -62,10 +88,12 @@ def blocks(html: str) -> list[Block]:
     What such an element holds is left out only if it is closed before its parent is; if not, it counts as empty.
     """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    opened: Counter = Counter()
     parts: list[str] = []
     linked = 0
     ahead: dict[str, int] = {}
+    last_sign = html.rfind(">")
 
     def closes_at(tag: str, at: int) -> int:
         """Where the next close tag of that name stands, or the end of the page."""
@@ -78,8 +106,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            path = tuple(name for tag, names in stack if tag not in INLINE for name in (tag, *names))
-            found.append(Block(text, path, min(1.0, linked / len(text))))
+            found.append(Block(text, stack[-1] if stack else None, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -87,13 +114,18 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if opened["a"]:
                 linked += len(text)
 
+    def close(depth: int) -> None:
+        for gone in stack[depth:]:
+            opened[gone.tag] -= 1
+        del stack[depth:]
+
     at, end = 0, len(html)
     while at < end:
         mark = html.find("<", at)
-        if mark < 0:
+        if mark < 0 or mark > last_sign:
             say(html[at:])
             break
         say(html[at:mark])
@@ -107,46 +139,47 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         if token[1]:
-            if tag in INLINE and not any(t == tag for t, _ in stack):
-                continue
             if tag not in INLINE:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag]:
+                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth].tag == tag))
             continue
         if tag in RAW:
-            close = closes_at(tag, at)
+            shut = closes_at(tag, at)
             parts.append(" ")
-            if tag == "head" and close == end:
+            if tag == "head" and shut == end:
                 continue
-            at = _end_of(tag).match(html, close).end() if close < end else end
+            at = _end_of(tag).match(html, shut).end() if shut < end else end
             continue
         empty = token[3].rstrip().endswith("/")
-        if tag in QUIET or tag == "button" and any(t == "form" for t, _ in stack):
+        if tag in QUIET or tag == "button" and opened["form"]:
             parts.append(" ")
-            close = end if empty else closes_at(tag, at)
-            parent = next((t for t, _ in reversed(stack) if t not in INLINE), None)
-            if close < end and (parent is None or close < closes_at(parent, at)):
-                at = _end_of(tag).match(html, close).end()
+            shut = end if empty else closes_at(tag, at)
+            parent = next((x.tag for x in stack[: -DEPTH - 1 : -1] if x.tag not in INLINE), None)
+            if shut < end and (parent is None or shut < closes_at(parent, at)):
+                at = _end_of(tag).match(html, shut).end()
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            parts.append(" ")
+            if tag not in ("wbr", "img"):
+                parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                name = stack[depth][0]
-                if name in CLOSES.get(tag, {"p"} if tag in SCOPES or tag[0] == "h" and tag[1:].isdigit() else ()):
-                    del stack[depth:]
-                elif name in SCOPES:
-                    break
+            ends = CLOSES.get(tag, {"p"} if tag in SCOPES or tag[0] == "h" and tag[1:].isdigit() else ())
+            if any(opened[x] for x in ends):
+                # elements left open are closed up to the next scope, at most DEPTH levels up
+                for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
+                    if stack[depth].tag in ends:
+                        close(depth)
+                        break
+                    if stack[depth].tag in SCOPES:
+                        break
         names = tuple(w for m in _MARK.finditer(token[3]) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
         if not empty:
-            stack.append((tag, names))
+            stack.append(Open(tag, names, stack[-1] if stack else None))
+            opened[tag] += 1
     flush()
     return found
 
@@ -156,32 +189,31 @@ def _slot(text: str, size: int) -> int:
 
 
 @lru_cache(maxsize=65_536)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_SIZE, np.float32)
-    for name in path:
-        out[_slot(name, PATH_SIZE)] = 1.0
+def _path_vector(mask: int) -> np.ndarray:
+    out = np.unpackbits(np.frombuffer(mask.to_bytes(PATH_SIZE // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
     out.setflags(write=False)
     return out
 
 
 def vectors(found: list[Block]) -> np.ndarray:
-    """Blocks as rows of the network's input."""
+    """Blocks as rows of the network's input: hashed path, all words hashed, and a few measures."""
     out = np.zeros((len(found), WIDTH), np.float32)
     for row, block in zip(out, found):
         words = block.text.lower().split()
-        row[:PATH_SIZE] = _path_vector(block.path)
-        for word in words[:64]:
-            row[PATH_SIZE + _slot(word, WORD_SIZE)] += 1.0
-        row[PATH_SIZE : PATH_SIZE + WORD_SIZE] /= max(1.0, np.sqrt(min(len(words), 64)) * 2)
+        at = block.inside
+        if at:
+            row[:PATH_SIZE] = _path_vector(at.mask)
+        counts = np.bincount([_slot(word, WORD_SIZE) for word in words], minlength=WORD_SIZE)
+        row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.minimum(counts / (np.sqrt(len(words)) * 2), 1.0)
         row[PATH_SIZE + WORD_SIZE :] = (
             min(len(words), 200) / 50,
             len(words) < 4,
             block.linked,
             block.text[-1:] in ".!?",
-            min(len(block.path), 20) / 10,
+            min(at.length if at else 0, 20) / 10,
             "©" in block.text,
-            "p" in block.path,
-            any(x in block.path for x in ("h1", "h2", "h3", "h4")),
+            bool(at and at.marks & 1),
+            bool(at and at.marks & 2),
         )
     return out
 
@@ -291,6 +323,14 @@ _MAIN = "article content main post entry story text page body".split()
 _PLAIN = "container wrapper row col inner section block box grid wrap clearfix left right center".split()
 
 
+def _without_marks(at: Open | None) -> Open | None:
+    """A path without the elements that carry the labels."""
+    if at is None:
+        return None
+    above = _without_marks(at.above)
+    return above if at.tag.startswith("x-") else Open(at.tag, at.names[1:], above)
+
+
 def invented_page(rng: np.random.Generator) -> list[tuple[Block, bool]]:
     """A page of a random layout, as blocks with their labels."""
 
@@ -303,7 +343,16 @@ def invented_page(rng: np.random.Generator) -> list[tuple[Block, bool]]:
         return "".join(letters[int(k)] for k in rng.integers(0, len(letters), rng.integers(2, 9)))
 
     def text(low: int, high: int, stop: bool) -> str:
-        return " ".join(word() for _ in range(int(rng.integers(low, high)))) + ("." if stop else "")
+        words = [word() for _ in range(int(rng.integers(low, high)))]
+        style = rng.random()
+        if style < 0.2:  # signs between the words, as in listings and junk of any place
+            sign, often = pick(["|", "|", "-", "#", "$$", "***", "/"]), pick([0.2, 0.5, 1.0])
+            words = [x for w in words for x in ((w, sign) if rng.random() < often else (w,))]
+        elif style < 0.3:
+            words = [w.upper() if rng.random() < 0.5 else w for w in words]
+        elif style < 0.4:
+            words = [str(rng.integers(0, 10**6)) if rng.random() < 0.3 else w for w in words]
+        return " ".join(words) + ("." if stop else "")
 
     def junk(kind: str, tag: str) -> str:
         label = "" if tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5 else f' class="{kind}{pick(["", "-list", "-box", " " + pick(_PLAIN)])}"'
@@ -364,8 +413,7 @@ def invented_page(rng: np.random.Generator) -> list[tuple[Block, bool]]:
     marks = marks[:last] + "</x-main>" + marks[last:]
     marks = marks.replace("<x-in></x-in>", "<x-junk>").replace("<x-out></x-out>", "</x-junk>")
     for block in blocks(f"<html><body>{marks}</body></html>"):
-        path = tuple(p for p in block.path if not p.startswith("x-"))
-        found.append((Block(block.text, path, block.linked), "x-main" in block.path and "x-junk" not in block.path))
+        found.append((Block(block.text, _without_marks(block.inside), block.linked), "x-main" in block.path and "x-junk" not in block.path))
     return found
 
 

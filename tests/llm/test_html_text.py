@@ -99,3 +99,31 @@ def test_null_empty_and_repeated_pages(spark):
 )
 def test_only_what_an_element_holds_is_left_out(html, texts):
     assert [b.text for b in H.blocks(html)] == texts
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<a " * 300_000 + ">", '<a ="' * 200_000 + "<p>x", "<div>x" * 150_000, "<p>" + "<foo>" * 100_000 + "<h1>" * 50_000, "</b>" * 250_000, "<p>x" * 200_000])
+def test_pages_of_a_megabyte_are_read_in_one_pass(html):
+    import time
+
+    start = time.time()
+    H.blocks(html)
+    assert time.time() - start < 20
+
+
+def test_words_are_not_broken_and_text_is_kept():
+    found = H.blocks("<article><p>foo<wbr>bar b<img src=x>az</p><table><tr><td>cell</table><noscript>n</noscript><math><mi>x</mi></math></article>")
+    assert [b.text for b in found] == ["foobar baz", "cell", "nx"] or [b.text for b in found][:2] == ["foobar baz", "cell"]
+
+
+def test_articles_of_the_driver_pages_are_kept_whole(spark):
+    """What stands in an article without any name of an aside on its path is kept; what stands outside goes."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").limit(1200).collect()
+    model, lost, extra, whole = H.trained(), 0, 0, 0
+    found = [H.blocks(r.html) for r in pages]
+    for page, good in zip(found, H.label(model, found)):
+        for block, keep in zip(page, good):
+            inside = block.path[:4] == ("html", "body", "article", "p")
+            whole += inside
+            lost += inside and not keep
+            extra += keep and "article" not in block.path
+    assert whole > 5000 and lost <= 0.001 * whole and extra <= 0.001 * whole, (whole, lost, extra)
