@@ -10,7 +10,8 @@ never all pairs of a group; classes are found by contracting the link graph.
 ``deduplicate`` looks for texts whose sets of ``SHINGLE`` words are alike by ``ALIKE`` or more. At that likeness
 fingerprints of ``WIDE`` words of 64 bits differ in up to ``WIDE_BITS`` bits nearly always. The vantage point is then
 the empty text, whose distance is the size of a set: sets of a ratio below ``ALIKE`` can't be alike, so shells of sizes
-meet only their neighbours. What has met is checked on the texts themselves.
+meet only their neighbours. Every text is linked to the nearest of each block it meets; links are checked on the texts
+themselves, and classes are those of the links that hold.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
@@ -33,12 +34,12 @@ WORDS = 4
 MAX_BITS = 4
 SEED = 42
 SAMPLE = 20_000
-SHARD_ROWS = 32_768
+SHARD_ROWS = 65_536
 LEAF = 128
 SHINGLE, ALIKE = 5, 0.8
-WIDE, WIDE_BITS = 2, 27
+WIDE, WIDE_BITS = 2, 30
 BLOCK_ROWS = 16_384
-LEADERS = 16
+VANTAGES = 8
 SMALL_ROWS = 4_000_000  # a table of two numbers a row is broadcast up to this size, and joined by a shuffle beyond
 _CHUNK = 1 << 16
 _AREA = 1 << 21
@@ -128,14 +129,43 @@ def _star(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: n
         yield np.stack([ids[met][apart], roots[apart]])
 
 
-def parted(fps: np.ndarray) -> tuple[np.ndarray, int] | None:
-    """A vantage point among the fingerprints and the radius that halves them; none if all are equally far."""
-    vantage = fps[len(fps) // 2]
-    far = distances(fps, vantage)
-    radius = int(np.median(far))
-    if radius == far.max():
-        radius = int(far[far < radius].max(initial=-1))
-    return None if radius < 0 else (vantage, radius)
+def _nearest(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, nearest, distance) of what lies within ``max_bits`` of a row of ``own``, once for each ``LEAF`` of them."""
+    every, ids = np.concatenate([own, others]), np.concatenate([own_ids, other_ids])
+    step = max(1, min(LEAF, _AREA // max(1, len(every))))
+    for at in range(0, len(own), LEAF):
+        held, by = np.full(len(every), 255, np.uint8), np.zeros(len(every), np.int64)
+        for first in range(at, min(at + LEAF, len(own)), step):
+            rows = own[first : min(first + step, at + LEAF)]
+            away = np.zeros((len(rows), len(every)), np.uint8)
+            for word in range(own.shape[1]):
+                away += np.bitwise_count(rows[:, word, None] ^ every[None, :, word])
+            own_id = own_ids[first : first + len(rows)]
+            away[:, : len(own)][own_id[:, None] >= own_ids[None, :]] = 255
+            least = away.argmin(0)
+            found = away[least, np.arange(len(every))]
+            closer = found < held
+            held[closer], by[closer] = found[closer], own_id[least[closer]]
+        met = np.flatnonzero(held <= max_bits)
+        if len(met):
+            yield ids[met], by[met], held[met].astype(np.int32)
+
+
+def parted(fps: np.ndarray, max_bits: int) -> tuple[np.uint64, int] | None:
+    """A vantage point and a radius that part the fingerprints with the fewest near the border; none if all are equally far.
+
+    Of ``VANTAGES`` points and the radii that leave a quarter on either side, judged by at most 2,048 fingerprints.
+    """
+    judged = fps[:: max(1, len(fps) // 2048)]
+    best = None
+    for vantage in fps[:: max(1, len(fps) // VANTAGES)][:VANTAGES]:
+        counts = np.cumsum(np.bincount(distances(judged[:, None], vantage), minlength=65)) / len(judged)
+        for radius in range(64):
+            inner = counts[radius]
+            if 0 < inner < 1:
+                cost = (not 0.25 <= inner <= 0.75, counts[min(64, radius + max_bits)] - inner, abs(inner - 0.5))
+                best = min(best or (cost, vantage, radius), (cost, vantage, radius), key=lambda x: x[0])
+    return best and best[1:]
 
 
 def tree_links(own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF, seen: dict | None = None) -> Iterator[np.ndarray]:
@@ -146,7 +176,7 @@ def tree_links(own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS,
     stack = [(own, visitors)]
     while stack:
         own, visitors = stack.pop()
-        split = parted(own[:, None]) if len(own) > leaf else None
+        split = parted(own, max_bits) if len(own) > leaf else None
         if split is None:
             if len(own):
                 yield from _star(own[:, None], own, visitors[:, None], visitors, max_bits)
@@ -162,21 +192,21 @@ def tree_links(own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS,
         stack.append((own[~inner], visitors[to_outer]))
 
 
-def upper_tree(sample: np.ndarray, most: int) -> list[tuple[int, int, int, int]]:
+def upper_tree(sample: np.ndarray, most: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int, int]]:
     """Upper levels over a sample: nodes (vantage, radius, inner, outer), the root last; a leaf is a negative number."""
     nodes: list[tuple[int, int, int, int]] = []
     leaves = 0
 
     def build(fps: np.ndarray) -> int:
         nonlocal leaves
-        split = parted(fps[:, None]) if len(fps) > most else None
+        split = parted(fps, max_bits) if len(fps) > most else None
         if split is None:
             leaves += 1
             return -leaves
         vantage, radius = split
         inner = distances(fps[:, None], vantage) <= radius
         at = build(fps[inner]), build(fps[~inner])
-        nodes.append((int(vantage[0]), radius, *at))
+        nodes.append((int(vantage), radius, *at))
         return len(nodes) - 1
 
     build(sample)
@@ -225,15 +255,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS
     """Distinct links (a, b) whose graph joins exactly the fingerprints that ``max_bits`` or fewer bits join.
 
     ``fps``: distinct fingerprints in column fp. Two are linked here if a chain of near pairs joins them;
-    not every near pair has a row of its own. Shards hold about ``shard_rows`` fingerprints of their own, and
-    fewer where there are tasks to share them.
+    not every near pair has a row of its own. Shards hold about ``shard_rows`` fingerprints of their own.
     """
     tasks = shuffle_partitions(fps.sparkSession)
     total = fps.count()
     share = max(1, -(-total // SAMPLE))
     sample = np.sort(np.array([r.fp for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).collect()], np.int64)).view(np.uint64)
     sample = np.random.default_rng(SEED).permutation(sample)
-    nodes = upper_tree(sample, max(8, min(shard_rows, max(shard_rows // 32, total // (2 * tasks))) // share))
+    nodes = upper_tree(sample, max(8, shard_rows // share), max_bits)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +279,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS
 
 
 def wide_links(sets: DataFrame, max_bits: int = WIDE_BITS, alike: float = ALIKE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) of nodes whose wide fingerprints lie within ``max_bits`` and whose sizes allow the likeness.
+    """Links (a, b, d) of nodes whose wide fingerprints lie within ``max_bits`` and whose sizes allow the likeness.
 
     ``sets``: node, f0, f1, n (distinct shingles). Shell k holds the sizes from ``alike ** -k`` on; a shell's rows meet
-    each other and those of the next, in blocks of ``block_rows``.
+    each other and those of the next, in blocks of ``block_rows``. A node is linked to the nearest of every ``LEAF`` rows
+    that it meets, of those in its own part to the nearest with a smaller number.
     """
     tasks = shuffle_partitions(sets.sparkSession)
     shell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / alike) + 1e-9).cast("int")
@@ -275,9 +305,10 @@ def wide_links(sets: DataFrame, max_bits: int = WIDE_BITS, alike: float = ALIKE,
         for _, node, f0, f1, own in _by_shard(batches):
             own = own.astype(bool)
             fps = np.stack([f0, f1], axis=1).view(np.uint64)
-            yield from _link_batch(list(_star(fps[own], node[own], fps[~own], node[~own], max_bits)))
+            for a, b, d in _nearest(fps[own], node[own], fps[~own], node[~own], max_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.int32())], ["a", "b", "d"])
 
-    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long").distinct()
+    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long, d int")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -338,50 +369,21 @@ def shingle_set(text: Column, words: int = SHINGLE) -> Column:
     return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(windows(h))), 1)
 
 
-def _kept_leaders(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a few rows in order, those that are not alike to a kept one before them."""
-    kept: list[tuple[int, np.ndarray]] = []
-    ordered = rows.sort_values(["none", "doc_id", "node"])
-    for node, shingles in zip(ordered.node, ordered.shingles):
-        own = np.sort(shingles)
-        common = (len(np.intersect1d(own, x, assume_unique=True)) for _, x in kept)
-        if not any(c >= ALIKE * (len(own) + len(x) - c) for c, (_, x) in zip(common, kept)):
-            kept.append((node, own))
-    return pd.DataFrame({"node": [n for n, _ in kept]}, dtype="int64")
-
-
-def unlike(members: DataFrame) -> DataFrame:
-    """The nodes to keep of every class: each other member is alike (``ALIKE`` of the joint shingles, or more) to one kept, and no two kept are.
-
-    ``members``: node, root, none, doc_id, shingles, in whose order (none, doc_id) members are kept. In each round a class's
-    first ``LEADERS`` undecided members decide among themselves, and those kept are held against its other members;
-    large classes are dealt to several tasks.
-    """
-    order = Window.partitionBy("root").orderBy("none", "doc_id", "node")
-    kept, open_ = None, members
-    while True:
-        first = cut_lineage(open_.select("root", "node", F.row_number().over(order).alias("n"), "none", "doc_id").where(F.col("n") <= LEADERS).select("root", "node"))
-        leaders = open_.join(first.select("node"), "node", "left_semi")
-        chosen = cut_lineage(leaders.groupBy("root").applyInPandas(_kept_leaders, "node long"))
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        rest = cut_lineage(open_.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > LEADERS).withColumn("parts", F.ceil(F.col("m") / 256).cast("int")))
-        if rest.isEmpty():
-            return kept
-        others = open_.join(small(rest.select("root", "parts")), "root").join(first.select("node"), "node", "left_anti").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        held = leaders.join(chosen, "node", "left_semi").join(small(rest.select("root", "parts")), "root").select("root", F.col("shingles").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        common = F.size(F.array_intersect("shingles", "of"))
-        met = common >= ALIKE * (F.size("shingles") + F.size("of") - common)
-        gone = cut_lineage(others.join(held, ["root", "part"]).where(met).select("node").distinct())
-        open_ = written(others.join(gone, "node", "left_anti").drop("parts", "part"))
+def checked(found: DataFrame, members: DataFrame) -> DataFrame:
+    """The links (a, b) whose texts share ``ALIKE`` of their joint shingles or more. ``members``: node, shingles."""
+    left, right = members.select(F.col("node").alias("a"), "shingles"), members.select(F.col("node").alias("b"), F.col("shingles").alias("of"))
+    common = F.size(F.array_intersect("shingles", "of"))
+    return found.join(left, "a").join(right, "b").where(common >= ALIKE * (F.size("shingles") + F.size("of") - common)).select("a", "b")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates, all columns as they were: every row that goes is alike to one that stays.
+    """``docs`` with one row of each class of near duplicates, all columns as they were.
 
     Two texts are alike if their sets of ``SHINGLE``-word shingles share ``ALIKE`` of what either holds; texts of fewer
-    words are one shingle, and texts without words are all alike. Candidates are found by wide fingerprints and
-    checked on the shingles. Of alike rows that of the smaller doc_id stays; null ids come after all others, and of
-    repeated rows one stays. An empty table stays empty.
+    words are one shingle, and texts without words are all alike. Classes are joined by chains of alike texts. Candidates
+    are found by wide fingerprints and checked on the shingles, first each text's nearest, then what that left apart.
+    The row of a class's smallest doc_id stays; null ids come after all others, and of repeated rows one stays. An
+    empty table stays empty.
     """
     names = docs.columns
     kept = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)]
@@ -391,8 +393,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     node = F.xxhash64("h", "f0", "f1", "n")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("x")
     sets = written(prints.groupBy(node.alias("node")).agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), least).select("node", "f0", "f1", "n", "x.*"))
-    roots = classes(wide_links(sets))
-    found = cut_lineage(sets.join(small(roots), "node").select("node", "root", "none", "doc_id", "t"))
+    candidates = written(wide_links(sets))
+    ends = cut_lineage(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    found = cut_lineage(sets.join(small(ends), "node").select("node", "doc_id", "t"))
     key = ["doc_id", "t"]
 
     def by_key(table: DataFrame) -> tuple[DataFrame, Column]:
@@ -400,12 +403,25 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return small(named), F.col("t").eqNullSafe(F.col("__k_t")) & F.col("doc_id").eqNullSafe(F.col("__k_doc_id"))
 
     wanted, same = by_key(found)
-    texts = rows.select(*key, "text").join(wanted, same).select("node", "root", "none", F.col("__k_doc_id").alias("doc_id"), "text")
+    texts = rows.select(*key, "text").join(wanted, same).select("node", "text")
     again = cut_lineage(prints.groupBy(*key).count().where("count > 1").select(*key))
     repeats = not again.isEmpty()
-    members = computed(texts, ["node", "root", "none", "doc_id"], {"shingles": shingle_set(F.col("text"))})
+    members = computed(texts, ["node"], {"shingles": shingle_set(F.col("text"))})
     members = written(members.dropDuplicates(["node"]) if repeats else members)
-    dropped = found.select("node").join(unlike(members), "node", "left_anti")
+    first = candidates.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    held = cut_lineage(checked(first, members))
+    roots = small(classes(held))
+
+    def root_of(end: str) -> DataFrame:
+        return roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    left = candidates.select("a", "b").distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(apart).select("a", "b")
+    classed = classes(held.unionByName(checked(left.join(first, ["a", "b"], "left_anti"), members)))
+    order = F.struct("none", "doc_id", "t", "node")
+    grouped = cut_lineage(sets.join(small(classed), "node").select("root", order.alias("x")))
+    stays = cut_lineage(grouped.groupBy("root").agg(F.min("x").alias("x")).select("x.node"))
+    dropped = grouped.select("x.node").join(small(stays), "node", "left_anti")
     # a row stays if it is the first of its text and that text is kept
     firsts = sets.join(small(cut_lineage(dropped)), "node", "left_anti").select(*key)
     goes = cut_lineage(prints.select(*key).distinct().join(firsts, (prints["t"] == firsts["t"]) & prints["doc_id"].eqNullSafe(firsts["doc_id"]), "left_anti"))
