@@ -39,6 +39,7 @@ LEAF = 128
 SHINGLE, ALIKE = 5, 0.8
 WIDE, WIDE_BITS = 2, 30
 BLOCK_ROWS = 16_384
+LINK_ROWS = 4_096
 VANTAGES = 8
 SMALL_ROWS = 4_000_000  # a table of two numbers a row is broadcast up to this size, and joined by a shuffle beyond
 _CHUNK = 1 << 16
@@ -130,13 +131,13 @@ def _star(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: n
 
 
 def _nearest(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, nearest, distance) of what lies within ``max_bits`` of a row of ``own``, once for each ``LEAF`` of them."""
+    """(id, nearest, distance) of what lies within ``max_bits`` of a row of ``own``, once for each ``LINK_ROWS`` of them."""
     every, ids = np.concatenate([own, others]), np.concatenate([own_ids, other_ids])
     step = max(1, min(LEAF, _AREA // max(1, len(every))))
-    for at in range(0, len(own), LEAF):
+    for at in range(0, len(own), LINK_ROWS):
         held, by = np.full(len(every), 255, np.uint8), np.zeros(len(every), np.int64)
-        for first in range(at, min(at + LEAF, len(own)), step):
-            rows = own[first : min(first + step, at + LEAF)]
+        for first in range(at, min(at + LINK_ROWS, len(own)), step):
+            rows = own[first : min(first + step, at + LINK_ROWS)]
             away = np.zeros((len(rows), len(every)), np.uint8)
             for word in range(own.shape[1]):
                 away += np.bitwise_count(rows[:, word, None] ^ every[None, :, word])
@@ -282,8 +283,8 @@ def wide_links(sets: DataFrame, max_bits: int = WIDE_BITS, alike: float = ALIKE,
     """Links (a, b, d) of nodes whose wide fingerprints lie within ``max_bits`` and whose sizes allow the likeness.
 
     ``sets``: node, f0, f1, n (distinct shingles). Shell k holds the sizes from ``alike ** -k`` on; a shell's rows meet
-    each other and those of the next, in blocks of ``block_rows``. A node is linked to the nearest of every ``LEAF`` rows
-    that it meets, of those in its own part to the nearest with a smaller number.
+    each other and those of the next, in blocks of ``block_rows``. A node is linked to the nearest of every ``LINK_ROWS``
+    rows that it meets, of those in its own part to the nearest with a smaller number.
     """
     tasks = shuffle_partitions(sets.sparkSession)
     shell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / alike) + 1e-9).cast("int")
@@ -381,8 +382,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Two texts are alike if their sets of ``SHINGLE``-word shingles share ``ALIKE`` of what either holds; texts of fewer
     words are one shingle, and texts without words are all alike. Classes are joined by chains of alike texts. Candidates
-    are found by wide fingerprints and checked on the shingles, first each text's nearest, then what that left apart.
-    The row of a class's smallest doc_id stays; null ids come after all others, and of repeated rows one stays. An
+    are found by wide fingerprints and checked on the shingles. The row of a class's smallest doc_id stays; null ids come after all others, and of repeated rows one stays. An
     empty table stays empty.
     """
     names = docs.columns
@@ -395,29 +395,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     sets = written(prints.groupBy(node.alias("node")).agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), least).select("node", "f0", "f1", "n", "x.*"))
     candidates = written(wide_links(sets))
     ends = cut_lineage(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    found = cut_lineage(sets.join(small(ends), "node").select("node", "doc_id", "t"))
+    found = sets.join(small(ends), "node").select("node", "doc_id", "t")
     key = ["doc_id", "t"]
 
     def by_key(table: DataFrame) -> tuple[DataFrame, Column]:
         named = table.withColumnsRenamed({c: f"__k_{c}" for c in key})
         return small(named), F.col("t").eqNullSafe(F.col("__k_t")) & F.col("doc_id").eqNullSafe(F.col("__k_doc_id"))
 
-    wanted, same = by_key(found)
+    wanted, same = by_key(cut_lineage(found))
     texts = rows.select(*key, "text").join(wanted, same).select("node", "text")
     again = cut_lineage(prints.groupBy(*key).count().where("count > 1").select(*key))
     repeats = not again.isEmpty()
     members = computed(texts, ["node"], {"shingles": shingle_set(F.col("text"))})
     members = written(members.dropDuplicates(["node"]) if repeats else members)
-    first = candidates.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    held = cut_lineage(checked(first, members))
-    roots = small(classes(held))
-
-    def root_of(end: str) -> DataFrame:
-        return roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    left = candidates.select("a", "b").distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(apart).select("a", "b")
-    classed = classes(held.unionByName(checked(left.join(first, ["a", "b"], "left_anti"), members)))
+    classed = classes(checked(candidates.select("a", "b"), members))
     order = F.struct("none", "doc_id", "t", "node")
     grouped = cut_lineage(sets.join(small(classed), "node").select("root", order.alias("x")))
     stays = cut_lineage(grouped.groupBy("root").agg(F.min("x").alias("x")).select("x.node"))
