@@ -8,14 +8,17 @@ n-gram of the training rows is counted. With c for training counts and N for all
     p3(w | g h) = (1 - b) p2(w | h) + b c(g h w) / c(g h),  b = SHARE3 c(g h) / (c(g h) + HALF)
 
 Two exchanges bring the counts together. The first deals the n-grams of all texts, training and held-out alike, by
-their history h, where c(h), c(g h) and c(g h w) are complete; the second deals them by their word w, where c(w) is,
-and c(h w) of a frequent h. A frequent word's own count is broadcast, and its n-grams are dealt by the neighbouring word as well, so that no shard
-gets a hot word whole; frequent words also travel as short numbers. That is all the frequent words are for: the rest
-are told apart by 64-bit hashes, and none is left out.
-
-Each shard keeps its training n-grams as a trie. Children are monotone Elias-Fano sequences relative to their
-parent, found through Elias-Fano pointers and a successor search between them. All arrays of a trie lie in one
-memory map.
+their last word w, a frequent w by the word before it as well, so that no shard gets a hot word whole; there c(h w) and
+c(g h w) are complete, and c(w) of a rare word. A frequent word's own count is broadcast. A pair far more common than
+others comes from each batch as distinct n-grams with their counts. The second exchange brings the answers back to
+the texts, where c(h) and c(g h) are the answers one place before: a word's own count, and its pair's. Frequent words
+travel as short numbers. That is all the frequent words are for: the rest are told apart by 64-bit hashes, and none is
+left out.
+
+Each shard keeps its training n-grams, last word first, as a trie whose levels hold quantised logarithms of the
+n-grams' probabilities. Children are monotone Elias-Fano sequences relative to their parent, found through
+Elias-Fano pointers and a successor search between them. All arrays of a trie lie in one memory map. Answers are
+smoothed where they meet.
 """
 
 from __future__ import annotations
@@ -37,15 +40,15 @@ HEAD, HEAD_WORD_BYTES = 250_000, 64
 FREQUENT = 10_000_000  # words of at least one in so many tokens travel as numbers
 FLUSH_WORDS = 500_000
 END, TAIL = 0, (1 << 24) - 1
-NEAR = TAIL  # every history has its second word
-REST = -1
 SHARE2, SHARE3, HALF = 0.2, 0.1, 1.0
 UNSEEN = 0.05
 FLUSH_TOKENS = 2_000_000
 FLUSH_DOCS = 60_000
+HOT = 4  # so many times a shard's mean share of a batch, and n-grams are made distinct first
 PARTS = 4  # shards a task works through, one at a time
 TRAIN_OF, HELD_OUT = 10, 0
 _STEP = 20.0 / 65_535  # of a log10 probability's code
+_NONE = 65_535
 
 
 class EliasFano:
@@ -132,7 +135,7 @@ def weight(total: np.ndarray, share: float) -> np.ndarray:
 
 
 def coded(logs: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-logs / _STEP), 0, 65_535).astype(np.uint16)
+    return np.clip(np.rint(-logs / _STEP), 0, _NONE - 1).astype(np.uint16)
 
 
 def _fresh(column: np.ndarray) -> np.ndarray:
@@ -142,8 +145,8 @@ def _fresh(column: np.ndarray) -> np.ndarray:
     return out
 
 
-def counted(columns: list[np.ndarray], trained: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of n-grams, a row each: the training counts of their first one, two ... words by distinct prefix, and each row's prefix.
+def counted(columns: list[np.ndarray], trained: np.ndarray, n_all: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of n-grams, a row each, seen ``trained`` times in training: the count of a row's first word, and the codes of its first two, three ... words.
 
     Words are numbered within the shard and its trie is asked for each distinct prefix once.
     """
@@ -156,27 +159,29 @@ def counted(columns: list[np.ndarray], trained: np.ndarray) -> tuple[list[np.nda
         new = new | _fresh(x)
         prefixes.append(np.cumsum(new) - 1)
         firsts.append(np.flatnonzero(new))
-    n_trained = np.add.reduceat(trained[order].astype(np.int64), firsts[-1]) if len(order) else np.zeros(0, np.int64)
+    seen = trained[order].astype(np.int64)
+    n_trained = np.add.reduceat(seen, firsts[-1])
     kept = firsts[-1][n_trained > 0]
-    trie = Trie([x[kept].astype(np.int64) for x in numbers], n_trained[n_trained > 0])
-    counts = []
+    trie = Trie([x[kept].astype(np.int64) for x in numbers], n_trained[n_trained > 0], n_all)
+    answers = [np.add.reduceat(seen, firsts[0])]
     parent = np.zeros(1, np.int64)
     for depth, (x, first) in enumerate(zip(numbers, firsts)):
         above = parent[prefixes[depth - 1][first]] if depth else np.zeros(len(first), np.int64)
-        parent, count = trie.look_up(depth, above, x[first])
-        counts.append(count)
+        parent, code = trie.look_up(depth, above, x[first])
+        if depth:
+            answers.append(code)
     rows = []
-    for prefix in prefixes:
-        row = np.empty(len(order), np.int64)
-        row[order] = prefix
+    for prefix, answer in zip(prefixes, answers):
+        row = np.empty(len(order), answer.dtype)
+        row[order] = answer[prefix]
         rows.append(row)
-    return counts, rows
+    return rows[0], rows[1:]
 
 
 class Trie:
-    """Training n-grams of one shard, from sorted distinct rows of whole numbers: a level a column, with the counts below each node."""
+    """Training n-grams of one shard, from sorted distinct rows of whole numbers: a level a column, with the coded probability of each node."""
 
-    def __init__(self, columns: list[np.ndarray], count: np.ndarray):
+    def __init__(self, columns: list[np.ndarray], count: np.ndarray, n_all: int):
         self.levels, self.values = {}, {}
         parent, n_parents = np.zeros(len(count), np.int64), min(1, len(count))
         new = np.zeros(len(count), bool)
@@ -186,7 +191,7 @@ class Trie:
             pointers, children = _children(parent[first], column[first], n_parents)
             self.levels |= {f"pointer{depth}": EliasFano.build(pointers), f"child{depth}": EliasFano.build(children)}
             parent, n_parents = np.cumsum(new) - 1, len(first)
-            self.values[f"count{depth}"] = np.add.reduceat(count, first) if n_parents else np.zeros(0, np.int64)
+            self.values[f"code{depth}"] = coded(np.log10(np.add.reduceat(count, first) / n_all)) if n_parents else np.zeros(0, np.uint16)
         self._map()
 
     def _map(self) -> None:
@@ -216,13 +221,13 @@ class Trie:
         return np.where(hit, at, -1)
 
     def look_up(self, depth: int, parent: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes (-1 if there is none, as below a parent of -1) and their counts."""
+        """Nodes (-1 if there is none, as below a parent of -1) and their codes."""
         node = np.full(len(value), -1)
         met = np.flatnonzero(parent >= 0)
         node[met] = self._child(depth, parent[met], value[met])
-        count, hit = np.zeros(len(value), np.int64), node >= 0
-        count[hit] = self.values[f"count{depth}"][node[hit]]
-        return node, count
+        code, hit = np.full(len(value), _NONE, np.uint16), node >= 0
+        code[hit] = self.values[f"code{depth}"][node[hit]]
+        return node, code
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -285,15 +290,6 @@ def _unpacked(short: bytes, long: bytes, n_columns: int) -> list[np.ndarray]:
     return np.split(every, n_columns)
 
 
-def _places(at: np.ndarray) -> bytes:
-    """Ascending places of texts in a batch, or runs of them, as differences."""
-    return _shut(np.diff(at, prepend=at.dtype.type(0)))
-
-
-def _opened_places(data: bytes) -> np.ndarray:
-    return np.cumsum(_opened(data, "<u2"), dtype="<u2")
-
-
 def _bucket(word: np.ndarray, other: np.ndarray, buckets: int) -> np.ndarray:
     """The shard of a word, of a frequent word and its neighbour."""
     spread = (word * np.uint64(0x9E3779B97F4A7C15)) ^ np.where(word < TAIL, other * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
@@ -306,13 +302,11 @@ def _schema(**types: pa.DataType) -> tuple[pa.Schema, str]:
     return pa.schema(list(types.items())), ", ".join(f"{k} {names[t]}" for k, t in types.items())
 
 
-_TEXTS, _TEXTS_DDL = _schema(bucket=pa.int32(), batch=pa.int64(), docs=pa.int32(), held_out=pa.binary(), short=pa.binary(), long=pa.binary(), at=pa.binary(), info=pa.binary())
-_BEHIND, _BEHIND_DDL = _schema(bucket=pa.int32(), runs=pa.binary(), short=pa.binary(), long=pa.binary(), at=pa.binary(), trained=pa.binary(), codes=pa.binary(), info=pa.binary())
-_PART, _PART_DDL = _schema(batch=pa.int64(), docs=pa.int32(), at=pa.binary(), log_p=pa.binary(), base=pa.binary(), known=pa.binary(), info=pa.binary())
+_TEXTS, _TEXTS_DDL = _schema(bucket=pa.int32(), batch=pa.int64(), short=pa.binary(), long=pa.binary(), trained=pa.binary(), copy_of=pa.binary(), where=pa.binary(), info=pa.binary(), base=pa.binary())
+_PART, _PART_DDL = _schema(batch=pa.int64(), bucket=pa.int32(), codes=pa.binary(), exact=pa.binary(), copy_of=pa.binary(), where=pa.binary(), info=pa.binary(), base=pa.binary())
 _ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 _ROW_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 _NO_ID = -(1 << 63)
-_NONE = 65_535
 
 
 def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
@@ -325,8 +319,8 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
     ``docs``: doc_id and text; other columns are ignored. ``held_out`` is a boolean column over it: the model
     learns from the rows where it is false or null. A null or empty text is its end alone. Repeated rows are
     counted and scored each; a null doc_id stays null. Without training rows every word is unseen and N is 0;
-    an empty table stays empty. Only if a ``head`` is asked for, just that many words (of up to ``HEAD_WORD_BYTES`` bytes)
-    are told apart as histories and all others share one.
+    an empty table stays empty. At most ``head`` words (of up to ``HEAD_WORD_BYTES`` bytes) travel as numbers, by default
+    those of one in ``FREQUENT`` tokens, at most ``HEAD``; it bears on no score.
     """
     spark = docs.sparkSession
     tasks = shuffle_partitions(spark)
@@ -343,32 +337,44 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
     own = np.array([ends, *(r.n for r in top)], np.int64)
     shared = context.broadcast(({bytes(r.word): i + 1 for i, r in enumerate(top)}, own))
     n_all = max(1, train_tokens)
+    hot, flush_tokens, flush_docs = HOT, FLUSH_TOKENS, FLUSH_DOCS
+    place_type = "<u2" if buckets <= 1 << 16 else "<u4"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams of a batch of texts, dealt to the shards of their histories."""
-        lookup, first = Numbers(shared.value[0]), TaskContext.get().partitionId() << 36
+        """The n-grams of a batch of texts, dealt to the shards of their last words."""
+        (given, own), first = shared.value, TaskContext.get().partitionId() << 36
+        lookup = Numbers(given)
         n_given = len(lookup)
         held: list[tuple] = []
         n = row = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda x: x[2])  # training texts first
             sizes = np.array([len(x[0]) for x in held])
+            starts = np.cumsum(sizes) - sizes
             word = np.concatenate([x[0] for x in held])
-            at = np.repeat(np.arange(len(held), dtype="<u2"), sizes)
-            place = word if head is None else np.minimum(word, np.uint64(TAIL))
-            history = np.concatenate([np.full(1, END, np.uint64), place[:-1]])
-            second = np.concatenate([np.full(2, END, np.uint64), place[:-2]])[: len(word)]
-            second[np.cumsum(sizes) - sizes] = END
-            bucket = _bucket(history, np.where(history == END, word, second), buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            flags = np.packbits(np.array([x[2] for x in held], np.uint8)).tobytes()
-            info = np.array([(_NO_ID if x[1] is None else x[1], len(x[0]), x[2]) for x in held], np.int64).tobytes()
-            mine = (first + row) % buckets
+            history = np.concatenate([np.full(1, END, np.uint64), word[:-1]])
+            second = np.concatenate([np.full(2, END, np.uint64), word[:-2]])[: len(word)]
+            second[starts] = END
+            n_trained = sum(len(x[0]) for x in held if not x[2])
+            count = np.where(word < TAIL, own[np.where(word < TAIL, word, 0).astype(np.int64)], 0)
+            base = np.add.reduceat(np.where(count > 0, np.log10(count + 0.1), 0.0), starts)
+            known = np.add.reduceat((count > 0).astype(np.int64), starts)
+            info = np.array([(_NO_ID if x[1] is None else x[1], len(x[0]), x[2], k) for x, k in zip(held, known.tolist())], np.int64)
+            where = _bucket(word, history, buckets).astype(place_type)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+            yield _row(_TEXTS, (first + row) % buckets, first + row, *[b""] * 4, _shut(where), info.tobytes(), base.tobytes())
             for b in range(buckets):
                 rows = order[cuts[b] : cuts[b + 1]]
-                if len(rows) or b == mine:
-                    yield _row(_TEXTS, b, first + row, len(held), flags, *_packed([history[rows], second[rows], word[rows]]), _places(at[rows]), info if b == mine else b"")
+                if not len(rows):
+                    continue
+                trained, copy_of = (rows < n_trained).astype("<u4"), b""
+                if len(rows) > hot * len(word) / buckets:
+                    key = (word[rows] * np.uint64(0x9E3779B97F4A7C15) ^ history[rows]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ second[rows]
+                    _, distinct, of = np.unique(key, return_index=True, return_inverse=True)
+                    trained, copy_of, rows = np.bincount(of, trained, len(distinct)).astype("<u4"), _shut(of.astype("<u4")), rows[distinct]
+                yield _row(_TEXTS, b, first + row, *_packed([word[rows], history[rows], second[rows]]), _shut(trained), copy_of, *[b""] * 3)
 
         for batch in batches:
             for doc_id, text, out in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -377,12 +383,12 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
                 ids[:-1] = np.fromiter(map(lookup.__getitem__, split), np.uint64, len(split))
                 held.append((ids, doc_id, out))
                 n += len(ids)
-                if n >= FLUSH_TOKENS or len(held) >= FLUSH_DOCS:
+                if n >= flush_tokens or len(held) >= flush_docs:
                     yield from flush()
                     row += len(held)
                     held, n = [], 0
                     if len(lookup) > n_given + FLUSH_WORDS:
-                        lookup = Numbers(shared.value[0])
+                        lookup = Numbers(given)
         if held:
             yield from flush()
 
@@ -393,111 +399,75 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
                 found.setdefault(message["bucket"], []).append(message)
         return found
 
-    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What histories and their second words say of each n-gram, dealt to the shards of the words."""
-        shards = by_bucket(batches)
-        while shards:
-            bucket, messages = shards.popitem()
-            for m in messages:
-                if m["info"]:
-                    yield _row(_BEHIND, bucket, np.array([m["batch"], m["docs"], 0], "<i8").tobytes(), *[b""] * 5, m["info"])
-            parts = [_unpacked(m["short"], m["long"], 3) for m in messages]
-            history, second, word = (np.concatenate(x) for x in zip(*parts))
-            ats = [_opened_places(m["at"]) for m in messages]
-            out = [np.unpackbits(np.frombuffer(m["held_out"], np.uint8), count=m["docs"]).astype(bool) for m in messages]
-            at, trained = np.concatenate(ats), ~np.concatenate([flags[a] for flags, a in zip(out, ats)])
-            del parts
-            (c_h, c_gh, c_ghw), (h, gh, ghw) = counted([history, second, word], trained)
-            pair = np.where(history == END, shared.value[1][END], c_gh[gh])
-            own3 = weight(pair, SHARE3)
-            told = own3 * c_ghw[ghw] / np.maximum(pair, 1)
-            left = 1 - own3
-            # behind a word without a number, all of its followers are here: the second place's share is added here
-            rare = np.flatnonzero(history >= TAIL)
-            (_, c_hw), (_, hw) = counted([history[rare], word[rare]], trained[rare])
-            total = c_h[h[rare]]
-            own2 = weight(total, SHARE2)
-            told[rare] += left[rare] * own2 * c_hw[hw] / np.maximum(total, 1)
-            left[rare] *= 1 - own2
-            codes = np.full((2, len(word)), _NONE, "<u2")
-            seen = told > 0
-            codes[0, seen] = np.minimum(coded(np.log10(told[seen])), _NONE - 1)
-            codes[1] = np.rint(left * 65_535)
-            del c_h, c_gh, c_ghw, h, gh, ghw, pair, own3, told, left, seen
-            goal = _bucket(word, history, buckets)
-            history[rare] = TAIL
-            order = np.argsort(goal, kind="stable")
-            cuts = np.searchsorted(goal[order], np.arange(buckets + 1))
-            message_of = np.repeat(np.arange(len(messages)), [len(a) for a in ats])
-            for b in range(buckets):
-                rows = order[cuts[b] : cuts[b + 1]]
-                if len(rows):
-                    sizes = np.bincount(message_of[rows], minlength=len(messages)).tolist()
-                    runs = np.array([(m["batch"], m["docs"], k) for m, k in zip(messages, sizes) if k], "<i8").tobytes()
-                    numbers, long = _packed([word[rows], history[rows]])
-                    yield _row(_BEHIND, b, runs, numbers, long, _places(at[rows]), np.packbits(trained[rows]).tobytes(), _shut(codes[:, rows].ravel()), b"")
-
-    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Probabilities of the n-grams, summed by text."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers to a shard's n-grams, message by message: codes of c(w), c(h w) and c(g h w), and c(w) as it is where it isn't broadcast."""
         own = shared.value[1]
-        sums: dict[tuple[int, int], list[tuple]] = {}
+        own_codes = np.full(len(own), _NONE, "<u2")
+        own_codes[own > 0] = coded(np.log10(own[own > 0] / n_all))
         shards = by_bucket(batches)
         while shards:
-            _, messages = shards.popitem()
+            bucket, messages = shards.popitem()
             for m in messages:
                 if m["info"]:
-                    batch, n_docs, _ = np.frombuffer(m["runs"], "<i8").tolist()
-                    yield _row(_PART, batch, n_docs, *[b""] * 4, m["info"])
+                    yield _row(_PART, m["batch"], bucket, *[b""] * 3, m["where"], m["info"], m["base"])
             messages = [m for m in messages if not m["info"]]
             if not messages:
                 continue
-            word, history = (np.concatenate(x) for x in zip(*(_unpacked(m["short"], m["long"], 2) for m in messages)))
-            ats = [_opened_places(m["at"]) for m in messages]
-            at = np.concatenate(ats)
-            trained = np.concatenate([np.unpackbits(np.frombuffer(m["trained"], np.uint8), count=len(a)) for m, a in zip(messages, ats)])
-            told, left = (np.concatenate(x) for x in zip(*(np.split(_opened(m["codes"], "<u2"), 2) for m in messages)))
-            (c_w, c_wh), (w, wh) = counted([word, history], trained)
-            count = np.where(word < TAIL, own[np.where(word < TAIL, word, 0).astype(np.int64)], c_w[w])
-            p = np.where(count > 0, (1 - UNSEEN) * count, UNSEEN) / n_all
-            common = np.flatnonzero(history < TAIL)
-            total = own[history[common].astype(np.int64)]
-            own2 = weight(total, SHARE2)
-            p[common] = (1 - own2) * p[common] + own2 * c_wh[wh[common]] / np.maximum(total, 1)
-            p = left / 65_535 * p + np.where(told < _NONE, 10.0 ** (-_STEP * told), 0.0)
-            lines = (np.log10(p), np.log10(count + 0.1), (count > 0).astype(float))
-            runs = np.concatenate([np.frombuffer(m["runs"], "<i8") for m in messages]).reshape(-1, 3)
-            ends = np.cumsum(runs[:, 2])
-            for (batch, n_docs, size), end in zip(runs.tolist(), ends.tolist()):
-                here, of = np.unique(at[end - size : end], return_inverse=True)
-                sums.setdefault((batch, n_docs), []).append((here, *(np.bincount(of, x[end - size : end]) for x in lines)))
-        for (batch, n_docs), found in sums.items():
-            places, *values = (np.concatenate(x) for x in zip(*found))
-            here, of = np.unique(places, return_inverse=True)
-            log_p, base, known = (np.bincount(of, x) for x in values)
-            yield _row(_PART, batch, n_docs, _places(here), _shut(log_p.astype("<f4")), base.tobytes(), _shut(known.astype("<u4")), b"")
+            parts = [_unpacked(m["short"], m["long"], 3) for m in messages]
+            cuts = np.cumsum([0, *(len(x[0]) for x in parts)]).tolist()
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            del parts
+            word, trained = columns[0], np.concatenate([_opened(m["trained"], "<u4") for m in messages])
+            exact, codes = counted(columns, trained, n_all)
+            codes.insert(0, np.where(word < TAIL, own_codes[np.where(word < TAIL, word, 0).astype(np.int64)], _NONE))
+            codes = np.stack(codes).astype("<u2")
+            for m, start, end in zip(messages, cuts, cuts[1:]):
+                rare = exact[start:end][codes[0, start:end] == _NONE]
+                yield _row(_PART, m["batch"], bucket, _shut(codes[:, start:end].ravel()), _shut(rare), m["copy_of"], *[b""] * 3)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the shards, by text."""
-        sums: dict[int, np.ndarray] = {}
-        infos: dict[int, np.ndarray] = {}
+        """The answers put back in the texts' order, smoothed, and summed by text."""
+        probability = 10.0 ** (-_STEP * np.arange(_NONE + 1))
+        probability[_NONE] = 0.0
+        texts: dict[int, list[dict]] = {}
         for batch in batches:
             for part in batch.to_pylist():
-                if part["info"]:
-                    infos[part["batch"]] = np.frombuffer(part["info"], np.int64).reshape(-1, 3)
+                texts.setdefault(part["batch"], []).append(part)
+        while texts:
+            _, parts = texts.popitem()
+            mine = next(m for m in parts if m["info"])
+            ids, sizes, out, known = np.frombuffer(mine["info"], np.int64).reshape(-1, 4).T
+            where = _opened(mine["where"], place_type)
+            order = np.argsort(where, kind="stable")
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=buckets))])
+            codes, exact = np.empty((3, len(where)), "<u2"), np.zeros(len(where), np.int64)
+            for m in parts:
+                if m["info"]:
                     continue
-                values = np.stack([_opened(part["log_p"], "<f4").astype(float), np.frombuffer(part["base"]), _opened(part["known"], "<u4").astype(float)])
-                if part["batch"] not in sums:
-                    sums[part["batch"]] = np.zeros((3, part["docs"]))
-                sums[part["batch"]][:, _opened_places(part["at"])] += values
-        for batch_id, (log_p, base, n_known) in sums.items():
-            info = infos[batch_id]
-            ids = pa.array(info[:, 0], mask=info[:, 0] == _NO_ID)
-            columns = [ids, pa.array(info[:, 2].astype(bool)), pa.array(info[:, 1]), pa.array(np.rint(n_known).astype(np.int64)), pa.array(base), pa.array(log_p)]
+                here = order[cuts[m["bucket"]] : cuts[m["bucket"] + 1]]
+                told = _opened(m["codes"], "<u2").reshape(3, -1)
+                rare = np.zeros(told.shape[1], np.int64)
+                rare[told[0] == _NONE] = _opened(m["exact"], "<i8")
+                of = _opened(m["copy_of"], "<u4") if m["copy_of"] else slice(None)
+                codes[:, here], exact[here] = told[:, of], rare[of]
+            starts = np.cumsum(sizes) - sizes
+            rare = codes[0] == _NONE
+            p_w = np.where(rare, exact / n_all, probability[codes[0]])
+            p_hw = probability[codes[1]]
+            c_h, c_gh = (np.concatenate([np.zeros(1), x[:-1]]) * n_all for x in (p_w, p_hw))
+            c_h[starts] = c_gh[starts] = ends
+            p = np.where(p_w > 0, (1 - UNSEEN) * p_w, UNSEEN / n_all)
+            share = weight(c_h, SHARE2)
+            p = (1 - share) * p + share * p_hw * n_all / np.maximum(c_h, 1)
+            share = weight(c_gh, SHARE3)
+            p = (1 - share) * p + share * probability[codes[2]] * n_all / np.maximum(c_gh, 1)
+            base = np.frombuffer(mine["base"]) + np.add.reduceat(np.where(rare, np.log10(exact + 0.1), 0.0), starts)
+            n_known = known + np.add.reduceat((exact > 0).astype(np.int64), starts)
+            columns = [pa.array(ids, mask=ids == _NO_ID), pa.array(out.astype(bool)), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(np.log10(p), starts))]
             yield pa.RecordBatch.from_arrays(columns, schema=_ROW)
 
     task = F.col("bucket") % tasks
-    texts = docs.mapInArrow(scan, _TEXTS_DDL).repartitionById(tasks, task)
-    parts = texts.mapInArrow(behind, _BEHIND_DDL).repartitionById(tasks, task).mapInArrow(ahead, _PART_DDL)
+    parts = docs.mapInArrow(scan, _TEXTS_DDL).repartitionById(tasks, task).mapInArrow(count, _PART_DDL)
     rows = parts.repartition(tasks, "batch").mapInArrow(gather, _ROW_DDL)
     whole = float(np.log10(train_tokens + 0.1 * (types + 1)))
     return rows.select(

@@ -22,19 +22,13 @@ def test_elias_fano(top):
     assert ef.successor(low, high, asked).tolist() == want
 
 
-def plain(docs, head):
-    """Scores of (doc_id, text, held_out) rows by dictionaries over the same classes."""
+def plain(docs):
+    """Scores of (doc_id, text, held_out) rows by dictionaries; every word is a history of its own."""
     split = [(i, (t or "").encode().lower().split(), bool(h)) for i, t, h in docs]
     train = [w for _, w, h in split if not h]
-    seen = Counter(w for words in train for w in words if len(w) <= L.HEAD_WORD_BYTES)
-    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:head]
-    ids = {w: i + 1 for i, (w, _) in enumerate(top)}
 
     def grams(words):
-        history = [0, *(ids.get(w, L.TAIL) for w in words)]
-        before = [0, *history[:-1]]
-        for token, h, g in zip([*words, None], history, before):
-            yield token, h, (g if h <= L.NEAR and g <= L.NEAR else L.REST)
+        return zip([*words, None], [None, *words], [None, None, *words])
 
     c1, c2, c3, t2, t3 = Counter(), Counter(), Counter(), Counter(), Counter()
     for words in train:
@@ -42,9 +36,8 @@ def plain(docs, head):
             c1[w] += 1
             c2[h, w] += 1
             t2[h] += 1
-            if h <= L.NEAR:
-                c3[g, h, w] += 1
-                t3[g, h] += 1
+            c3[g, h, w] += 1
+            t3[g, h] += 1
     n = sum(c1.values())
 
     def p(w, h, g):
@@ -52,7 +45,7 @@ def plain(docs, head):
         a = L.SHARE2 * t2[h] / (t2[h] + L.HALF)
         p2 = (1 - a) * p1 + (a * c2[h, w] / t2[h] if a else 0)
         b = L.SHARE3 * t3[g, h] / (t3[g, h] + L.HALF)
-        return (1 - b) * p2 + (b * c3[g, h, w] / t3[g, h] if b else 0) if h <= L.NEAR else p2
+        return (1 - b) * p2 + (b * c3[g, h, w] / t3[g, h] if b else 0)
 
     out = {}
     for i, words, h in split:
@@ -79,14 +72,22 @@ def test_scores_of_the_driver_documents(spark, head):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     rows = docs.select("doc_id", "text", out.alias("h")).collect()
-    want, p, c1 = plain([tuple(r) for r in rows], head)
+    want, p, c1 = plain([tuple(r) for r in rows])
     found = L.score(docs, out, head).collect()
     same(found, want)
     if head == 40:
-        for h, g in ((0, 0), (1, 2), (L.TAIL, L.REST), (3, L.REST)):
+        for h, g in ((None, None), (b"the", b"of"), (b"the", b"never seen"), (b"never seen", None)):
             assert sum(p(w, h, g) for w in c1) <= 1
 
 
+@pytest.mark.parametrize("hot", [0, 4])
+def test_a_very_common_pair_is_counted_before_it_is_sent(spark, monkeypatch, hot):
+    monkeypatch.setattr(L, "HOT", hot)
+    rows = [(i, f"hot pair {'hot pair ' * (i % 50)}word{i % 7} hot pair", i % 10 == 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    same(L.score(docs, F.col("h")).collect(), plain(rows)[0])
+
+
 def test_histories_help_on_held_out_texts(spark):
     from docloom.llm.queries import QUERIES
 
@@ -98,7 +99,7 @@ def test_small_cases(spark, monkeypatch):
     monkeypatch.setattr(L, "FLUSH_DOCS", 2)
     rows = [(1, "A b\x0ba\tB", False), (1, "A b\x0ba\tB", False), (2, None, False), (None, "", True), (3, "new É words a b", True), (4, "x " * 3000, None)]
     docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, h boolean, bucket string, types int")
-    same(L.score(docs, F.col("h")).collect(), plain(rows, L.HEAD)[0])
+    same(L.score(docs, F.col("h")).collect(), plain(rows)[0])
 
 
 def test_no_training_rows_and_empty_table(spark):
@@ -113,7 +114,7 @@ def test_every_history_and_second_word_counts(spark):
     rows = [(i, f"rare{i} odd{i} next{i} rare{i} odd{i} next{i}", False) for i in range(400)]
     rows += [(1000 + i, f"rare{i} odd{i} next{i}", True) for i in range(0, 400, 40)] + [(2000 + i, f"rare{i + 1} odd{i} next{i}", True) for i in range(0, 400, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
-    want, _, _ = plain(rows, 10**6)
+    want, _, _ = plain(rows)
     for frequent in (L.FREQUENT, 10):
         L.FREQUENT, kept = frequent, L.FREQUENT
         try:
