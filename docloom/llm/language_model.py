@@ -8,7 +8,7 @@ n-gram of the training rows is counted. With c for training counts and N for all
     p3(w | g h) = (1 - b) p2(w | h) + b c(g h w) / c(g h),  b = SHARE3 c(g h) / (c(g h) + HALF)
 
 Two exchanges bring the counts together. The first deals the n-grams of all texts, training and held-out alike, by
-their last word w, a frequent w by the word before it as well, so that no shard gets a hot word whole; there c(h w) and
+their last word w, those of a frequent w spread by the word before it, so that no shard gets a hot word whole; there c(h w) and
 c(g h w) are complete, and c(w) of a rare word. A frequent word's own count is broadcast. A pair far more common than
 others comes from each batch as distinct n-grams with their counts. The second exchange brings the answers back to
 the texts, where c(h) and c(g h) are the answers one place before: a word's own count, and its pair's. Frequent words
@@ -45,6 +45,7 @@ UNSEEN = 0.05
 FLUSH_TOKENS = 2_000_000
 FLUSH_DOCS = 60_000
 HOT = 4  # so many times a shard's mean share of a batch, and n-grams are made distinct first
+CHUNKS = 32  # a word with more than one in so many of a shard's mean tokens is spread
 PARTS = 4  # shards a task works through, one at a time
 TRAIN_OF, HELD_OUT = 10, 0
 _STEP = 20.0 / 65_535  # of a log10 probability's code
@@ -290,11 +291,27 @@ def _unpacked(short: bytes, long: bytes, n_columns: int) -> list[np.ndarray]:
     return np.split(every, n_columns)
 
 
-def _bucket(word: np.ndarray, other: np.ndarray, buckets: int) -> np.ndarray:
-    """The shard of a word, of a frequent word and its neighbour."""
-    spread = (word * np.uint64(0x9E3779B97F4A7C15)) ^ np.where(word < TAIL, other * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
-    spread = (spread ^ (spread >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((spread >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+def _shut_codes(codes: np.ndarray) -> bytes:
+    """Codes by their rank among a message's distinct ones, the least likely first, which is mostly a byte."""
+    values, of = np.unique(codes, return_inverse=True)
+    shut = _shut(values), _shut((len(values) - 1 - of).astype("<u2"))
+    return len(shut[0]).to_bytes(8, "little") + b"".join(shut)
+
+
+def _opened_codes(data: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return _opened(data[8:cut], "<u2")[::-1][_opened(data[cut:], "<u2")]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
+
+
+def _bucket(word: np.ndarray, other: np.ndarray, share: np.ndarray, buckets: int) -> np.ndarray:
+    """The shard of a word; one with a large share of all tokens is spread over so many more by the word before it."""
+    spread = np.minimum(buckets, share * buckets * CHUNKS + 1).astype(np.uint64)
+    return ((_mixed(word) + _mixed(other + np.uint64(1)) % spread) % np.uint64(buckets)).astype(np.int64)
 
 
 def _schema(**types: pa.DataType) -> tuple[pa.Schema, str]:
@@ -303,7 +320,7 @@ def _schema(**types: pa.DataType) -> tuple[pa.Schema, str]:
 
 
 _TEXTS, _TEXTS_DDL = _schema(bucket=pa.int32(), batch=pa.int64(), short=pa.binary(), long=pa.binary(), trained=pa.binary(), copy_of=pa.binary(), where=pa.binary(), info=pa.binary(), base=pa.binary())
-_PART, _PART_DDL = _schema(batch=pa.int64(), bucket=pa.int32(), codes=pa.binary(), exact=pa.binary(), copy_of=pa.binary(), where=pa.binary(), info=pa.binary(), base=pa.binary())
+_PART, _PART_DDL = _schema(batch=pa.int64(), bucket=pa.int32(), codes1=pa.binary(), codes2=pa.binary(), codes3=pa.binary(), exact=pa.binary(), copy_of=pa.binary(), where=pa.binary(), info=pa.binary(), base=pa.binary())
 _ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 _ROW_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 _NO_ID = -(1 << 63)
@@ -361,7 +378,7 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
             base = np.add.reduceat(np.where(count > 0, np.log10(count + 0.1), 0.0), starts)
             known = np.add.reduceat((count > 0).astype(np.int64), starts)
             info = np.array([(_NO_ID if x[1] is None else x[1], len(x[0]), x[2], k) for x, k in zip(held, known.tolist())], np.int64)
-            where = _bucket(word, history, buckets).astype(place_type)
+            where = _bucket(word, history, count / n_all, buckets).astype(place_type)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
             yield _row(_TEXTS, (first + row) % buckets, first + row, *[b""] * 4, _shut(where), info.tobytes(), base.tobytes())
@@ -409,7 +426,7 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
             bucket, messages = shards.popitem()
             for m in messages:
                 if m["info"]:
-                    yield _row(_PART, m["batch"], bucket, *[b""] * 3, m["where"], m["info"], m["base"])
+                    yield _row(_PART, m["batch"], bucket, *[b""] * 5, m["where"], m["info"], m["base"])
             messages = [m for m in messages if not m["info"]]
             if not messages:
                 continue
@@ -423,7 +440,7 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
             codes = np.stack(codes).astype("<u2")
             for m, start, end in zip(messages, cuts, cuts[1:]):
                 rare = exact[start:end][codes[0, start:end] == _NONE]
-                yield _row(_PART, m["batch"], bucket, _shut(codes[:, start:end].ravel()), _shut(rare), m["copy_of"], *[b""] * 3)
+                yield _row(_PART, m["batch"], bucket, *(_shut_codes(x[start:end]) for x in codes), _shut(rare), m["copy_of"], *[b""] * 3)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The answers put back in the texts' order, smoothed, and summed by text."""
@@ -445,7 +462,7 @@ def score(docs: DataFrame, held_out, head: int | None = None) -> DataFrame:
                 if m["info"]:
                     continue
                 here = order[cuts[m["bucket"]] : cuts[m["bucket"] + 1]]
-                told = _opened(m["codes"], "<u2").reshape(3, -1)
+                told = np.stack([_opened_codes(m[f"codes{i}"]) for i in (1, 2, 3)])
                 rare = np.zeros(told.shape[1], np.int64)
                 rare[told[0] == _NONE] = _opened(m["exact"], "<i8")
                 of = _opened(m["copy_of"], "<u4") if m["copy_of"] else slice(None)
