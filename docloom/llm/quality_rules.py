@@ -151,7 +151,7 @@ def compare(rows: DataFrame, policies: list[str]) -> DataFrame:
     return rows.agg(F.array(*sums).alias("all")).select(F.inline("all"))
 
 
-SQL = r"""
+_LEDGER_SQL = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
 ), split AS (
@@ -178,8 +178,21 @@ WITH texts AS (
 ), bits AS (
   SELECT *, __BITS__ AS fail_bits FROM measured
 )
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+""".replace("__BITS__", "(" + " + ".join(f"CASE WHEN {failure} THEN {1 << at} ELSE 0 END" for at, (_, failure) in enumerate(RULES)) + ")::BIGINT")
+
+SQL = _LEDGER_SQL + """SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        (fail_bits & __BASE__) <> 0 AS base_failed, (fail_bits & __MASK__) = 0 AS kept, fail_bits
 FROM bits
-""".replace("__BITS__", "(" + " + ".join(f"CASE WHEN {failure} THEN {1 << at} ELSE 0 END" for at, (_, failure) in enumerate(RULES)) + ")::BIGINT").replace("__BASE__", str(BASE)).replace("__MASK__", str(BASE | POLICIES[DEFAULT_POLICY]))
+""".replace("__BASE__", str(BASE)).replace("__MASK__", str(BASE | POLICIES[DEFAULT_POLICY]))
+
+ABLATIONS_SQL = _LEDGER_SQL + """, rules(rule, bit) AS (VALUES __RULES__)
+SELECT rule, count(*) FILTER (WHERE fail_bits & __MASK__ & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & __MASK__ = bit) AS n_failed_alone,
+       count(*) FILTER (WHERE fail_bits & __MASK__ IN (0, bit)) AS n_kept_without
+FROM bits, rules GROUP BY rule
+""".replace("__RULES__", ", ".join(f"('{name}', {bit})" for name, bit in BIT.items() if bit & POLICIES[DEFAULT_POLICY])).replace("__MASK__", f"{POLICIES[DEFAULT_POLICY]}")
+
+COMPARE_SQL = _LEDGER_SQL + """, policies(policy, mask) AS (VALUES __POLICIES__)
+SELECT policy, count(*) FILTER (WHERE fail_bits & mask = 0) AS n_kept, coalesce(sum(n_words) FILTER (WHERE fail_bits & mask = 0), 0)::BIGINT AS words_kept
+FROM bits, policies GROUP BY policy
+""".replace("__POLICIES__", ", ".join(f"('{name}', {mask})" for name, mask in POLICIES.items()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, quality_crf, quality_rules, simhash, token_counts
+from docloom.llm.once import written
 from docloom.session import table
 
 QUERIES: dict = {}
@@ -41,14 +42,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of ``documents`` without its texts, written once to the shared folder; policies and ablations read it."""
+    return written(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = quality_rules.apply_policy(quality_rules.ledger(docs.select("doc_id", "text")))
+    scored = quality_rules.apply_policy(stored_ledger(spark, sf_dir))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
-ORACLES["op4_quality_rules"] = quality_rules.SQL
+@query
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(stored_ledger(spark, sf_dir))
+
+
+@query
+def quality_policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.compare(stored_ledger(spark, sf_dir), list(quality_rules.POLICIES))
+
+
+ORACLES |= {"op4_quality_rules": quality_rules.SQL, "quality_rule_ablations": quality_rules.ABLATIONS_SQL, "quality_policy_versions": quality_rules.COMPARE_SQL}
 
 
 @query

@@ -42,6 +42,13 @@ def test_rules_match_sql_and_plain_measures(spark, duck, odd):
     assert sorted(map(str, map(tuple, rows))) == sorted(str((i, *plain_measures(t))) for i, t in ODD)
 
 
+@pytest.mark.parametrize("name", ["quality_rule_ablations", "quality_policy_versions"])
+def test_ledger_reports_equal_their_sql(spark, duck, name):
+    frame = QUERIES[name](spark, SMALL)
+    columns = sorted(frame.columns)
+    assert sorted(map(tuple, frame.select(columns).collect())) == sorted(duck.sql(ORACLES[name]).project(", ".join(columns)).fetchall())
+
+
 def test_policies_and_ablations_read_the_bits(spark):
     ledger = quality_rules.ledger(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))
     bits = [r.fail_bits for r in ledger.select("fail_bits").collect()]
