@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +90,30 @@ def rates_at(facts: DataFrame, rates: DataFrame, key: str, at: str, fact: str) -
     inside = (F.col("effective_from") <= F.col(at)) & (F.col("effective_until").isNull() | (F.col("effective_until") > F.col(at)))
     met = facts.select(fact, key, at).join(rates, key).where(inside).groupBy(fact).agg(F.max_by("rate", "effective_from").alias("rate"))
     return facts.join(met, fact, "left")
+
+
+def cache_served(requests: DataFrame, key: str, at: str, order: str, seconds: int = CACHE_SECONDS) -> DataFrame:
+    """``requests`` plus ``hit``: an answer of the same key was stored less than ``seconds`` before.
+
+    A request that isn't served stores its answer; one that is doesn't prolong it. Requests are taken by time, ties by
+    ``order``. A key's requests pass through one task in sorted batches, of which only the last storing time is kept. Null keys
+    share one entry; a request without a time is never served and stores nothing.
+    """
+    span = pd.Timedelta(seconds=seconds)
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun, last, stored = False, None, pd.NaT
+        for batch in batches:
+            hits = []
+            for k, t in zip(batch[key], batch[at]):
+                k = None if pd.isna(k) else k
+                if not begun or k != last:
+                    begun, last, stored = True, k, pd.NaT
+                hit = bool(pd.notna(t) and pd.notna(stored) and t < stored + span)
+                if pd.notna(t) and not hit:
+                    stored = t
+                hits.append(hit)
+            yield batch.assign(hit=hits)
+
+    dealt = requests.repartition(key).sortWithinPartitions(key, at, order)
+    return dealt.mapInPandas(serve, requests.withColumn("hit", F.lit(False)).schema)
