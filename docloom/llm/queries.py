@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, quality_crf, quality_rules, simhash, token_counts
+from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, phrases, quality_crf, quality_rules, simhash, token_counts
 from docloom.llm.once import written
 from docloom.session import table
 
@@ -111,3 +111,11 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = quality_crf.remainder(F.col("doc_id"), language_model.TRAIN_OF) == language_model.HELD_OUT
     return language_model.score(docs, held_out)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLES["op11_collocations"] = phrases.SQL
