@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, phrases, quality_crf, quality_rules, simhash, token_counts
+from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, phrases, prefix_trie, quality_crf, quality_rules, simhash, token_counts
 from docloom.llm.once import written
 from docloom.session import table
 
@@ -119,3 +119,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_collocations"] = phrases.SQL
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.SQL
