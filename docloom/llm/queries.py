@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, html_text, language_model, mixing, nearest, packing, phrases, prefix_trie, quality_crf, quality_rules, simhash, token_counts
+from docloom.llm import chat, html_text, language_model, mixing, nearest, ngram_join, packing, phrases, prefix_trie, quality_crf, quality_rules, simhash, token_counts
 from docloom.llm.once import written
 from docloom.session import table
 
@@ -127,3 +127,11 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_prefix_trie"] = prefix_trie.SQL
+
+
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op12_ngram_join"] = ngram_join.SQL
