@@ -12,6 +12,7 @@ to be of one class need no product any more. What is left is multiplied in tiles
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -33,42 +34,81 @@ SHARD_ENTRIES = 1 << 20
 FLUSH_ENTRIES = 1 << 20
 TILE = 512
 HUB_ROUNDS = 2
-_KNOWN_WORDS = 1 << 20
+_BATCH_BYTES = 1 << 21
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 _ROW = pa.schema([(c, pa.int64()) for c in ("kind", "doc_id", "node", "twin", "n")])
 _MESSAGE_DDL = "bucket int, grams array<long>, refs array<int>, nodes array<long>, sizes array<int>"
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept for those met last."""
-
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word, self.seed)
-        return found
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def gram_set(text: str | None, words: int, hashes: _Hashes) -> np.ndarray:
-    """The distinct hashes of a text's n-grams, sorted (of its whole sequence of words, if that is shorter)."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    of = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    size = min(words, len(of))
-    grams = np.full(len(of) - size + 1, size, np.uint64)
+@functools.cache
+def _tables(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte (upper case as lower), and powers of an odd base and of its inverse."""
+    rng = np.random.default_rng(seed)
+    of_byte = rng.integers(0, 1 << 64, 256, np.uint64)
+    of_byte[65:91] = of_byte[97:123]
+    base = int(rng.integers(0, 1 << 63)) * 2 + 1
+    powers = [np.full(size, x % (1 << 64), np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    for x in powers:
+        x[0] = 1
+    return of_byte, *(np.cumprod(x, dtype=np.uint64) for x in powers)
+
+
+def word_hashes(data: np.ndarray, breaks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in bytes that hold several texts, and their hashes; ``breaks``: where a text starts or ends."""
+    size = max(_BATCH_BYTES, 1 << int(len(data)).bit_length())
+    of_byte, power, inverse = _tables(seed, size)
+    inside = ~_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[breaks] = True
+    starts = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | cut[:-1]))
+    ends = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | cut[1:])) + 1
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_byte[data] * power[: len(data)], dtype=np.uint64)])
+    return starts, _mixed((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` hashes in line."""
+    grams = np.full(len(hashes) - size + 1, size, np.uint64)
     for j in range(size):
-        grams = _mixed(grams * np.uint64(0xC2B2AE3D27D4EB4F) + of[j : len(of) - size + 1 + j])
-    return np.unique(grams)
+        grams = _mixed(grams * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[j : len(hashes) - size + 1 + j])
+    return grams
+
+
+def gram_sets(texts: pa.Array, words: int, seed: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct hashes of its n-grams, sorted (of its whole sequence of words, if that is shorter)."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BATCH_BYTES, "right")) - 1)
+        breaks = offsets[at : to + 1] - offsets[at]
+        if breaks[-1] <= _BATCH_BYTES:
+            starts, hashes = word_hashes(data[offsets[at] : offsets[to]], breaks, seed)
+        else:  # one long text, in parts that end behind a word
+            part, found, first = data[offsets[at] : offsets[to]], [], 0
+            while first < len(part):
+                spaces = np.flatnonzero(_SPACE[part[first + _BATCH_BYTES :]][: 1 << 16]) if first + _BATCH_BYTES < len(part) else ()
+                last = first + _BATCH_BYTES + int(spaces[0]) if len(spaces) else len(part)
+                found.append(word_hashes(part[first:last], np.array([0, last - first]), seed)[1])
+                first = last
+            hashes = np.concatenate(found)
+            starts = np.zeros(len(hashes), np.int64)
+        of = np.searchsorted(breaks, starts, "right") - 1
+        bounds = np.searchsorted(of, np.arange(to - at + 1))
+        grams = _combined(hashes, words) if len(hashes) >= words else hashes[:0]
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if last - first >= words:
+                yield np.unique(grams[first : last - words + 1])
+            else:
+                yield _combined(hashes[first:last], last - first) if last > first else hashes[:0]
+        at = to
 
 
 def _names(grams: np.ndarray, seed: int) -> tuple[int, int]:
@@ -87,10 +127,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _each(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    hashes = _Hashes(seed)
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield doc_id, gram_set(text.as_py(), words, hashes)
+        yield from zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), words, seed))
 
 
 def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -244,6 +282,17 @@ def _alike(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     return counted.select("a", "b", F.col("overlap").cast("long").alias("overlap"), (F.col("both") - F.col("overlap")).cast("long").alias("union")).where(100 * F.col("overlap") >= alike * F.col("union"))
 
 
+def _bounded(pairs: DataFrame, heads: DataFrame, alike: int) -> DataFrame:
+    """The pairs whose overlap in the first block, with all that is left of a set, reaches the likeness. ``heads``: node, n, head."""
+    left, right = (heads.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}")) for x in "ab")
+    return _reaching(pairs.join(left, "a").join(right, "b").withColumn("c", F.size(F.array_intersect("ha", "hb"))), alike)
+
+
+def _reaching(overlaps: DataFrame, alike: int) -> DataFrame:
+    left_over = F.greatest(*(F.ceil(F.col(n) * alike / 100) - 1 for n in ("na", "nb")))
+    return overlaps.where((100 + alike) * (F.col("c") + left_over) >= alike * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _sizes_allow(a: str, b: str, alike: int):
     return 100 * F.least(a, b) >= alike * F.greatest(a, b)
 
@@ -296,8 +345,7 @@ def _tile_pairs(live: DataFrame, alike: int, least: int, tile: int) -> DataFrame
 
     tiles = dealt.repartition(shuffle_partitions(live.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     overlaps = tiles.mapInArrow(multiply, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    left_over = F.greatest(*(F.ceil(F.col(n) * alike / 100) - 1 for n in ("na", "nb")))
-    return overlaps.where((100 + alike) * (F.col("c") + left_over) >= alike * (F.col("na") + F.col("nb"))).select("a", "b")
+    return _reaching(overlaps, alike)
 
 
 def _search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -311,25 +359,28 @@ def _search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int)
     entries = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * alike / 100) + 1)).first()[0] or 0
     shards = max(shuffle_partitions(docs.sparkSession), -(-int(entries) // SHARD_ENTRIES))
     block = written(incidence(docs, words, seed, alike, _hot(scanned), shards))
-    sets = _sets(docs, rows, cut_lineage(block.select("node").distinct()), words, seed)
-    links, tested, live = [], None, block.withColumn("label", F.col("node"))
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        return written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    heads = written(block.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("head")))  # of a set's own size at most
+    sets, links, tested, live = None, None, None, block.withColumn("label", F.col("node"))
+
+    def also(table: DataFrame | None, more: DataFrame) -> DataFrame:
+        return more if table is None else table.unionByName(more)
+
+    def test(pairs: DataFrame) -> None:
+        """Counts the overlaps of pairs over all columns; sets that no pair before has needed are read now."""
+        nonlocal sets, links, tested
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = cut_lineage(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti"))
+        if sets is None or not wanted.isEmpty():
+            sets = also(sets, _sets(docs, rows, wanted, words, seed))
+        tested, links = also(tested, pairs), also(links, written(_alike(pairs, sets, alike)))
 
     for turn in range(hub_rounds):
-        pairs = untested(_hub_pairs(live, alike, turn))
-        links.append(written(_alike(pairs, sets, alike)))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = links[0] if turn == 0 else links[0].unionByName(links[1])
-        labels = cut_lineage(classes(found.select("a", "b")).withColumnRenamed("root", "label"))
+        test(_bounded(_hub_pairs(live, alike, turn), heads, alike))
+        labels = cut_lineage(classes(links.select("a", "b")).withColumnRenamed("root", "label"))
         live = block.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pairs = untested(_tile_pairs(live, alike, 3 if hub_rounds else 2, tile))
-    links.append(written(_alike(pairs, sets, alike)))
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return rows, found
+    test(_tile_pairs(live, alike, 3 if hub_rounds else 2, tile))
+    return rows, links
 
 
 def linked_pairs(docs: DataFrame, words: int = WORDS, alike: int = ALIKE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:

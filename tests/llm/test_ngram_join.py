@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import ngram_join
@@ -98,6 +99,16 @@ def test_empty_tables(spark):
     assert sorted(map(tuple, ngram_join.jaccard_classes(frame(spark, [(1, None), (2, ""), (3, " ")])).collect())) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+def test_words_of_texts_in_one_batch(monkeypatch):
+    texts = ["A b\tC d e", None, "", " ", "a b c d e", "é b", "B é", "x" * 50 + " y z w v", "d e", "w " * 30]
+    want = [np.sort(s) for s in ngram_join.gram_sets(pa.array(texts), 4, 42)]
+    assert [len(s) for s in want] == [2, 0, 0, 0, 2, 1, 1, 2, 1, 1] and (want[0] == want[4]).all() and want[5] != want[6]
+    monkeypatch.setattr(ngram_join, "_BATCH_BYTES", 16)
+    ngram_join._tables.cache_clear()
+    for slices in (pa.array(texts), pa.array(["front", *texts])[1:]):
+        assert all((x == y).all() for x, y in zip(want, ngram_join.gram_sets(slices, 4, 42), strict=True))
+
+
 def test_the_first_block_follows_from_the_size():
     assert [int(n - ngram_join.least_overlap(n, 85) + 1) for n in (1, 6, 7, 20, 100)] == [1, 1, 2, 4, 16]
     assert ngram_join.least_overlap(np.array([100]), 80)[0] == 80
