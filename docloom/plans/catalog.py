@@ -13,7 +13,7 @@ from docloom.plans import lifecycle as stores
 from docloom.plans import regulations as laws
 from docloom.plans.registry import query
 from docloom.session import ensure_checkpoint_dir, table
-from docloom.sources import files, versions
+from docloom.sources import files, snapshots, versions
 
 _TREE = """e AS (SELECT page_id, CASE WHEN page_id % 9 = 8 THEN page_id || '.html' WHEN page_id % 4 = 3 THEN 'd' || page_id % 7 || '/' || page_id || '.html' ELSE 'd' || page_id % 7 || '/' || substr('abcde', 1, (page_id % 5 + 1)::INT) || '/' || page_id || '.html' END AS path FROM pages)"""
 _KEY = """list_aggregate(list_transform(list_filter(string_split(regexp_extract(path, '^(.*)/', 1), '/'), lambda x: x <> ''), lambda x: translate(hex(x), '0123456789ABCDEF', 'FEDCBA9876543210') || 'G'), 'string_agg', '')"""
@@ -63,9 +63,9 @@ def parsed_versions(spark, sf_dir):
     """Parsed nodes written by version; every third version is parsed again, into fewer nodes, and the new ones count."""
     found = laws.nodes(spark, sf_dir).select("doc_id", "pos", "page", "level", "node_type", "text")
     place = _place(spark, "parsed")
-    versions.persist(found, place, 1)
-    versions.persist(found.where("doc_id % 3 = 0 and pos % 2 = 0").withColumn("text", F.concat("text", F.lit(" (2)"))), place, 2)
-    return versions.current(spark, place, "doc_id")
+    snapshots.upsert(found, place, 1, "doc_id")
+    snapshots.upsert(found.where("doc_id % 3 = 0 and pos % 2 = 0").withColumn("text", F.concat("text", F.lit(" (2)"))), place, 2, "doc_id")
+    return snapshots.as_of(spark, place, "doc_id")
 
 
 @query(f"""
@@ -74,9 +74,9 @@ def chunked_versions(spark, sf_dir):
     """Chunks written by version, those of every fourth document a second time with other texts."""
     found = laws.with_paths(spark, sf_dir).select("doc_id", "pos", "path", "text")
     place = _place(spark, "chunked")
-    versions.persist(found, place, 1)
-    versions.persist(found.where("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" (2)"))), place, 2)
-    return versions.current(spark, place, "doc_id")
+    snapshots.upsert(found, place, 1, "doc_id")
+    snapshots.upsert(found.where("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" (2)"))), place, 2, "doc_id")
+    return snapshots.as_of(spark, place, "doc_id")
 
 
 @query(f"""
@@ -89,9 +89,9 @@ def audit_rows(spark, sf_dir):
     found = lifecycle.superseded(stores._versions(spark, sf_dir))
     keys, place = ["document_id", "version_number"], _place(spark, "audit")
     after = found.select(*keys, F.col("new_status").alias("status"))
-    versions.append_audit(versions.audit(found.select(*keys, "status"), after, keys, ["status"], "DOCUMENT_INDEXED", "document_version"), place)
-    versions.append_audit(versions.audit(after, after.where("document_id % 6 <> 0"), keys, ["status"], "DOCUMENT_DELETED", "document_version"), place)
-    return spark.read.parquet(place)
+    snapshots.append_once(versions.audit(found.select(*keys, "status"), after, keys, ["status"], "DOCUMENT_INDEXED", "document_version"), place, 1)
+    snapshots.append_once(versions.audit(after, after.where("document_id % 6 <> 0"), keys, ["status"], "DOCUMENT_DELETED", "document_version"), place, 2)
+    return spark.read.parquet(place).drop("run")
 
 
 @query(f"""

@@ -1,30 +1,14 @@
-"""Data sets that only grow: rows of a version are replaced by writing it again, and audit rows are never changed."""
+"""Audit rows of what changed between two states."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def persist(rows: DataFrame, path: str, run: int) -> None:
-    """Appends ``rows`` as what ``run`` made of their versions. Spark publishes a job's files at its end, so a run that fails adds nothing."""
-    rows.withColumn("run", F.lit(run).cast("long")).write.mode("append").parquet(path)
-
-
-def current(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """The rows of every version's latest run, without the run; a version's older rows stay on disk and are left out."""
-    held = spark.read.parquet(path)
-    latest = held.groupBy(version).agg(F.max("run").alias("run"))
-    return held.join(latest, [version, "run"], "left_semi").drop("run")
-
-
 def audit(before: DataFrame, after: DataFrame, keys: list[str], facts: list[str], action: str, entity_type: str) -> DataFrame:
     """(keys, action, entity_type, old_value, new_value) of entities that came, went or changed; values are JSON, null where there was no entity."""
     old = before.select(*keys, F.struct(*facts).alias("old"))
     new = after.select(*keys, F.struct(*facts).alias("new"))
     changed = old.join(new, keys, "full").where(~F.col("old").eqNullSafe(F.col("new")))
     return changed.select(*keys, F.lit(action).alias("action"), F.lit(entity_type).alias("entity_type"), F.to_json("old").alias("old_value"), F.to_json("new").alias("new_value"))
-
-
-def append_audit(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)

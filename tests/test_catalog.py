@@ -44,14 +44,6 @@ def test_failures_take_what_lies_below(spark):
     assert files.scanned(entries.limit(0), failures.limit(0)).count() == 0
 
 
-def test_the_latest_run_of_a_version_counts(spark, tmp_path):
-    place = str(tmp_path / "held")
-    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "v long, x string")
-    versions.persist(rows, place, 1)
-    versions.persist(rows.where("x = 'a'"), place, 2)
-    assert sorted(map(tuple, versions.current(spark, place, "v").collect())) == [(1, "a"), (2, "c")]
-
-
 def test_audit_holds_what_changed(spark):
     before = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "id long, status string")
     after = spark.createDataFrame([(1, "A"), (2, "C"), (4, None)], "id long, status string")
