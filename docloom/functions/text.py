@@ -74,6 +74,11 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+def embedding_key(text: Column, model: str, revision: str, dimension: int, normalized: bool) -> Column:
+    """The name of a text's cached vector: another model, revision, size or normalisation is another vector."""
+    return F.sha2(F.concat_ws("|", F.coalesce(text, F.lit("")), F.lit(model), F.lit(revision), F.lit(str(dimension)), F.lit(str(normalized))), 256)
+
+
 def model_tier(query: Column, n_documents: Column) -> Column:
     """STRONG for several documents, a comparison or several question words; else FAST."""
     strong = (n_documents > 1) | query.rlike(COMPARISON) | (F.regexp_count(query, F.lit(QUESTION)) > 1)

@@ -145,3 +145,35 @@ def corrections(nodes: DataFrame, events: DataFrame) -> DataFrame:
     own = nodes.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("parent").cast("long").alias("parent"), "kind")
     asked = events.select("doc_id", "event", "action", F.col("pos").cast("long").alias("pos"), F.col("parent").cast("long").alias("parent"), "kind")
     return folded(own, asked, "doc_id", "event", Corrections, "event long, pos long, verdict string, parent long, kind string, changes long, approved boolean")
+
+
+class Names:
+    """The names taken of one family: all that differ by trailing numbers only, so that no other family's names can clash with them."""
+
+    def __init__(self) -> None:
+        self.taken: set[str] = set()
+        self.next: dict[str, int] = {}
+
+    def begin(self, row: dict) -> None:
+        self.taken.add(row["slug"])
+
+    def apply(self, row: dict) -> dict:
+        base, n = row["slug"], self.next.get(row["slug"], 0)
+        while (name := base if n == 0 else f"{base}-{n}") in self.taken:
+            n += 1
+        self.next[base] = n + 1  # names are never given back
+        self.taken.add(name)
+        return {"id": row["id"], "slug": base, "name": name}
+
+    def end(self) -> Iterator[dict]:
+        return iter(())
+
+
+def unique_slugs(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, slug, name): each of ``asked`` (id, slug) in order of id gets its slug or the first of slug-1, slug-2, ... that is free.
+
+    ``held``: slug, the names that are taken before. A name counts as taken however it came about. Null slugs get no row.
+    """
+    family = F.regexp_replace("slug", r"(-[0-9]+)+$", "").alias("family")
+    found = folded(held.select(family, "slug"), asked.select(family, "id", "slug"), "family", "id", Names, "id long, slug string, name string")
+    return found.select("id", "slug", "name")

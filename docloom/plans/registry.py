@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from docloom.plans import analytics, answers, catalog, lifecycle, regulations, relational, retrieval, stores, streams, structure, text  # noqa: E402, F401
+from docloom.plans import analytics, answers, catalog, hybrid, lifecycle, regulations, relational, retrieval, stores, streams, structure, text  # noqa: E402, F401
