@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +52,29 @@ def superseded(versions: DataFrame) -> DataFrame:
 
 
 def admitted(requests: DataFrame, limit: Column | float, groups: list[str], order: str, amount: str) -> DataFrame:
-    """``requests`` plus ``admitted``: in order, a request passes if it fits beside what has passed; one that doesn't consumes nothing.
+    """(groups, order, amount, admitted): in order, a request passes if it fits beside what has passed; one that doesn't consumes nothing.
 
-    A group's requests are folded in order: greedy admission has no parallel form. Groups are tenants' budget periods.
+    Greedy admission has no parallel form within a group, a tenant's budget period. A group's requests pass through one task in
+    sorted batches, of which only the sum so far is kept. A null amount is neither admitted nor refused and consumes nothing.
     """
-    listed = requests.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct(order, amount))).alias("r"))
-    kind = requests.schema[amount].dataType
-    start = F.struct(F.lit(0).cast(kind).alias("used"), F.array().cast("array<boolean>").alias("ok"))
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    rows = requests.select(*groups, order, amount, limit.cast(requests.schema[amount].dataType).alias("__limit"))
+    shape = rows.drop("__limit").withColumn("admitted", F.lit(None).cast("boolean")).schema
+    n = len(groups)
 
-    def decide(state: Column, x: Column) -> Column:
-        fits = state["used"] + x[amount] <= limit
-        return F.struct(F.when(fits, state["used"] + x[amount]).otherwise(state["used"]).cast(kind).alias("used"), F.concat(state["ok"], F.array(fits)).alias("ok"))
-
-    told = F.aggregate("r", start, decide)["ok"]
-    each = listed.select(*groups, F.posexplode(F.arrays_zip(F.col("r"), told.alias("ok"))).alias("i", "x"))
-    return each.select(*groups, F.col(f"x.r.{order}").alias(order), F.col(f"x.r.{amount}").alias(amount), F.col("x.ok").alias("admitted"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, 0
+        for batch in batches:
+            told = []
+            for *key, _, wanted, most in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != last:
+                    last, used = key, 0
+                fits = None if wanted is None or most is None else used + wanted <= most
+                used = used + wanted if fits else used
+                told.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 2], pa.array(told, pa.bool_())], names=[*batch.schema.names[: n + 2], "admitted"])
+
+    return rows.repartition(*groups).sortWithinPartitions(*groups, order).mapInArrow(decide, shape)
 
 
 def settled(entries: DataFrame, groups: list[str]) -> DataFrame:

@@ -79,11 +79,19 @@ def classify_page(chars: Column, pictures: Column, tables: Column, picture_share
 
 
 def containing_region(nodes: DataFrame, regions: DataFrame, key: str, at: str) -> DataFrame:
-    """Each node's first region (start, end, sequence) that contains it, else the key's last region.
+    """``nodes`` plus ``region``: the first region (start, end, sequence) that contains the node's place, else the key's last region.
 
-    Regions are sorted into one array per key; a key has few regions, as pages have.
+    A region lies in one or two cells of the smallest power of two that is as wide as it is, and a place in one cell of each
+    width that occurs: regions and places meet by (key, width, cell), whatever the number of regions of a key. A null place lies in
+    no region, a key without regions has a null one, and regions that end before they start contain nothing.
     """
-    listed = regions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sequence", "start", "end"))).alias("__r"))
-    joined = nodes.join(listed, key, "left")
-    inside = F.filter("__r", lambda r: F.col(at).between(r["start"], r["end"]))
-    return joined.withColumn("region", F.coalesce(F.try_element_at(inside, F.lit(1)), F.try_element_at("__r", F.lit(-1)))["sequence"]).drop("__r")
+    sized = regions.where("start <= end").withColumn("__level", F.ceil(F.log2(F.col("end") - F.col("start") + 1)).cast("int"))
+    levels = sorted(r["__level"] for r in sized.select("__level").distinct().collect())  # 64 at most
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__level"))).cast("long")
+    cells = sized.select(key, "sequence", "start", "end", "__level", F.explode(F.sequence(cell("start"), cell("end"))).alias("__cell"))
+    places = nodes.select(key, at).distinct().withColumn("__level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("__cell", cell(at))
+    met = places.join(cells, [key, "__level", "__cell"]).where(F.col(at).between(F.col("start"), F.col("end")))
+    first = met.groupBy(key, at).agg(F.min("sequence").alias("__first"))
+    last = regions.groupBy(key).agg(F.max(F.struct("sequence", "start", "end"))["sequence"].alias("__last"))
+    joined = nodes.join(first, [key, at], "left").join(last, key, "left")
+    return joined.select(*nodes.columns, F.coalesce("__first", "__last").alias("region"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from docloom.operators import lifecycle, ranking, regulations
 from docloom.plans import answers as turns
 from docloom.plans import regulations as laws
 from docloom.plans.registry import query
-from docloom.session import table
+from docloom.session import ensure_checkpoint_dir, table
+from docloom.sources import files
 
 _SCAN = """
 old AS (SELECT page_id, url AS path, length(html) - page_id % 2 AS size FROM pages WHERE page_id % 3 <> 0), seen AS (SELECT page_id, url AS path, length(html) AS size FROM pages WHERE page_id % 5 <> 0),
@@ -254,6 +257,24 @@ def golden_questions(spark, sf_dir):
     return rows.select("conv_id", "turn", read["question"].alias("question"), read["expect_insufficient"].alias("expect_insufficient"))
 
 
+@query("""
+WITH r AS (SELECT conv_id * 1000 + turn AS id, left(coalesce(text, ''), 40) AS text, conv_id % 4 = 0 AS insufficient, (conv_id + turn) % 9 AS damage FROM conversations WHERE role = 'user')
+SELECT id, CASE WHEN damage = 3 THEN NULL ELSE text END AS question, insufficient AS expect_insufficient, CASE WHEN damage = 3 THEN 'NO_QUESTION' END AS error FROM r WHERE damage NOT IN (1, 2)
+UNION ALL SELECT NULL, NULL, NULL, 'BROKEN' FROM r WHERE damage IN (1, 2)""")
+def golden_dataset(spark, sf_dir):
+    """A file of golden questions read by its declared schema; lines that break it, or lack the question, are rows of their own with an error."""
+    user = table(spark, sf_dir, "conversations").where("role = 'user'")
+    damage = (F.col("conv_id") + F.col("turn")) % 9
+    question = F.when(damage != 3, F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("question")
+    line = F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), question, (F.col("conv_id") % 4 == 0).alias("expect_insufficient")))
+    broken = F.when(damage == 1, F.concat(F.lit("{\"id\": oops"), line)).when(damage == 2, F.regexp_replace(line, "\"expect_insufficient\":(true|false)", "\"expect_insufficient\":\"perhaps\"")).otherwise(line)
+    place = f"{ensure_checkpoint_dir(spark)}/golden/{uuid.uuid4()}"
+    user.select(broken.alias("value")).write.text(place)
+    good, bad = files.json_records(spark, place, "id long, question string, expected_document string, expected_article string, expected_page int, expected_answer string, expect_insufficient boolean")
+    told = good.select("id", "question", "expect_insufficient", F.when(F.col("question").isNull(), "NO_QUESTION").alias("error"))
+    return told.unionByName(bad.select(F.lit("BROKEN").alias("error")), allowMissingColumns=True)
+
+
 @query("""
 WITH u AS (SELECT event_id, value, CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN 'STRONG' ELSE 'FAST' END AS tier, user_id AS tokens_in, event_id % 900 AS tokens_out, epoch((SELECT max(ts) FROM events)) - epoch(ts) AS age FROM events)
 SELECT event_id, tier, ((tokens_in + tokens_out) * CASE tier WHEN 'FAST' THEN 5 WHEN 'STRONG' THEN 100 END + 5) // 10 / 1e6 AS cost, CASE WHEN value < 1000 THEN round(value)::BIGINT || 'ms' ELSE printf('%.1fs', value / 1000) END AS latency,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import cut_lineage
+
 ACCESS_DENIED, NOT_FOUND, NETWORK_ERROR = "ACCESS_DENIED", "NOT_FOUND", "NETWORK_ERROR"
 
 
@@ -51,3 +53,14 @@ def scanned(entries: DataFrame, failures: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     under = both.select("path", F.explode(above).alias("folder")).join(failed.where("is_folder").select(F.col("path").alias("folder")), "folder", "left_semi")
     return both.join(under.where("path <> folder").select("path").distinct(), "path", "left_anti")
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The records of JSON lines under a declared schema, and (line, file) of the lines that aren't JSON or hold a value of another type.
+
+    The files are parsed once. Fields that a line lacks are null, further ones are ignored.
+    """
+    read = spark.read.schema(f"{schema}, __broken string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="__broken").json(path)
+    parsed = cut_lineage(read.select("*", F.col("_metadata.file_path").alias("__file")))
+    bad = parsed.where("__broken IS NOT NULL").select(F.col("__broken").alias("line"), F.col("__file").alias("file"))
+    return parsed.where("__broken IS NULL").drop("__broken", "__file"), bad
