@@ -6,8 +6,8 @@ of both, whose number follows from a set's size. So only that block of the matri
 drop out, the others add to the overlaps of pairs, and pairs whose sizes, or whose overlap so far with all that is left
 of a set, can't reach the likeness are discarded. For what remains the overlap is counted over all columns.
 
-Columns of many sets are never multiplied whole. First each set is held against the hub of most of its columns; sets that
-turn out to be of one class need no product any more. What is left is multiplied in tiles of bounded size.
+Columns of many sets are never multiplied whole. First its sets are held against one of them as a hub; sets that turn out
+to be of one class need no product any more. What is left is multiplied in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -298,17 +298,16 @@ def _sizes_allow(a: str, b: str, alike: int):
 
 
 def _hub_pairs(live: DataFrame, alike: int, turn: int) -> DataFrame:
-    """(a, b) of each set with the one that is the hub of most of its columns that hold several classes; ``live``: gram, node, n, label."""
+    """(a, b) of each set with the hub of each of its columns that hold several classes; ``live``: gram, node, n, label."""
     first = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
     hubs = live.groupBy("gram").agg(F.min(first).alias("x"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gram", "x.hub", "x.hub_n", "x.hub_label")
     met = live.join(hubs, "gram").where((F.col("label") != F.col("hub_label")) & _sizes_allow("n", "hub_n", alike))
-    best = met.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("x"))
-    return best.select(F.least("node", "x.hub").alias("a"), F.greatest("node", "x.hub").alias("b")).distinct()
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _tile_pairs(live: DataFrame, alike: int, tile: int) -> DataFrame:
-    """(a, b) of different classes whose overlap in the first block lets them be alike; columns of several classes are multiplied in tiles."""
-    columns = live.groupBy("gram").agg(F.count("*").alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("gram", F.ceil(F.col("k") / tile).alias("of"))
+def _tile_pairs(live: DataFrame, alike: int, least: int, tile: int) -> DataFrame:
+    """(a, b) of different classes whose overlap in the first block lets them be alike; columns of ``least`` sets or more are multiplied in tiles."""
+    columns = live.groupBy("gram").agg(F.count("*").alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("k") >= least)).select("gram", F.ceil(F.col("k") / tile).alias("of"))
     rows = live.join(columns, "gram").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
     dealt = rows.select("gram", "node", "n", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
     dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
@@ -380,7 +379,7 @@ def _search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int)
         test(_bounded(_hub_pairs(live, alike, turn), heads, alike))
         labels = cut_lineage(classes(links.select("a", "b")).withColumnRenamed("root", "label"))
         live = block.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    test(_tile_pairs(live, alike, tile))
+    test(_tile_pairs(live, alike, 3 if hub_rounds else 2, tile))
     return rows, links
 
 
