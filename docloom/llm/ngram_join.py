@@ -6,6 +6,10 @@ of both, whose number follows from a set's size. So only that block of the matri
 drop out, the others add to the overlaps of pairs, and pairs whose sizes, or whose overlap so far with all that is left
 of a set, can't reach the likeness are discarded. For what remains the overlap is counted over all columns.
 
+Each row has a signature too, a bit of which says whether an odd number of its columns fall on it. Two signatures differ
+in no more bits than the rows do in columns, so a pair whose signatures differ in more than its sizes allow is never alike
+and leaves no product: in a large group of near copies most pairs are of this kind.
+
 Columns of many sets are never multiplied whole. First its sets are held against one of them as a hub; sets that turn out
 to be of one class need no product any more. What is left is multiplied in tiles of bounded size.
 """
@@ -34,10 +38,11 @@ SHARD_ENTRIES = 1 << 20
 FLUSH_ENTRIES = 1 << 20
 TILE = 512
 HUB_ROUNDS = 2
+SIGNATURE_BITS = 1024
 _BATCH_BYTES = 1 << 21
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-_ROW = pa.schema([(c, pa.int64()) for c in ("kind", "doc_id", "node", "twin", "n")])
+_ROW = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "node", "twin", "n")), ("signature", pa.binary())])
 _MESSAGE_DDL = "bucket int, grams array<long>, refs array<int>, nodes array<long>, sizes array<int>"
 
 
@@ -117,6 +122,16 @@ def _names(grams: np.ndarray, seed: int) -> tuple[int, int]:
     return xxh64_intdigest(data, seed) - (1 << 63), xxh64_intdigest(data, seed + 1) - (1 << 63)
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Of each of ``SIGNATURE_BITS`` places whether an odd number of a set's grams fall on it."""
+    return np.packbits(np.bincount((grams >> np.uint64(65 - SIGNATURE_BITS.bit_length())).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def most_apart(both: np.ndarray, alike: int) -> np.ndarray:
+    """The most columns in which two alike sets differ that hold ``both`` grams together."""
+    return both - 2 * -(-both * alike // (100 + alike))
+
+
 def least_overlap(n: int | np.ndarray, alike: int):
     """The least overlap of a set of n grams with any that is alike."""
     return -(-n * alike // 100)
@@ -132,7 +147,7 @@ def _each(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[
 
 
 def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """A row of kind 0 for each document (doc_id, node, twin, n), and rows of kind 1 for grams that a task saw often (node: gram, n: sets)."""
+    """A row of kind 0 for each document (doc_id, node, twin, n, signature), and rows of kind 1 for grams that a task saw often (node: gram, n: sets)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -142,14 +157,14 @@ def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             grams, n = grams[n >= HOT_SEEN].view(np.int64), n[n >= HOT_SEEN]
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int64)), none, pa.array(grams), none, pa.array(n)], schema=_ROW)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int64)), none, pa.array(grams), none, pa.array(n), pa.nulls(len(n), pa.binary())], schema=_ROW)
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({name: [r[i] for r in rows] for i, name in enumerate(_ROW.names)}, schema=_ROW)
 
         for doc_id, grams in _each(batches, words, seed):
             node, twin = _names(grams, seed)
-            rows.append((0, doc_id, node, twin, len(grams)))
+            rows.append((0, doc_id, node, twin, len(grams), signature(grams)))
             if len(grams) and node not in seen:
                 seen.add(node)
                 held.append(grams)
@@ -164,7 +179,7 @@ def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
             yield often()
         yield told()
 
-    return _texts(docs).mapInArrow(read, "kind long, doc_id long, node long, twin long, n long")
+    return _texts(docs).mapInArrow(read, "kind long, doc_id long, node long, twin long, n long, signature binary")
 
 
 def _hot(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -305,15 +320,18 @@ def _hub_pairs(live: DataFrame, alike: int, turn: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _tile_pairs(live: DataFrame, alike: int, least: int, tile: int) -> DataFrame:
-    """(a, b) of different classes whose overlap in the first block lets them be alike; columns of ``least`` sets or more are multiplied in tiles."""
+def _tile_pairs(live: DataFrame, signatures: DataFrame, alike: int, least: int, tile: int) -> DataFrame:
+    """(a, b) of different classes whose overlap in the first block lets them be alike; columns of ``least`` sets or more are multiplied in tiles.
+
+    ``signatures``: node, signature. A pair that they rule out is ruled out in every column, so the overlaps of the others are whole.
+    """
     columns = live.groupBy("gram").agg(F.count("*").alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("k") >= least)).select("gram", F.ceil(F.col("k") / tile).alias("of"))
-    rows = live.join(columns, "gram").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
-    dealt = rows.select("gram", "node", "n", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
-    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
+    rows = live.join(columns, "gram").join(signatures, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
+    dealt = rows.select("gram", "node", "n", "label", "signature", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
+    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "signature")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def product(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def product(rows: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
             i, j, own, node, n, label = rows
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             for at in range(0, len(left), 64):
@@ -323,25 +341,32 @@ def _tile_pairs(live: DataFrame, alike: int, least: int, tile: int) -> DataFrame
                     meets &= node[a] < node[b]
                 x, y = np.nonzero(meets)
                 x, y = left[at + x], right[y]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                near = apart <= most_apart(n[x] + n[y], alike)
+                x, y = x[near], y[near]
                 swap = node[x] > node[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], n[x], n[y])], ["a", "b", "na", "nb"])
 
+        def whole() -> Iterator[pa.RecordBatch]:
+            yield from product(np.concatenate([r for r, _ in held], axis=1)[1:], np.concatenate([b for _, b in held]))
+
         last, held = None, []
         for batch in batches:
-            columns = np.stack([c.to_numpy() for c in batch.columns])
+            columns = np.stack([c.to_numpy() for c in batch.columns[:7]])
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(columns.shape[1], -1)
             cuts = np.flatnonzero((columns[:3, 1:] != columns[:3, :-1]).any(axis=0)) + 1
-            for part in np.split(columns, cuts, axis=1):
-                if not part.shape[1]:
+            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), columns.shape[1]]):
+                if first == end:
                     continue
-                key = tuple(part[:3, 0])
+                key = tuple(columns[:3, first])
                 if key != last and held:
-                    yield from product(np.concatenate(held, axis=1)[1:])
+                    yield from whole()
                     held = []
-                held.append(part)
+                held.append((columns[:, first:end], bits[first:end]))
                 last = key
         if held:
-            yield from product(np.concatenate(held, axis=1)[1:])
+            yield from whole()
 
     tiles = dealt.repartition(shuffle_partitions(live.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
     overlaps = tiles.mapInArrow(multiply, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
@@ -379,7 +404,8 @@ def _search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int)
         test(_bounded(_hub_pairs(live, alike, turn), heads, alike))
         labels = cut_lineage(classes(links.select("a", "b")).withColumnRenamed("root", "label"))
         live = block.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    test(_tile_pairs(live, alike, 3 if hub_rounds else 2, tile))
+    signatures = written(rows.groupBy("node").agg(F.first("signature").alias("signature")))
+    test(_tile_pairs(live, signatures, alike, 3 if hub_rounds else 2, tile))
     return rows, links
 
 

@@ -112,3 +112,19 @@ def test_words_of_texts_in_one_batch(monkeypatch):
 def test_the_first_block_follows_from_the_size():
     assert [int(n - ngram_join.least_overlap(n, 85) + 1) for n in (1, 6, 7, 20, 100)] == [1, 1, 2, 4, 16]
     assert ngram_join.least_overlap(np.array([100]), 80)[0] == 80
+
+
+def test_signatures_never_rule_out_alike_sets():
+    rng = np.random.default_rng(3)
+    ruled = 0
+    for n in (1, 7, 12, 90, 700, 5_000):
+        base = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for share in (0.0, 0.02, 0.05, 0.08, 0.1, 0.2, 0.4):
+            other = np.unique(np.concatenate([base[rng.random(len(base)) >= share], rng.integers(0, 1 << 64, int(share * n), np.uint64)]))
+            common = len(np.intersect1d(base, other))
+            bits = [np.frombuffer(ngram_join.signature(x), np.uint64) for x in (base, other)]
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            near = apart <= ngram_join.most_apart(np.int64(len(base) + len(other)), 85)
+            assert near or 100 * common < 85 * (len(base) + len(other) - common)
+            ruled += not near
+    assert ruled >= 10
