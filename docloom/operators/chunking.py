@@ -7,15 +7,14 @@ its own, and then its children are chunks of their own.
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.regulations import level_rank
 from docloom.operators.structure import rank_stack
-from docloom.operators.trees import ancestry
+from docloom.operators.trees import ancestry, rendered_tables
 from docloom.session import cut_lineage
 
 MAX_TOKENS = 400
@@ -24,7 +23,7 @@ EXPAND_BELOW = 40
 ROOTS = ["ARTICLE", "DECISION_ITEM", "NUMBERED_SECTION", "APPENDIX"]
 FALLBACK_ROOTS = ["SECTION", "SUBSECTION"]
 TABLE = "TABLE"
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE = r"(?U)(?<=[.!?])\s+"
 
 
 def regrouped(nodes: DataFrame) -> DataFrame:
@@ -42,53 +41,57 @@ def _tokens(chars: Column) -> Column:
     return F.when(chars <= 0, 0).otherwise(F.greatest(F.lit(1), F.floor(chars / 4))).cast("long")
 
 
-def pieces(text: str, budget: int = MAX_TOKENS) -> list[str]:
-    """Lines packed into pieces of at most ``budget`` tokens; a line over it is packed by sentences, apart from its neighbours."""
-
-    def size(part: str) -> int:
-        return max(1, len(part) // 4)
+def _cuts(sizes: np.ndarray, runs: np.ndarray, budget: int) -> list[list[int]]:
+    """Where pieces start among units in line, from 1, and how many each holds: a piece holds as many as the budget takes, one at least, all of one run."""
+    total = np.cumsum(sizes)
+    ends = np.append(np.flatnonzero(runs[1:] != runs[:-1]) + 1, len(runs))
+    starts, at = [], 0
+    while at < len(sizes):
+        starts.append(at)
+        full = np.searchsorted(total, total[at] - sizes[at] + budget, "right")
+        at = max(at + 1, min(int(full), int(ends[np.searchsorted(ends, at, "right")])))
+    return [[a + 1, b - a] for a, b in zip(starts, [*starts[1:], len(sizes)])]
 
-    out: list[list[str]] = []
-    used = budget + 1
 
-    def add(part: str) -> None:
-        nonlocal used
-        if used + size(part) > budget:
-            out.append([])
-            used = 0
-        out[-1].append(part)
-        used += size(part)
+def split_texts(df: DataFrame, text: str, budget: int = MAX_TOKENS) -> DataFrame:
+    """``df`` plus ``pieces`` of each text: filled lines packed to at most ``budget`` tokens; a line over it is packed by sentences, apart from its neighbours.
 
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        if size(line) <= budget:
-            add(line)
-            continue
-        used = budget + 1
-        for sentence in _SENTENCE.split(line):
-            if sentence.strip():
-                add(sentence)
-        used = budget + 1
-    return ["\n".join(part) for part in out] or [text]
+    A single sentence over the budget is a piece. A blank text is its own piece, a null one an empty piece. Only sizes go to
+    Python, where the cuts are found; texts stay in the engine.
+    """
 
+    @F.pandas_udf("array<array<int>>")
+    def cuts(sizes: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([_cuts(np.asarray(s, np.int64), np.asarray(r, np.int64), budget) for s, r in zip(sizes, runs)])
 
-def split_text(text: Column, budget: int = MAX_TOKENS) -> Column:
-    """The pieces of each text as an array."""
+    size = lambda part: F.greatest(F.lit(1), F.floor(F.length(part) / 4)).cast("int")
+    filled = lambda part: part.rlike(r"(?U)\S")
+    unit = lambda part, run: F.struct(part.alias("part"), size(part).alias("size"), run.cast("int").alias("run"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), filled)
+    # a line that is cut into sentences is a run by its number, whole lines in line are one run
+    by_line = F.transform(lines, lambda line, i: F.when(size(line) <= budget, F.array(unit(line, F.lit(-1)))).otherwise(F.transform(F.filter(F.split(line, _SENTENCE), filled), lambda x: unit(x, i))))
+    held = df.withColumn("__units", F.flatten(by_line)).withColumn("__cuts", cuts(F.col("__units.size"), F.col("__units.run")))
+    packed = F.transform("__cuts", lambda x: F.array_join(F.transform(F.slice("__units", x[0], x[1]), lambda u: u["part"]), "\n"))
+    return held.withColumn("pieces", F.when(F.size("__units") > 0, packed).otherwise(F.array(whole))).drop("__units", "__cuts")
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pieces(t or "", budget))
 
-    return split(text)
+def table_texts(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, pos, text) of the tables of ``nodes``: a table's own text, if it has any, above its rows. ``cells``: doc_id, pos, row, cell, text."""
+    own = nodes.where(F.col("kind") == TABLE).select("doc_id", "pos", F.when(_filled("text"), F.col("text")).alias("own"))
+    return own.join(rendered_tables(cells), ["doc_id", "pos"], "left").select("doc_id", "pos", F.concat_ws("\n", "own", "table_text").alias("text"))
 
 
-def chunks(nodes: DataFrame, budget: int = MAX_TOKENS) -> DataFrame:
+def chunks(nodes: DataFrame, budget: int = MAX_TOKENS, cells: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, root, up, depth, sequence, chars, n_tokens, form, page_start, page_end, previous, next) of every node that is a chunk.
 
     ``up`` is the parent chunk's pos; ``form`` says what the chunk holds: TABLE, WHOLE (its subtree), OWN (its own text,
-    as it is too large) or SPLIT (no text; see ``split_text``). ``chars`` counts the text held, or to be split.
+    as it is too large) or SPLIT (no text; see ``split_texts``). ``chars`` counts the text held, or to be split; that of a table
+    with its ``cells``, as ``table_texts`` gives it.
     """
+    if cells is not None:
+        full = table_texts(nodes, cells).withColumnRenamed("text", "__full")
+        nodes = nodes.join(full, ["doc_id", "pos"], "left").withColumn("text", F.coalesce("__full", "text")).drop("__full")
     # written once: the tree is read by every step below
     tree = cut_lineage(
         regrouped(nodes).select("doc_id", "pos", "parent", "kind", "page", (_filled("text") | _filled("title")).alias("has"), F.when(_filled("text"), F.length("text")).otherwise(0).alias("chars"))
@@ -140,8 +143,8 @@ def chunks(nodes: DataFrame, budget: int = MAX_TOKENS) -> DataFrame:
     )
 
 
-def chunk_texts(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, pos, text) of the chunks ``found`` by ``chunks``: a subtree's texts in order, or the node's own; tables aside."""
+def chunk_texts(nodes: DataFrame, found: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos, text) of the chunks ``found`` by ``chunks``: a subtree's texts in order, the node's own, or, with ``cells``, a table's; without them tables are left out."""
     tree = cut_lineage(regrouped(nodes).select("doc_id", "pos", "parent", "text", "kind"))
     own = tree.select("doc_id", "pos", "text", "kind")
     below = ancestry(tree)
@@ -151,7 +154,11 @@ def chunk_texts(nodes: DataFrame, found: DataFrame) -> DataFrame:
     selves = found.where(F.col("form") != TABLE).select("doc_id", F.col("pos").alias("of"), "pos")
     every = members.join(wide, ["doc_id", "of"], "left_semi").unionByName(selves).join(own.where((F.col("kind") != TABLE) & _filled("text")), ["doc_id", "pos"])
     listed = every.groupBy("doc_id", F.col("of").alias("pos")).agg(F.sort_array(F.collect_list(F.struct(every["pos"].alias("at"), "text"))).alias("t"))
-    return found.where(F.col("form") != TABLE).select("doc_id", "pos").join(listed, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit("")).alias("text"))
+    texts = found.where(F.col("form") != TABLE).select("doc_id", "pos").join(listed, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit("")).alias("text"))
+    if cells is None:
+        return texts
+    tables = found.where(F.col("form") == TABLE).select("doc_id", "pos")
+    return texts.unionByName(tables.join(table_texts(nodes, cells), ["doc_id", "pos"]))
 
 
 def contextual_text(title: Column, labels: Column, text: Column) -> Column:

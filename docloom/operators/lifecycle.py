@@ -105,7 +105,8 @@ def cache_served(requests: DataFrame, key: str, at: str, order: str, seconds: in
     """``requests`` plus ``hit``: an answer of the same key was stored less than ``seconds`` before.
 
     A request that isn't served stores its answer; one that is doesn't prolong it. Requests are taken by time, ties by
-    ``order``. A key's requests pass through one task in sorted batches, of which only the last storing time is kept. Null keys
+    ``order``. Where a key rests for ``seconds`` or more nothing stored before counts, so its requests are cut there; each piece passes
+    through one task in sorted batches, of which only the last storing time is kept. Null keys
     share one entry; a request without a time is never served and stores nothing.
     """
     span = pd.Timedelta(seconds=seconds)
@@ -124,5 +125,8 @@ def cache_served(requests: DataFrame, key: str, at: str, order: str, seconds: in
                 hits.append(hit)
             yield batch.assign(hit=hits)
 
-    dealt = requests.repartition(key).sortWithinPartitions(key, at, order)
+    line = Window.partitionBy(key).orderBy(at, order)
+    rested = F.col(at) >= F.lag(at).over(line) + F.make_dt_interval(secs=F.lit(seconds))
+    pieces = requests.withColumn("__rested", F.when(rested, F.col(at))).withColumn("__piece", F.last("__rested", ignorenulls=True).over(line))
+    dealt = pieces.repartition(key, "__piece").sortWithinPartitions(key, at, order).select(*requests.columns)
     return dealt.mapInPandas(serve, requests.withColumn("hit", F.lit(False)).schema)

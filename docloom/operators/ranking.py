@@ -10,6 +10,8 @@ from docloom.session import cut_lineage
 
 DENSE_FLOOR, DENSE_TOP, SPARSE_TOP, FUSED_TOP, EVIDENCE_TOP = 0.2, 30, 30, 20, 6
 RRF_K = 60
+LEADS = 32
+FIRST = 4  # times k documents that are scored for a threshold
 CLOSE_GAP = 0.15
 QUERY_BLOCK = 256
 VISIBLE = {"VIEWER": ["PUBLIC"], "EDITOR": ["PUBLIC", "INTERNAL"], "ADMIN": ["PUBLIC", "INTERNAL", "RESTRICTED"], "OWNER": ["PUBLIC", "INTERNAL", "RESTRICTED"]}
@@ -39,13 +41,11 @@ def postings(docs: DataFrame, key: str) -> DataFrame:
     return words.groupBy(key, "token").count().groupBy(key, T.feature_hash(F.col("token")).alias("idx")).agg(F.sum("count").alias("tf"))
 
 
-def matches(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
-    """(query, document, score, terms) of every pair with a common term: query tf x document tf x idf, summed, and how many terms are common.
+def weighed_index(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> tuple[DataFrame, DataFrame]:
+    """The postings (document, idx, tf) of the queries' terms alone, and the queries' weights (idx, query, w): query tf x idf.
 
-    Only the queries' terms of the documents are kept: distinct tokens are hashed once, those that share a place with a
-    query's are joined to the documents' tokens as they are read, and the counts give both the frequencies and the
-    postings. A query's weights of a term meet the term's postings as one list, so that a frequent term isn't a
-    hot key of pairs; scores are summed within tasks before they are shuffled.
+    Distinct tokens are hashed once, those that share a place with a query's are joined to the documents' tokens as they are
+    read, and the counts give both the frequencies and the postings.
     """
     asked = postings(queries, query_key)
     words = docs.select(F.col(doc_key), F.explode(T.tokens(F.col("text"))).alias("token"))
@@ -55,15 +55,65 @@ def matches(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -
     size = docs.agg(F.count("*").alias("size"))
     df = index.groupBy("idx").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("size") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "idx").join(F.broadcast(size)).select("idx", query_key, (F.col("tf") * idf).alias("w"))
-    lists = weighed.groupBy("idx").agg(F.collect_list(F.struct(query_key, "w")).alias("asked"))
-    pairs = index.join(lists, "idx").select(doc_key, "tf", F.inline("asked"))
+    return index, asked.join(df, "idx").join(F.broadcast(size)).select("idx", query_key, (F.col("tf") * idf).alias("w"))
+
+
+def _summed(index: DataFrame, weighed: DataFrame, on: list[str], query_key: str, doc_key: str) -> DataFrame:
+    """(query, document, score, terms). A query's weights of a term meet the term's postings as one list, so that a frequent term isn't a
+    hot key of pairs; scores are summed within tasks before they are shuffled."""
+    lists = weighed.groupBy(*on).agg(F.collect_list(F.struct(query_key, "w")).alias("asked"))
+    pairs = index.join(lists, on).select(doc_key, "tf", F.inline("asked"))
     return pairs.groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("tf") * F.col("w")), 6).alias("score"), F.count("*").alias("terms"))
 
 
+def matches(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
+    """(query, document, score, terms) of every pair with a common term: query tf x document tf x idf, summed, and how many terms are common."""
+    return _summed(*weighed_index(queries, docs, query_key, doc_key), ["idx"], query_key, doc_key)
+
+
+def blocked(index: DataFrame, doc_key: str) -> DataFrame:
+    """``index`` plus ``block``: documents whose postings sum to about the same, within a quarter of an octave, and whose most frequent term is the same.
+
+    The term tells languages and subjects apart, whose blocks then have low bounds for the queries of others. Only the ``LEADS`` terms that lead
+    most documents are told apart, so the number of blocks is bounded.
+    """
+    facts = cut_lineage(index.groupBy(doc_key).agg(F.floor(F.log2(F.sum("tf")) * 4).cast("long").alias("level"), F.max(F.struct("tf", "idx"))["idx"].alias("lead")))
+    order = Window.orderBy(F.desc("count"), "lead")
+    leads = facts.groupBy("lead").count().orderBy(F.desc("count"), "lead").limit(LEADS).select("lead", F.row_number().over(order).cast("long").alias("slot"))
+    block = F.col("level") * (LEADS + 1) + F.coalesce("slot", F.lit(0))
+    return cut_lineage(index.join(facts.join(F.broadcast(leads), "lead", "left").select(doc_key, block.alias("block")), doc_key))
+
+
+def block_bounds(index: DataFrame, weighed: DataFrame, query_key: str) -> DataFrame:
+    """(query, block, bound): no document of a block scores above the sum of a query's weights by the block's greatest tf of each term."""
+    greatest = index.groupBy("block", "idx").agg(F.max("tf").alias("tf"))
+    return greatest.join(weighed, "idx").groupBy(query_key, "block").agg(F.sum(F.col("tf") * F.col("w")).alias("bound"))
+
+
 def sparse_top(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str, k: int = SPARSE_TOP) -> DataFrame:
-    """(query, document, score, rank) by the sum of query tf x document tf x idf, through the inverted index."""
-    return top_k_per(matches(queries, docs, query_key, doc_key).drop("terms"), [query_key], [F.desc("score"), F.col(doc_key)], k)
+    """(query, document, score, rank) by the sum of query tf x document tf x idf, through the inverted index: the exact first ``k``, ties to the smaller document.
+
+    The documents' postings lie in blocks of about the same sum and one leading term. For each query the block of the highest bound, and those after it until
+    they hold ``FIRST`` x ``k`` documents, are scored first; the k-th score found is a threshold, and of the other blocks only
+    those whose bound reaches it are scored. A query that matches fewer than ``k`` documents there has no threshold, and all its
+    blocks are scored. Queries without a common term give no row.
+    """
+    index, weighed = weighed_index(queries, docs, query_key, doc_key)
+    index, weighed = blocked(index, doc_key), cut_lineage(weighed)
+    held = index.groupBy("block").agg(F.countDistinct(doc_key).alias("held"))
+    before = Window.partitionBy(query_key).orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = block_bounds(index, weighed, query_key).join(F.broadcast(held), "block")  # at most a few thousand rows: see ``blocked``
+    blocks = cut_lineage(blocks.withColumn("first", F.coalesce(F.sum("held").over(before), F.lit(0)) < FIRST * k))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        return top_k_per(_summed(index, weighed.join(chosen.select(query_key, "block"), query_key), ["block", "idx"], query_key, doc_key).drop("terms"), [query_key], order, k)
+
+    order = [F.desc("score"), F.col(doc_key)]
+    begun = cut_lineage(scored(blocks.where("first")))
+    least = begun.where(F.col("rank") == k).select(query_key, F.col("score").alias("least"))
+    # rounded scores may lie above their bound by half of the last place
+    left = blocks.where("not first").join(least, query_key, "left").where(F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("least")))
+    return top_k_per(begun.unionByName(scored(left)).drop("rank"), [query_key], order, k)
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int = DENSE_TOP, floor: float = DENSE_FLOOR) -> DataFrame:

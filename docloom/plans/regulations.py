@@ -237,6 +237,8 @@ def uncovered_pages(spark, sf_dir):
 
 _CELLS = r"""c AS (SELECT doc_id, pos, string_split(text, ' ') AS w FROM nodes WHERE node_type = 'TABLE'),
 e AS (SELECT doc_id, pos, unnest(range(0, len(w))) AS i, w FROM c), cells AS (SELECT doc_id, pos, i // 4 AS row, i % 4 AS cell, w[i + 1] AS text FROM e)"""
+_TABLES = """tl AS (SELECT doc_id, pos, row, string_agg(text, ' | ' ORDER BY cell) AS line FROM cells GROUP BY ALL),
+tt AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY row) AS table_text FROM tl GROUP BY ALL)"""
 
 
 def _cells(spark, sf_dir):
@@ -252,8 +254,7 @@ def table_expansion(spark, sf_dir):
 
 
 @query(f"""
-WITH {NODES}, {_CELLS}, r AS (SELECT doc_id, pos, row, string_agg(text, ' | ' ORDER BY cell) AS line FROM cells GROUP BY ALL)
-SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY row) AS table_text FROM r GROUP BY ALL""")
+WITH {NODES}, {_CELLS}, {_TABLES} SELECT doc_id, pos, table_text FROM tt""")
 def table_text(spark, sf_dir):
     return trees.rendered_tables(_cells(spark, sf_dir))
 
@@ -263,8 +264,8 @@ def chunk_nodes(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {TYPED}, rk AS (SELECT *, {_RANK} AS rank FROM typed),
-tree AS (SELECT doc_id, pos, kind, length(text) AS chars, page, (SELECT max(b.pos) FROM rk b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.rank IS NOT NULL AND (a.rank IS NULL OR b.rank < a.rank)
+WITH RECURSIVE {TYPED}, {_CELLS}, {_TABLES}, rk AS (SELECT *, {_RANK} AS rank FROM typed),
+tree AS (SELECT doc_id, pos, kind, length(text) + CASE WHEN kind = 'TABLE' THEN coalesce((SELECT 1 + length(table_text) FROM tt WHERE tt.doc_id = a.doc_id AND tt.pos = a.pos), 0) ELSE 0 END AS chars, page, (SELECT max(b.pos) FROM rk b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.rank IS NOT NULL AND (a.rank IS NULL OR b.rank < a.rank)
      AND NOT EXISTS (SELECT 1 FROM rk c WHERE c.doc_id = a.doc_id AND c.pos > b.pos AND c.pos < a.pos AND c.rank <= b.rank)) AS parent FROM rk a),
 walk AS (SELECT doc_id, pos, parent AS above, 1 AS distance FROM tree WHERE parent IS NOT NULL
   UNION ALL SELECT w.doc_id, w.pos, t.parent, w.distance + 1 FROM walk w JOIN tree t ON t.doc_id = w.doc_id AND t.pos = w.above WHERE t.parent IS NOT NULL),
@@ -282,18 +283,20 @@ span AS (SELECT doc_id, pos, min(page) AS page_start, max(page) AS page_end FROM
 SELECT doc_id, pos, root, up, depth::BIGINT AS depth, row_number() OVER s - 1 AS sequence, chars::BIGINT AS chars, CASE WHEN form = 'SPLIT' THEN 0 ELSE greatest(1, chars // 4) END::BIGINT AS n_tokens, form, page_start, page_end,
   lag(pos) OVER s AS previous, lead(pos) OVER s AS next FROM held JOIN span USING (doc_id, pos) WINDOW s AS (PARTITION BY doc_id, up ORDER BY pos)""")
 def chunk_rows(spark, sf_dir):
-    """The chunks of every document's tree."""
-    return chunking.chunks(chunk_nodes(spark, sf_dir))
+    """The chunks of every document's tree; tables count with their cells."""
+    return chunking.chunks(chunk_nodes(spark, sf_dir), cells=_cells(spark, sf_dir))
 
 
 @query()
 def chunk_texts(spark, sf_dir):
     """The texts of the chunks, those too large for the budget in pieces."""
     tree_nodes = cut_lineage(chunk_nodes(spark, sf_dir))
-    found = cut_lineage(chunking.chunks(tree_nodes))
-    texts = chunking.chunk_texts(tree_nodes, found).join(found.select("doc_id", "pos", "form"), ["doc_id", "pos"])
-    parts = texts.withColumn("parts", F.when(F.col("form") == "SPLIT", chunking.split_text(F.col("text"))).otherwise(F.array("text")))
-    return parts.select("doc_id", "pos", "form", F.posexplode("parts").alias("piece", "text"))
+    cells = cut_lineage(_cells(spark, sf_dir))
+    found = cut_lineage(chunking.chunks(tree_nodes, cells=cells))
+    texts = chunking.chunk_texts(tree_nodes, found, cells).join(found.select("doc_id", "pos", "form"), ["doc_id", "pos"])
+    split = chunking.split_texts(texts.where("form = 'SPLIT'"), "text")
+    parts = texts.where("form <> 'SPLIT'").withColumn("pieces", F.array("text")).unionByName(split)
+    return parts.select("doc_id", "pos", "form", F.posexplode("pieces").alias("piece", "text"))
 
 
 @query(f"""

@@ -48,14 +48,27 @@ def test_chunks_of_a_small_tree(spark):
     assert (found[1, 4].root, found[1, 4].up, found[1, 4].depth) == (2, 3, 2) and found[1, 0].next == 2 and found[1, 2].n_tokens == 1
     texts = {(r.doc_id, r.pos): r.text for r in chunking.chunk_texts(nodes, chunking.chunks(nodes)).collect()}
     assert texts[1, 0] == "Intro\nwords" and texts[1, 2] == "Pasal 1" and texts[2, 0] == "alone"
+    cells = spark.createDataFrame([(1, 5, 1, 0, "c"), (1, 5, 0, 0, "a"), (1, 5, 0, 1, None), (1, 5, 1, 1, "d" * 40)], "doc_id long, pos long, row long, cell long, text string")
+    held = chunking.chunks(nodes, cells=cells)
+    full = "t\na | \nc | " + "d" * 40
+    assert {(r.doc_id, r.pos): r.text for r in chunking.chunk_texts(nodes, held, cells).collect()} == texts | {(1, 5): full}
+    assert held.where("form = 'TABLE'").select("chars", "n_tokens").first() == (len(full), len(full) // 4)
     assert chunking.chunks(nodes.where("false")).count() == 0
 
 
-def test_pieces_keep_every_sentence():
+def test_pieces_keep_every_sentence(spark):
     text = "first line\n\n" + "A sentence. " * 300 + "\nlast"
-    parts = chunking.pieces(text, 100)
+
+    def pieces(text, budget):
+        return chunking.split_texts(spark.createDataFrame([(text,)], "t string"), "t", budget).first().pieces
+
+    parts = pieces(text, 100)
     assert " ".join(" ".join(parts).split()) == " ".join(text.split()) and parts[0] == "first line" and parts[-1] == "last"
-    assert all(len(p) // 4 <= 150 for p in parts) and chunking.pieces("", 5) == [""] and chunking.pieces("x" * 90, 5) == ["x" * 90]
+    assert all(len(p) // 4 <= 150 for p in parts) and pieces("", 5) == [""] and pieces("x" * 90, 5) == ["x" * 90]
+    assert pieces(None, 5) == [""] and pieces(" \n\t", 5) == [" \n\t"]
+    # whole lines are packed together, a cut line stands apart from both neighbours, and a sentence over the budget is a piece
+    assert pieces("aaaa bbbb\ncccc\n" + "One two. Three four. Five six seven eight nine ten eleven.\ndddd\neeee", 5) == ["aaaa bbbb\ncccc", "One two.\nThree four.", "Five six seven eight nine ten eleven.", "dddd\neeee"]
+    assert sum(map(len, pieces("w " * 100_000 + "\n" + "ab cd. " * 50_000, 400))) > 500_000
 
 
 def test_claims_and_redaction(spark):
