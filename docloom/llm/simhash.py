@@ -1,11 +1,16 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-The upper levels of one vantage-point tree are grown on a bounded sample of fingerprints and part all distinct
-fingerprints by their distance to a vantage point. A fingerprint outside a radius, but within ``max_bits`` of it,
-visits the inner side as well, and a visitor goes wherever the triangle bound lets a partner be: that is enough to
-find every pair that crosses a boundary, and all else is pruned. Each leaf is a shard of a shuffle and grows the
-tree's lower levels itself. Tasks report star-shaped links, no more than one for each fingerprint a block looked at,
-never all pairs of a group; classes are found by contracting the link graph.
+A border of four bits is wide in a space of 64: any shard would be visited by a large share of all rows. Fingerprints
+are therefore searched by parts (``search_parts``): of four parts, the first allows one differing bit and the others
+none, as two fingerprints that differ in more than that in every part differ in five bits or more. For each part, the
+upper levels of a vantage-point tree are grown on a bounded sample and part all distinct fingerprints by the distance of
+that part to a vantage point. What lies outside a radius, but within the allowed bits of it, visits the inner side as
+well, and a visitor goes wherever the triangle bound lets a partner be: that is enough to find every pair that crosses a
+boundary, and all else is pruned. Each leaf is a shard of a shuffle and grows the tree's lower levels itself, first over
+the part, then over all 64 bits; only pairs within ``max_bits`` of the whole are linked. A leaf of more than
+``shard_rows`` rows is cut into tiles of a block of its own rows and a block of its visitors, so that no task holds more.
+Tasks report star-shaped links, no more than one for each fingerprint a block looked at, never all pairs of a group;
+classes are found by contracting the link graph.
 
 ``deduplicate`` looks for texts whose sets of ``SHINGLE`` words are alike by ``ALIKE`` or more. At that likeness
 fingerprints of ``WIDE`` words of 64 bits differ in up to ``WIDE_BITS`` bits nearly always. The vantage point is then
@@ -41,9 +46,11 @@ WIDE, WIDE_BITS = 2, 30
 BLOCK_ROWS = 16_384
 LINK_ROWS = 4_096
 VANTAGES = 8
+NARROW = 13  # bits of a part that allows less than the widest: the wider the others, the fewer rows lie at their borders
 SMALL_ROWS = 4_000_000  # a table of two numbers a row is broadcast up to this size, and joined by a shuffle beyond
 _CHUNK = 1 << 16
 _AREA = 1 << 21
+_ALL = np.uint64((1 << 64) - 1)
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -152,45 +159,68 @@ def _nearest(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids
             yield ids[met], by[met], held[met].astype(np.int32)
 
 
+def search_parts(max_bits: int) -> list[tuple[np.uint64, int]]:
+    """(mask, allowed bits) of the parts of a fingerprint: what lies within ``max_bits`` is within what one of them allows.
+
+    The allowed bits and one, summed over the parts, are more than ``max_bits``. A part that allows more is wider.
+    """
+    base, more = divmod(max_bits + 1, 4)
+    allowed = [a for a in (base - (at >= more) for at in range(4)) if a >= 0]
+    wide = more if 0 < more < len(allowed) else len(allowed)
+    narrow = NARROW if wide < len(allowed) else 0
+    room = 64 - narrow * (len(allowed) - wide)
+    widths = [room // wide + (at < room % wide) for at in range(wide)] + [narrow] * (len(allowed) - wide)
+    ends = np.cumsum(widths).tolist()
+    return [(np.uint64(((1 << width) - 1) << (end - width)), bits) for end, width, bits in zip(ends, widths, allowed)]
+
+
 def parted(fps: np.ndarray, max_bits: int) -> tuple[np.uint64, int] | None:
     """A vantage point and a radius that part the fingerprints with the fewest near the border; none if all are equally far.
 
     Of ``VANTAGES`` points and the radii that leave a quarter on either side, judged by at most 2,048 fingerprints.
     """
     judged = fps[:: max(1, len(fps) // 2048)]
-    best = None
-    for vantage in fps[:: max(1, len(fps) // VANTAGES)][:VANTAGES]:
-        counts = np.cumsum(np.bincount(distances(judged[:, None], vantage), minlength=65)) / len(judged)
-        for radius in range(64):
-            inner = counts[radius]
-            if 0 < inner < 1:
-                cost = (not 0.25 <= inner <= 0.75, counts[min(64, radius + max_bits)] - inner, abs(inner - 0.5))
-                best = min(best or (cost, vantage, radius), (cost, vantage, radius), key=lambda x: x[0])
-    return best and best[1:]
-
-
-def tree_links(own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF, seen: dict | None = None) -> Iterator[np.ndarray]:
+    vantages = fps[:: max(1, len(fps) // VANTAGES)][:VANTAGES]
+    within = np.stack([np.cumsum(np.bincount(np.bitwise_count(judged ^ v), minlength=65)) for v in vantages]) / len(judged)
+    inner = within[:, :64]
+    border = within[:, np.minimum(np.arange(64) + max_bits, 64)] - inner
+    cost = np.where((inner >= 0.25) & (inner <= 0.75), 0, 4) + border + abs(inner - 0.5) / 1024
+    cost[(inner <= 0) | (inner >= 1)] = np.inf
+    at, radius = np.unravel_index(cost.argmin(), cost.shape)
+    return (vantages[at], int(radius)) if np.isfinite(cost[at, radius]) else None
+
+
+def tree_links(
+    own: np.ndarray, visitors: np.ndarray, max_bits: int = MAX_BITS, leaf: int = LEAF, seen: dict | None = None, part: tuple[np.uint64, int] | None = None
+) -> Iterator[np.ndarray]:
     """Links of distinct 64-bit fingerprints: own with own and own with visitors, by a vantage-point tree.
 
-    ``seen`` counts the splits made and the visits pruned by the triangle bound.
+    With a ``part`` (mask, allowed bits), its distances split first and those of all bits only what the part can't split;
+    pairs that are farther apart in the part may then be missing. ``seen`` counts the splits made and the visits
+    pruned by the triangle bound.
     """
-    stack = [(own, visitors)]
+    levels = [*([part] if part else []), (_ALL, max_bits)]
+    stack = [(own, visitors, 0)]
     while stack:
-        own, visitors = stack.pop()
-        split = parted(own, max_bits) if len(own) > leaf else None
+        own, visitors, level = stack.pop()
+        split = None
+        while split is None and len(own) > leaf and level < len(levels):
+            mask, bits = levels[level]
+            split = parted(own & mask, bits)
+            level += split is None
         if split is None:
             if len(own):
                 yield from _star(own[:, None], own, visitors[:, None], visitors, max_bits)
             continue
         vantage, radius = split
-        far, far_v = distances(own[:, None], vantage), distances(visitors[:, None], vantage)
-        inner, near_border = far <= radius, far <= radius + max_bits
-        to_inner, to_outer = far_v <= radius + max_bits, far_v > radius - max_bits
+        far, far_v = np.bitwise_count((own & mask) ^ vantage), np.bitwise_count((visitors & mask) ^ vantage)
+        inner, near_border = far <= radius, far <= radius + bits
+        to_inner, to_outer = far_v <= radius + bits, far_v + bits > radius
         if seen is not None:
             seen["splits"] = seen.get("splits", 0) + 1
             seen["pruned"] = seen.get("pruned", 0) + int((~near_border).sum() + (~to_inner).sum() + (~to_outer).sum())
-        stack.append((own[inner], np.concatenate([visitors[to_inner], own[~inner & near_border]])))
-        stack.append((own[~inner], visitors[to_outer]))
+        stack.append((own[inner], np.concatenate([visitors[to_inner], own[~inner & near_border]]), level))
+        stack.append((own[~inner], visitors[to_outer], level))
 
 
 def upper_tree(sample: np.ndarray, most: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int, int]]:
@@ -214,8 +244,8 @@ def upper_tree(sample: np.ndarray, most: int, max_bits: int = MAX_BITS) -> list[
     return nodes
 
 
-def placed(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], max_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(leaf, fingerprints, own) of every leaf that fingerprints live in or have to visit."""
+def placed(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], max_bits: int, mask: np.uint64 = _ALL) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, fingerprints, own) of every leaf that fingerprints live in or have to visit; distances are those of the mask's bits."""
     stack = [(len(nodes) - 1 if nodes else -1, fps, np.ones(len(fps), bool))]
     while stack:
         at, rows, own = stack.pop()
@@ -225,13 +255,31 @@ def placed(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], max_bits: in
             yield -at - 1, rows, own
             continue
         vantage, radius, inner, outer = nodes[at]
-        far = distances(rows[:, None], np.array([vantage], np.uint64))
+        far = np.bitwise_count((rows & mask) ^ np.uint64(vantage))
         home = far <= radius
-        goes_in, goes_out = home | (far <= radius + max_bits), np.where(own, ~home, far > radius - max_bits)
+        goes_in, goes_out = far <= radius + max_bits, np.where(own, ~home, far + max_bits > radius)
         stack.append((inner, rows[goes_in], (own & home)[goes_in]))
         stack.append((outer, rows[goes_out], own[goes_out]))
 
 
+def tiled(shard: int, fps: np.ndarray, own: np.ndarray, blocks: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(key, fingerprints, own) of the tiles of a shard that is cut into ``blocks`` of own rows and of visitors.
+
+    A tile (i, j) holds block i of the own rows and, for j other than i, block j of the others: own blocks after i,
+    then the blocks of visitors. Every own row so meets every other row of its shard.
+    """
+    own_blocks, visitor_blocks = blocks
+    mixed = ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+    block = np.where(own, mixed % own_blocks, own_blocks + mixed % max(1, visitor_blocks))
+    for j in np.unique(block):
+        rows = fps[block == j]
+        mine = [(j, at) for at in range(j, own_blocks + visitor_blocks)] if j < own_blocks else []
+        for i, at in mine:
+            yield shard << 32 | int(i) << 16 | at, rows, np.ones(len(rows), bool)
+        for i in range(min(j, own_blocks)):
+            yield shard << 32 | i << 16 | int(j), rows, np.zeros(len(rows), bool)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of each shard of batches that come sorted by their first column."""
     rest: list[np.ndarray] | None = None
@@ -256,26 +304,49 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS
     """Distinct links (a, b) whose graph joins exactly the fingerprints that ``max_bits`` or fewer bits join.
 
     ``fps``: distinct fingerprints in column fp. Two are linked here if a chain of near pairs joins them;
-    not every near pair has a row of its own. Shards hold about ``shard_rows`` fingerprints of their own.
+    not every near pair has a row of its own. Shards hold about ``shard_rows`` fingerprints of their own; those that
+    turn out larger, or have more visitors, are cut into tiles.
     """
     tasks = shuffle_partitions(fps.sparkSession)
     total = fps.count()
     share = max(1, -(-total // SAMPLE))
     sample = np.sort(np.array([r.fp for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).collect()], np.int64)).view(np.uint64)
     sample = np.random.default_rng(SEED).permutation(sample)
-    nodes = upper_tree(sample, max(8, shard_rows // share), max_bits)
+    parts = search_parts(max_bits)
+    trees = [upper_tree(sample & mask, max(8, shard_rows // share), bits) for mask, bits in parts]
+
+    def shards(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for tree, (nodes, (mask, bits)) in enumerate(zip(trees, parts)):
+            for shard, rows, own in placed(batch.column(0).to_numpy().view(np.uint64), nodes, bits, mask):
+                yield shard << 2 | tree, rows, own
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, rows, own in shards(batch):
+                sizes[shard] = sizes.get(shard, 0) + np.array([own.sum(), len(rows) - own.sum()])
+        if sizes:
+            mine, others = np.stack(list(sizes.values()), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int64()), pa.array(mine), pa.array(others)], ["shard", "mine", "others"])
+
+    rows = fps.select("fp")
+    sizes = rows.mapInArrow(counted, "shard long, mine long, others long").groupBy("shard").agg(F.sum("mine").alias("mine"), F.sum("others").alias("others"))
+    large = sizes.where(F.greatest("mine", "others") > shard_rows).collect()  # no more rows than the trees have leaves, which the sample bounds
+    cuts = {r.shard: (max(1, -(-r.mine // shard_rows)), -(-r.others // shard_rows)) for r in large}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, rows, own in placed(batch.column(0).to_numpy().view(np.uint64), nodes, max_bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(rows.view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
+            for shard, rows, own in shards(batch):
+                tiles = tiled(shard, rows, own, cuts[shard]) if shard in cuts else [(shard << 32, rows, own)]
+                for key, held, mine in tiles:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), key, np.int64)), pa.array(held.view(np.int64)), pa.array(mine)], ["shard", "fp", "own"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, fp, own in _by_shard(batches):
+        for key, fp, own in _by_shard(batches):
             fp, own = fp.view(np.uint64), own.astype(bool)
-            yield from _link_batch(list(tree_links(fp[own], fp[~own], max_bits, leaf)))
+            yield from _link_batch(list(tree_links(fp[own], fp[~own], max_bits, leaf, part=parts[int(key[0]) >> 32 & 3])))
 
-    dealt = fps.select("fp").mapInArrow(place, "shard int, fp long, own boolean").repartition(tasks, "shard").sortWithinPartitions("shard")
+    dealt = rows.mapInArrow(place, "shard long, fp long, own boolean").repartition(tasks, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 

@@ -97,6 +97,59 @@ def test_tree_with_small_leaves_finds_all_classes():
         assert [int(x) for x in label] == [least for _, _, least in plain_classes(list(enumerate(fps)))]
 
 
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 4, 7, 9])
+def test_near_pairs_are_near_in_a_part(max_bits):
+    parts = simhash.search_parts(max_bits)
+    masks = np.array([m for m, _ in parts])
+    assert np.bitwise_or.reduce(masks) == 2**64 - 1 and np.bitwise_count(masks).sum() == 64
+    assert sum(bits + 1 for _, bits in parts) == max_bits + 1
+    rng = np.random.default_rng(max_bits)
+    for _ in range(300):
+        apart = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, max_bits, replace=False).astype(np.uint64), initial=np.uint64(0))
+        assert any(np.bitwise_count(apart & m) <= bits for m, bits in parts)
+
+
+@pytest.mark.parametrize("blocks", [(1, 1), (3, 0), (2, 2), (1, 4)])
+def test_tiles_hold_every_pair_of_a_shard(blocks):
+    rng = np.random.default_rng(7)
+    fps, own = np.unique(rng.integers(0, 2**64, 90, dtype=np.uint64)), np.arange(90) % 3 > 0
+    own = own if blocks[1] else np.ones(90, bool)
+    tiles: dict = {}
+    for key, rows, mine in simhash.tiled(5, fps, own, blocks):
+        assert key >> 32 == 5
+        tiles.setdefault(key, []).extend(zip(rows.tolist(), mine.tolist()))
+    met = {frozenset((a, b)) for rows in tiles.values() for a, mine in rows if mine for b, _ in rows}
+    assert all(frozenset((a, b)) in met for a in fps[own].tolist() for b in fps.tolist())
+
+
+def test_few_rows_are_placed_more_than_once_in_a_part():
+    fps = np.unique(np.random.default_rng(11).integers(0, 2**64, 40_000, dtype=np.uint64))
+    for most, limit in ((10_000, 6), (1_250, 6.5), (110, 8)):
+        rows = shards = 0
+        for mask, bits in simhash.search_parts(4):
+            for _, held, own in simhash.placed(fps, simhash.upper_tree(fps[::2] & mask, most, bits), bits, mask):
+                rows, shards = rows + len(held), shards + 1
+                assert own.sum() <= 6 * most
+        assert rows <= limit * len(fps), (shards, rows / len(fps))
+    assert 900 < shards < 1400
+
+
+def test_one_value_of_a_part_is_cut_into_tiles(spark):
+    rng = np.random.default_rng(13)
+    low = rng.integers(0, 2**25, 600, dtype=np.uint64)  # all other parts are equal, so one leaf holds all
+    fps = np.unique(np.concatenate([low, low[:200] ^ np.uint64(0b1011)]))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found = {r.node: r.root for r in simhash.classes(simhash.links(frame, shard_rows=64, leaf=8)).collect()}
+    classes: dict = {}
+    for i, _, least in plain_classes(list(enumerate(fps))):
+        classes.setdefault(least, set()).add(int(fps[i]))
+    want = {frozenset(c) for c in classes.values() if len(c) > 1}
+    got: dict = {}
+    for node, root in found.items():
+        got.setdefault(root, set()).add(node)
+    assert {frozenset(c) for c in got.values()} == want
+
+
 def test_small_cases_of_the_operator(spark):
     rows = [(7, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, None), (None, ""), (2, "  "), (None, "x y z"), (5, "other words here again now")]
     docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, fp string, root int")
