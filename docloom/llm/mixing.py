@@ -4,13 +4,15 @@ A classifier learned from the labels table gives every document posteriors over
 toxic). Documents then get non-negative rates, so that the expected tokens of each domain (rate x tokens x
 posterior, over all documents) come as near as possible, in least squares, to the target weights. The rates are
 found by accelerated projected gradient steps from rate one. A step's slope depends on a document's posteriors alone, so
-documents with equal posteriors (kept to ``1 / STEPS``) keep equal rates, and the steps run over the table of
-distinct posteriors with their token totals: at most ``(STEPS + 1) ** 2`` rows. Only DataFrame functions are used.
+documents of equal posteriors keep equal rates. For the fit, and for it alone, posteriors are rounded to ``1 / STEPS``; token
+totals are summed over all documents, and the steps fold over the table of rounded posteriors, at most
+``(STEPS + 1) * (STEPS + 2) / 2`` rows, in one expression. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ TRAIN_DOCS = 4_000
 VOCABULARY = 2_000
 LEAST_DOCS = 5
 STEPS = 20
-ROUNDS = 400
+ROUNDS = 2_000
 CLOSE = 0.002
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -74,22 +76,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabu
 
 
 def posteriors(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` plus p_clean, p_low, p_toxic (whole multiples of ``1 / STEPS`` that add up to one) and n_tokens.
+    """``docs`` plus p_clean, p_low, p_toxic (which add up to one) and n_tokens.
 
     Tokens are the words and one for the end. The sum of a document's word weights is damped by the square root of how many it has, as neighbouring
-    words say much the same. A null or empty text gets the prior. Multiples are chosen with the chance of the fraction, by a
-    hash of id and text, so that they are right in expectation. Columns of these names are replaced.
+    words say much the same. A null or empty text gets the prior. Columns of these names are replaced.
     """
     names = [*(f"p_{d}" for d in DOMAINS), "n_tokens"]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     every = sorted({w for words in model["weights"].values() for w in words})
 
     def literal(words: list[int]) -> Column:
         return F.lit(words) if words else F.array().cast("array<bigint>")
 
-    chance = F.pmod(F.xxhash64(F.lit("posteriors"), "doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
-    split = computed(docs, kept, {"__words": words_of(F.col("text")), "__chance": chance})
-    held = computed(split, [*kept, "__chance"], {"n_tokens": (F.size("__words") + 1).cast("long"), "__held": F.array_intersect("__words", literal(every))})
+    split = computed(docs, kept, {"__words": words_of(F.col("text"))})
+    held = computed(split, kept, {"n_tokens": (F.size("__words") + 1).cast("long"), "__held": F.array_intersect("__words", literal(every))})
 
     def score(k: int) -> Column:
         total = F.lit(0)
@@ -100,58 +100,97 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
 
     if all(map(math.isinf, model["prior"][1:])):
         return held.select(*kept, F.lit(1.0).alias("p_clean"), F.lit(0.0).alias("p_low"), F.lit(0.0).alias("p_toxic"), "n_tokens")
-    scored = computed(held, [*kept, "n_tokens", "__chance"], {f"__e{k}": F.exp(F.least(score(k), F.lit(50.0))) for k in (1, 2)})
+    scored = computed(held, [*kept, "n_tokens"], {f"__e{k}": F.exp(F.least(score(k), F.lit(50.0))) for k in (1, 2)})
     whole = F.lit(1.0) + F.col("__e1") + F.col("__e2")
-    sums = {"__s1": F.col("__e1"), "__s12": F.col("__e1") + F.col("__e2")}
-    counted = computed(scored, [*kept, "n_tokens"], {k: F.least(F.lit(STEPS), F.floor(x / whole * STEPS + F.col("__chance"))) for k, x in sums.items()})
-    s1, s2 = F.col("__s1"), F.col("__s12") - F.col("__s1")
-    return counted.select(*kept, ((STEPS - s1 - s2) / STEPS).alias("p_clean"), (s1 / STEPS).alias("p_low"), (s2 / STEPS).alias("p_toxic"), "n_tokens")
+    return scored.select(*kept, (1 / whole).alias("p_clean"), (F.col("__e1") / whole).alias("p_low"), (F.col("__e2") / whole).alias("p_toxic"), "n_tokens")
+
+
+def rounded(chance: Column) -> list[Column]:
+    """p_clean, p_low and p_toxic as whole multiples of ``1 / STEPS`` that add up to one.
+
+    A multiple is chosen with the chance of the fraction (``chance``: even between 0 and 1), so that it is right in expectation.
+    """
+    low = F.least(F.lit(STEPS), F.floor(F.col("p_low") * STEPS + chance))
+    both = F.least(F.lit(STEPS), F.floor((F.col("p_low") + F.col("p_toxic")) * STEPS + chance))
+    return [(x / STEPS).alias(f"p_{d}") for d, x in zip(DOMAINS, (STEPS - both, low, both - low))]
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """(p_low, p_toxic, rate): the fitted rate of every combination of posteriors among ``scored``.
+    """(p_low, p_toxic, rate, gap): the fitted rate of every combination of posteriors among ``scored``, which are few.
 
     The total is what leaves the expected tokens of the clean domain as they are. Documents of a scarce domain
-    get rates above one; only a domain without any expected tokens is left out. An empty table gives no rates.
+    get rates above one; only a domain without any expected tokens is left out. ``gap`` is the greatest distance of a
+    domain's expected tokens from its target, as a share of the target (of no less than ``CLOSE`` of the total): it is above ``CLOSE``
+    if ``rounds`` steps didn't reach the targets, or no rates can. An empty table gives no rates.
     """
-    cells = cut_lineage(scored.groupBy("p_clean", "p_low", "p_toxic").agg(F.sum("n_tokens").alias("tokens")).coalesce(1))
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-
-    cells = cells.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)})
-    aims: list[float] = []
-    start: list[float] = []
-    for done in range(rounds + 1):
-        row = cells.agg(*(F.sum(F.col(r) * F.col("tokens") * x) for r in ("rate", "ahead") for x in p)).first()
-        found = [float(x or 0.0) for x in row]
-        now, ahead = found[: len(p)], found[len(p) :]
-        if not start:
-            start, whole = now, now[0] / targets[DOMAINS[0]]
-            aims = [whole * targets[d] for d in DOMAINS]
-        if done == rounds or all(abs(x - aim) <= CLOSE * max(aim, CLOSE * whole) for x, aim, s in zip(now, aims, start) if s):
-            break
-        slope = sum((x * F.lit((a - aim) / s) for x, a, aim, s in zip(p, ahead, aims, start) if s), F.lit(0.0))
-        stepped = cells.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - slope))
-        onward = F.col("next") + (done / (done + 3)) * (F.col("next") - F.col("rate"))
-        cells = cut_lineage(stepped.select("p_clean", "p_low", "p_toxic", "tokens", onward.alias("ahead"), F.col("next").alias("rate")).coalesce(1))
-    return cells.select("p_low", "p_toxic", "rate")
+    cells = cut_lineage(scored.groupBy("p_clean", "p_low", "p_toxic").agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    one = F.lit(1.0)
+    row = cells.agg(F.sort_array(F.collect_list(F.struct(*(f"p_{d}" for d in DOMAINS), "tokens", one.alias("rate"), one.alias("ahead")))).alias("cells"))
+
+    def totals(cells: Column, rate: str) -> Column:
+        def add(sums: Column, c: Column) -> Column:
+            return F.struct(*((sums[d] + c[rate] * c["tokens"] * c[f"p_{d}"]).alias(d) for d in DOMAINS))
+
+        return F.aggregate(cells, F.struct(*(F.lit(0.0).alias(d) for d in DOMAINS)), add)
+
+    row = computed(row, ["cells"], {"start": totals(F.col("cells"), "rate")})
+    whole = F.col(f"start.{DOMAINS[0]}") / targets[DOMAINS[0]]
+    aims = {d: whole * targets[d] for d in DOMAINS}
+    row = computed(row, ["cells", "start"], {"least": CLOSE * whole, **{f"aim_{d}": aims[d] for d in DOMAINS}})
+
+    def gap(now: Column) -> Column:
+        off = [F.when(F.col(f"start.{d}") > 0, F.abs(now[d] - F.col(f"aim_{d}")) / F.greatest(f"aim_{d}", "least")) for d in DOMAINS]
+        return F.coalesce(F.greatest(*off), F.lit(0.0))
+
+    def stepped(cells: Column, done: Column) -> Column:
+        def by_slope(found: Column) -> Column:
+            off = {d: F.when(F.col(f"start.{d}") > 0, (found[d] - F.col(f"aim_{d}")) / F.col(f"start.{d}")).otherwise(0.0) for d in DOMAINS}
+            return F.struct(*(x.alias(d) for d, x in off.items()))
+
+        def step(slope: Column) -> Column:
+            def onward(c: Column) -> Column:
+                rate = F.greatest(F.lit(0.0), c["ahead"] - sum((c[f"p_{d}"] * slope[d] for d in DOMAINS), F.lit(0.0)))
+                held = [c[x].alias(x) for x in (*(f"p_{d}" for d in DOMAINS), "tokens")]
+                return _once(rate, lambda r: F.struct(*held, r.alias("rate"), (r + done / (done + 3) * (r - c["rate"])).alias("ahead")))
+
+            return F.transform(cells, onward)
+
+        return _once(_once(totals(cells, "ahead"), by_slope), step)
+
+    def state(cells: Column) -> Column:
+        return _once(cells, lambda x: F.struct(x.alias("cells"), gap(totals(x, "rate")).alias("gap")))
+
+    def fold(held: Column, done: Column) -> Column:
+        return F.when(held["gap"] <= CLOSE, held).otherwise(state(stepped(held["cells"], done)))
+
+    fitted = computed(row, [], {"x": F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), state(F.col("cells")), fold)})
+    return cut_lineage(fitted.select("x.gap", F.inline("x.cells")).select("p_low", "p_toxic", "rate", "gap"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) plus p_clean, p_low, p_toxic, n_tokens, rate and copies.
+    """``docs`` (or its columns ``keep``) plus p_clean, p_low, p_toxic, n_tokens, rate, gap and copies.
 
     ``copies`` is the whole number of times to take the document: the rate rounded up with the chance of its
-    fraction, by a hash of id and text, so that it is the same in every run and right in expectation. Null and empty texts count one token. Repeated rows get equal
+    fraction, by a hash of id and text, so that it is the same in every run and right in expectation. ``gap`` is that of the rates. Null and empty texts count one token. Repeated rows get equal
     copies. Columns of the new names are replaced; an empty table stays empty. Posteriors are written once, with the
     columns kept, and read for the rates and for the result.
     """
     model = fit(docs, labels)
     new = [*(f"p_{d}" for d in DOMAINS), "n_tokens"]
-    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in (*new, "rate", "copies")]
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
-    scored = written(posteriors(docs.withColumn("__at", at), model).select(*kept, *new, "__at"))
-    found = rates(scored, targets).withColumnsRenamed({"p_low": "__l", "p_toxic": "__t"})
-    joined = scored.join(F.broadcast(found), (F.col("p_low") == F.col("__l")) & (F.col("p_toxic") == F.col("__t"))).drop("__l", "__t")
-    return joined.withColumn("copies", F.floor(F.col("rate") + F.col("__at")).cast("long")).drop("__at")
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in (*new, "rate", "gap", "copies")]
+    chances = {name: F.pmod(F.xxhash64(F.lit(name), "doc_id", "text"), F.lit(1 << 24)) / float(1 << 24) for name in ("__step", "__at")}
+    scored = written(posteriors(docs.withColumns(chances), model).select(*kept, *new, *chances))
+    cell = scored.select("n_tokens", *rounded(F.col("__step")))
+    found = rates(cell, targets).select(*(F.round(F.col(f"p_{d}") * STEPS).cast("int").alias(f"__{d}") for d in DOMAINS[1:]), "rate", "gap")
+    _, low, toxic = rounded(F.col("__step"))
+    same = (F.round(low * STEPS).cast("int") == F.col("__low")) & (F.round(toxic * STEPS).cast("int") == F.col("__toxic"))
+    joined = scored.join(F.broadcast(found), same)  # no more rows than there are rounded posteriors
+    return joined.select(*kept, *new, "rate", "gap", F.floor(F.col("rate") + F.col("__at")).cast("long").alias("copies"))
 
 
 def take(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

@@ -90,7 +90,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
-    return mixed.select("doc_id", "p_clean", "p_low", "p_toxic", "n_tokens", "rate", "copies")
+    return mixed.select("doc_id", "p_clean", "p_low", "p_toxic", "n_tokens", "rate", "gap", "copies")
 
 
 @query

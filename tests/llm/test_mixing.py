@@ -73,8 +73,40 @@ def test_scarce_domains_are_raised_to_their_targets(spark):
     assert got[0.0, 0.9] > 2
 
 
-def test_small_posteriors_are_right_on_average(spark):
+def test_rounded_posteriors_are_right_on_average(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     model = {"prior": [0.0, float(np.log(0.02 / 0.95)), float(np.log(0.03 / 0.95))], "weights": {}}
-    row = mixing.posteriors(docs, model).agg(*(F.avg(f"p_{d}") for d in mixing.DOMAINS)).first()
-    assert list(row) == pytest.approx([0.95, 0.02, 0.03], abs=0.002)
+    scored = mixing.posteriors(docs, model)
+    assert list(scored.select("p_clean", "p_low", "p_toxic").distinct().first()) == pytest.approx([0.95, 0.02, 0.03])
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / float(1 << 24)
+    steps = scored.select(*mixing.rounded(chance))
+    assert steps.where("abs(p_clean + p_low + p_toxic - 1) > 1e-9 or p_low < 0 or p_toxic < 0").isEmpty()
+    assert list(steps.agg(*(F.avg(f"p_{d}") for d in mixing.DOMAINS)).first()) == pytest.approx([0.95, 0.02, 0.03], abs=0.002)
+
+
+def test_posteriors_are_the_plain_ones(spark):
+    words = [f"w{i}" for i in range(12)]
+    hashes = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+    model = {"prior": [0.0, -1.5, -2.5], "weights": {(1, 2.0): hashes[:4], (1, -1.0): hashes[4:6], (2, 3.0): [*hashes[3:5], hashes[8]]}}
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \t\n", "w0", "W0 w0 w0", *(" ".join(rng.choice([*words, "other"], 9)) for _ in range(40)), "w1 w8 " * 30_000]
+    rows = [(i, t, 0.5, 7) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in mixing.posteriors(spark.createDataFrame(rows, "doc_id long, text string, p_low double, `x.y` int"), model).collect()}
+    assert len(got) == len(texts) and got[0]["x.y"] == 7
+    for i, text in enumerate(texts):
+        found = (text or "").split()
+        told = {h: w for h, w in zip(hashes, words)}
+        weights = {k: {told[h]: w for (d, w), hs in model["weights"].items() if d == k for h in hs} for k in (1, 2)}
+        held = {w for w in found if w in weights[1] or w in weights[2]}
+        damp = max(1.0, (len(held) / 4) ** 0.5)
+        odds = [1.0, *(np.exp(model["prior"][k] + sum(weights[k].get(w, 0) for w in held) / damp) for k in (1, 2))]
+        assert [got[i].p_clean, got[i].p_low, got[i].p_toxic] == pytest.approx([x / sum(odds) for x in odds])
+        assert got[i].n_tokens == len(found) + 1
+
+
+def test_a_gap_is_told(spark):
+    scored = spark.createDataFrame([(0.5, 0.0, 0.5, 100), (0.5, 0.5, 0.0, 100)], "p_clean double, p_low double, p_toxic double, n_tokens long")
+    assert mixing.rates(scored, rounds=50).where(f"gap <= {mixing.CLOSE}").isEmpty()  # half of all tokens stay clean whatever the rates
+    apart = spark.createDataFrame([(1.0, 0.0, 0.0, 100), (0.0, 1.0, 0.0, 100), (0.0, 0.0, 1.0, 5)], scored.schema)
+    assert mixing.rates(apart).where(f"gap > {mixing.CLOSE}").isEmpty()
+    assert mixing.rates(scored.limit(0)).isEmpty()
