@@ -4,9 +4,9 @@ A classifier learned from the labels table gives every document posteriors over
 toxic). Documents then get non-negative rates, so that the expected tokens of each domain (rate x tokens x
 posterior, over all documents) come as near as possible, in least squares, to the target weights. The rates are
 found by accelerated projected gradient steps from rate one. A step's slope depends on a document's posteriors alone, so
-documents of equal posteriors keep equal rates. For the fit, and for it alone, posteriors are rounded to ``1 / STEPS``; token
-totals are summed over all documents, and the steps fold over the table of rounded posteriors, at most
-``(STEPS + 1) * (STEPS + 2) / 2`` rows, in one expression. Only DataFrame functions are used.
+documents of like posteriors (the same steps of ``1 / STEPS``) keep equal rates. A cell of such documents is known by its tokens
+and its expected tokens of each domain, both summed over all documents, so that the totals of rates are exact; the steps fold over
+the table of cells, at most ``(STEPS + 1) * (STEPS + 2) / 2`` rows, in one expression. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -105,14 +105,9 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     return scored.select(*kept, (1 / whole).alias("p_clean"), (F.col("__e1") / whole).alias("p_low"), (F.col("__e2") / whole).alias("p_toxic"), "n_tokens")
 
 
-def rounded(chance: Column) -> list[Column]:
-    """p_clean, p_low and p_toxic as whole multiples of ``1 / STEPS`` that add up to one.
-
-    A multiple is chosen with the chance of the fraction (``chance``: even between 0 and 1), so that it is right in expectation.
-    """
-    low = F.least(F.lit(STEPS), F.floor(F.col("p_low") * STEPS + chance))
-    both = F.least(F.lit(STEPS), F.floor((F.col("p_low") + F.col("p_toxic")) * STEPS + chance))
-    return [(x / STEPS).alias(f"p_{d}") for d, x in zip(DOMAINS, (STEPS - both, low, both - low))]
+def cell() -> list[Column]:
+    """The cell of a document's posteriors: their whole steps, low and toxic."""
+    return [F.floor(F.col(f"p_{d}") * STEPS).cast("int").alias(d) for d in DOMAINS[1:]]
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -121,16 +116,18 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """(p_low, p_toxic, rate, gap): the fitted rate of every combination of posteriors among ``scored``, which are few.
+    """(low, toxic, p_low, p_toxic, rate, gap): the fitted rate of every cell of ``scored``, with its mean posteriors by token.
 
     The total is what leaves the expected tokens of the clean domain as they are. Documents of a scarce domain
     get rates above one; only a domain without any expected tokens is left out. ``gap`` is the greatest distance of a
     domain's expected tokens from its target, as a share of the target (of no less than ``CLOSE`` of the total): it is above ``CLOSE``
     if ``rounds`` steps didn't reach the targets, or no rates can. An empty table gives no rates.
     """
-    cells = cut_lineage(scored.groupBy("p_clean", "p_low", "p_toxic").agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    mean = [F.round(F.sum(F.col("n_tokens") * F.col(f"p_{d}")) / F.sum("n_tokens"), 12).alias(f"p_{d}") for d in DOMAINS]
+    cells = cut_lineage(scored.groupBy(*cell()).agg(F.sum("n_tokens").cast("double").alias("tokens"), *mean))
+    names = [*DOMAINS[1:], *(f"p_{d}" for d in DOMAINS), "tokens"]
     one = F.lit(1.0)
-    row = cells.agg(F.sort_array(F.collect_list(F.struct(*(f"p_{d}" for d in DOMAINS), "tokens", one.alias("rate"), one.alias("ahead")))).alias("cells"))
+    row = cells.agg(F.sort_array(F.collect_list(F.struct(*names, one.alias("rate"), one.alias("ahead")))).alias("cells"))
 
     def totals(cells: Column, rate: str) -> Column:
         def add(sums: Column, c: Column) -> Column:
@@ -155,7 +152,7 @@ def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int =
         def step(slope: Column) -> Column:
             def onward(c: Column) -> Column:
                 rate = F.greatest(F.lit(0.0), c["ahead"] - sum((c[f"p_{d}"] * slope[d] for d in DOMAINS), F.lit(0.0)))
-                held = [c[x].alias(x) for x in (*(f"p_{d}" for d in DOMAINS), "tokens")]
+                held = [c[x].alias(x) for x in names]
                 return _once(rate, lambda r: F.struct(*held, r.alias("rate"), (r + done / (done + 3) * (r - c["rate"])).alias("ahead")))
 
             return F.transform(cells, onward)
@@ -169,7 +166,7 @@ def rates(scored: DataFrame, targets: dict[str, float] = TARGETS, rounds: int =
         return F.when(held["gap"] <= CLOSE, held).otherwise(state(stepped(held["cells"], done)))
 
     fitted = computed(row, [], {"x": F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), state(F.col("cells")), fold)})
-    return cut_lineage(fitted.select("x.gap", F.inline("x.cells")).select("p_low", "p_toxic", "rate", "gap"))
+    return cut_lineage(fitted.select("x.gap", F.inline("x.cells")).select(*DOMAINS[1:], "p_low", "p_toxic", "rate", "gap"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: list[str] | None = None) -> DataFrame:
@@ -183,13 +180,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     model = fit(docs, labels)
     new = [*(f"p_{d}" for d in DOMAINS), "n_tokens"]
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in (*new, "rate", "gap", "copies")]
-    chances = {name: F.pmod(F.xxhash64(F.lit(name), "doc_id", "text"), F.lit(1 << 24)) / float(1 << 24) for name in ("__step", "__at")}
-    scored = written(posteriors(docs.withColumns(chances), model).select(*kept, *new, *chances))
-    cell = scored.select("n_tokens", *rounded(F.col("__step")))
-    found = rates(cell, targets).select(*(F.round(F.col(f"p_{d}") * STEPS).cast("int").alias(f"__{d}") for d in DOMAINS[1:]), "rate", "gap")
-    _, low, toxic = rounded(F.col("__step"))
-    same = (F.round(low * STEPS).cast("int") == F.col("__low")) & (F.round(toxic * STEPS).cast("int") == F.col("__toxic"))
-    joined = scored.join(F.broadcast(found), same)  # no more rows than there are rounded posteriors
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 24)) / float(1 << 24)
+    scored = written(posteriors(docs.withColumn("__at", at), model).select(*kept, *new, "__at"))
+    found = rates(scored, targets).select(F.col("low").alias("__low"), F.col("toxic").alias("__toxic"), "rate", "gap")
+    low, toxic = cell()
+    joined = scored.join(F.broadcast(found), (low == F.col("__low")) & (toxic == F.col("__toxic")))  # no more rows than there are cells
     return joined.select(*kept, *new, "rate", "gap", F.floor(F.col("rate") + F.col("__at")).cast("long").alias("copies"))
 
 

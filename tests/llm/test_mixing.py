@@ -73,15 +73,22 @@ def test_scarce_domains_are_raised_to_their_targets(spark):
     assert got[0.0, 0.9] > 2
 
 
-def test_rounded_posteriors_are_right_on_average(spark):
+def test_small_posteriors_are_right_on_average(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     model = {"prior": [0.0, float(np.log(0.02 / 0.95)), float(np.log(0.03 / 0.95))], "weights": {}}
-    scored = mixing.posteriors(docs, model)
-    assert list(scored.select("p_clean", "p_low", "p_toxic").distinct().first()) == pytest.approx([0.95, 0.02, 0.03])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / float(1 << 24)
-    steps = scored.select(*mixing.rounded(chance))
-    assert steps.where("abs(p_clean + p_low + p_toxic - 1) > 1e-9 or p_low < 0 or p_toxic < 0").isEmpty()
-    assert list(steps.agg(*(F.avg(f"p_{d}") for d in mixing.DOMAINS)).first()) == pytest.approx([0.95, 0.02, 0.03], abs=0.002)
+    row = mixing.posteriors(docs, model).agg(*(F.avg(f"p_{d}") for d in mixing.DOMAINS)).first()
+    assert list(row) == pytest.approx([0.95, 0.02, 0.03], abs=0.002)
+
+
+def test_rates_of_cells_meet_targets_for_the_posteriors_themselves(spark):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.dirichlet([30, 1, 0.3], 800), rng.dirichlet([1, 9, 1], 80), rng.dirichlet([1, 1, 9], 20)])
+    tokens = rng.integers(1, 900, len(p))
+    scored = spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens)], "p_clean double, p_low double, p_toxic double, n_tokens long")
+    got = {(r.low, r.toxic): r.rate for r in mixing.rates(scored).collect()}
+    rate = np.array([got[int(np.floor(x[1] * mixing.STEPS)), int(np.floor(x[2] * mixing.STEPS))] for x in p])
+    reached = (p * (rate * tokens)[:, None]).sum(0)
+    assert np.allclose(reached / reached.sum(), [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=0.001)
 
 
 def test_posteriors_are_the_plain_ones(spark):
