@@ -71,9 +71,13 @@ def split_texts(df: DataFrame, text: str, budget: int = MAX_TOKENS) -> DataFrame
     lines = F.filter(F.split(whole, "\n"), filled)
     # a line that is cut into sentences is a run by its number, whole lines in line are one run
     by_line = F.transform(lines, lambda line, i: F.when(size(line) <= budget, F.array(unit(line, F.lit(-1)))).otherwise(F.transform(F.filter(F.split(line, _SENTENCE), filled), lambda x: unit(x, i))))
-    held = df.withColumn("__units", F.flatten(by_line)).withColumn("__cuts", cuts(F.col("__units.size"), F.col("__units.run")))
+    # by way of generators: a filter on pieces, or one that exploding them brings in, would carry the Python call below a join, where it can't run
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    row = lambda column, name: F.inline(F.array(F.struct(column.alias(name))))
+    held = df.select(*columns, row(F.flatten(by_line), "__units"))
+    held = held.select(*columns, "__units", row(cuts(F.col("__units.size"), F.col("__units.run")), "__cuts"))
     packed = F.transform("__cuts", lambda x: F.array_join(F.transform(F.slice("__units", x[0], x[1]), lambda u: u["part"]), "\n"))
-    return held.withColumn("pieces", F.when(F.size("__units") > 0, packed).otherwise(F.array(whole))).drop("__units", "__cuts")
+    return held.select(*columns, F.when(F.size("__units") > 0, packed).otherwise(F.array(whole)).alias("pieces"))
 
 
 def table_texts(nodes: DataFrame, cells: DataFrame) -> DataFrame:

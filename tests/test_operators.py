@@ -1,10 +1,14 @@
 """Operators on small literal cases whose results are known, and the cases their docstrings name."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import answers, chunking, lifecycle, quantiles, ranking, regulations, trees
+from docloom.plans import registry
+from docloom.plans import regulations as plans
 from docloom.streaming import folds
 from docloom.streaming.frequencies import frequencies, run_available
 
@@ -71,6 +75,48 @@ def test_pieces_keep_every_sentence(spark):
     assert sum(map(len, pieces("w " * 100_000 + "\n" + "ab cd. " * 50_000, 400))) > 500_000
 
 
+def plain_pieces(text, budget=400):
+    pieces, packed = [], []
+    for line in [x for x in text.split("\n") if x.strip()]:
+        whole = max(1, len(line) // 4) <= budget
+        packed = packed if whole else []
+        for part in [line] if whole else [x for x in re.split(r"(?<=[.!?])\s+", line) if x.strip()]:
+            if not packed or sum(max(1, len(x) // 4) for x in [*packed, part]) > budget:
+                packed = []
+                pieces.append(packed)
+            packed.append(part)
+        packed = packed if whole else []
+    return ["\n".join(p) for p in pieces] or [text]
+
+
+def test_the_texts_of_all_chunks(spark):
+    """The query over the whole table against plain walks of the trees; its pieces are exploded behind a join."""
+    where = "/root/testdata/sf0.01"
+    tree = {(r.doc_id, r.pos): r for r in chunking.regrouped(plans.chunk_nodes(spark, where)).collect()}
+    rows = {(r.doc_id, r.pos): r.table_text for r in registry.QUERIES["table_text"](spark, where).collect()}
+    below = {}
+    for (doc, pos), r in tree.items():
+        if r.parent is not None:
+            below.setdefault((doc, r.parent), []).append(pos)
+
+    def texts(doc, pos):
+        r = tree[doc, pos]
+        if r.kind != "TABLE":
+            yield from [r.text] if r.text else []
+            for child in sorted(below.get((doc, pos), [])):
+                yield from texts(doc, child)
+
+    want = []
+    for r in registry.QUERIES["chunk_rows"](spark, where).select("doc_id", "pos", "form").collect():
+        own = tree[r.doc_id, r.pos].text or ""
+        held = {"OWN": lambda r=r, own=own: own, "TABLE": lambda r=r, own=own: "\n".join(x for x in (own, rows[r.doc_id, r.pos]) if x)}
+        text = held.get(r.form, lambda r=r: "\n".join(texts(r.doc_id, r.pos)))()
+        want += [(r.doc_id, r.pos, r.form, i, x) for i, x in enumerate(plain_pieces(text) if r.form == "SPLIT" else [text])]
+    got = registry.QUERIES["chunk_texts"](spark, where)
+    assert got.columns == ["doc_id", "pos", "form", "piece", "text"]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and max(x[3] for x in want) > 0
+
+
 def test_claims_and_redaction(spark):
     rows = [(1, "Fakta satu benar sekali. [S1] Pasal 9 menyatakan hal. [S2, S7] sisa"), (2, "tanpa kutipan"), (3, ""), (4, "[S1] x [S1][S2] y")]
     frame = spark.createDataFrame(rows, "id long, text string")
