@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from docloom.llm.graph import classes, small
 from docloom.llm.once import written
-from docloom.llm.simhash import classes, small
 from docloom.session import cut_lineage, shuffle_partitions
 
 WORDS = 4
@@ -42,7 +42,7 @@ SIGNATURE_BITS = 1024
 _BATCH_BYTES = 1 << 21
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-_ROW = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "node", "twin", "n")), ("signature", pa.binary())])
+_ROW = pa.schema([*((c, pa.int64()) for c in ("kind", "doc_id", "t", "node", "twin", "n")), ("signature", pa.binary())])
 _MESSAGE_DDL = "bucket int, grams array<long>, refs array<int>, nodes array<long>, sizes array<int>"
 
 
@@ -141,13 +141,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def keyed(docs: DataFrame, keep: list[str] = []) -> DataFrame:
+    """``keep``, doc_id, text and t, a hash of the text: ids may repeat, and (doc_id, t) tells their texts apart."""
+    texts = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.withColumn("t", F.xxhash64("text", F.length("text")))
+
+
 def _each(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
         yield from zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), words, seed))
 
 
 def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """A row of kind 0 for each document (doc_id, node, twin, n, signature), and rows of kind 1 for grams that a task saw often (node: gram, n: sets)."""
+    """A row of kind 0 for each document (doc_id, t, node, twin, n, signature), and rows of kind 1 for grams that a task saw often (node: gram, n: sets)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -157,14 +163,14 @@ def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             grams, n = grams[n >= HOT_SEEN].view(np.int64), n[n >= HOT_SEEN]
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int64)), none, pa.array(grams), none, pa.array(n), pa.nulls(len(n), pa.binary())], schema=_ROW)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int64)), none, none, pa.array(grams), none, pa.array(n), pa.nulls(len(n), pa.binary())], schema=_ROW)
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({name: [r[i] for r in rows] for i, name in enumerate(_ROW.names)}, schema=_ROW)
 
-        for doc_id, grams in _each(batches, words, seed):
+        for doc_id, t, grams in ((i, t, g) for b in batches for i, t, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), gram_sets(b.column(1), words, seed))):
             node, twin = _names(grams, seed)
-            rows.append((0, doc_id, node, twin, len(grams), signature(grams)))
+            rows.append((0, doc_id, t, node, twin, len(grams), signature(grams)))
             if len(grams) and node not in seen:
                 seen.add(node)
                 held.append(grams)
@@ -179,7 +185,7 @@ def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
             yield often()
         yield told()
 
-    return _texts(docs).mapInArrow(read, "kind long, doc_id long, node long, twin long, n long, signature binary")
+    return keyed(docs).mapInArrow(read, "kind long, doc_id long, t long, node long, twin long, n long, signature binary")
 
 
 def _hot(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -373,7 +379,7 @@ def _tile_pairs(live: DataFrame, signatures: DataFrame, alike: int, least: int,
     return _reaching(overlaps, alike)
 
 
-def _search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``scan`` for documents, and links (a, b, overlap, union): all between different sets, or, after hub rounds, enough to join each class."""
     for seed in itertools.count(42):
         scanned = written(scan(docs, words, seed))
@@ -411,7 +417,7 @@ def _search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int)
 
 def linked_pairs(docs: DataFrame, words: int = WORDS, alike: int = ALIKE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, node, n_shingles) and every link (a, b, overlap, union) of different sets; documents of one node have equal sets."""
-    rows, found = _search(docs, words, alike, 0, tile)
+    rows, found = search(docs, words, alike, 0, tile)
     return rows.select("doc_id", "node", F.col("n").alias("n_shingles")), found
 
 
@@ -423,7 +429,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, alike: int = ALIKE, hub
     their own doc_id. Repeated rows and copies have one set and one class. A null doc_id stays null and names a class only if
     it has no other. An empty table stays empty.
     """
-    rows, found = _search(docs, words, alike, hub_rounds, tile)
+    rows, found = search(docs, words, alike, hub_rounds, tile)
     labels = classes(found.select("a", "b"))
     least = cut_lineage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")))
     linked = cut_lineage(least.join(small(labels), "node"))

@@ -12,16 +12,12 @@ the part, then over all 64 bits; only pairs within ``max_bits`` of the whole are
 Tasks report star-shaped links, no more than one for each fingerprint a block looked at, never all pairs of a group;
 classes are found by contracting the link graph.
 
-``deduplicate`` looks for texts whose sets of ``SHINGLE`` words are alike by ``ALIKE`` or more. At that likeness
-fingerprints of ``WIDE`` words of 64 bits differ in up to ``WIDE_BITS`` bits nearly always. The vantage point is then
-the empty text, whose distance is the size of a set: sets of a ratio below ``ALIKE`` can't be alike, so shells of sizes
-meet only their neighbours. Every text is linked to the nearest of each block it meets; links are checked on the texts
-themselves, and classes are those of the links that hold.
+``deduplicate`` keeps one text of each class of texts alike by ``ALIKE`` of a hundred of their sets of ``SHINGLE`` words. Edits move
+fingerprints of short texts beyond any narrow border, so its links come from the exact join of the sets themselves.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +25,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from docloom.llm.once import computed, written
+from docloom.llm import ngram_join
+from docloom.llm.graph import classes, small
+from docloom.llm.once import written
 from docloom.session import cut_lineage, shuffle_partitions
 
 WORDS = 4
@@ -41,30 +39,26 @@ SEED = 42
 SAMPLE = 20_000
 SHARD_ROWS = 65_536
 LEAF = 128
-SHINGLE, ALIKE = 5, 0.8
-WIDE, WIDE_BITS = 2, 30
-BLOCK_ROWS = 16_384
-LINK_ROWS = 4_096
+SHINGLE, ALIKE = 5, 80  # of a hundred
 VANTAGES = 8
 NARROW = 13  # bits of a part that allows less than the widest: the wider the others, the fewer rows lie at their borders
-SMALL_ROWS = 4_000_000  # a table of two numbers a row is broadcast up to this size, and joined by a shuffle beyond
 _CHUNK = 1 << 16
 _AREA = 1 << 21
 _ALL = np.uint64((1 << 64) - 1)
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
-    """Hashes of a text's word shingles, repeats included (of the whole sequence, if shorter), and its words joined."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included (of the whole sequence, if shorter)."""
     found = (text or "").encode().lower().split()
     if not found:
-        return np.zeros(0, np.uint64), b""
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
     ends = (starts + sizes)[min(words, len(found)) - 1 :].tolist()
     hashes = (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends))
-    return np.fromiter(hashes, np.dtype("<u8"), len(ends)), joined
+    return np.fromiter(hashes, np.dtype("<u8"), len(ends))
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -78,16 +72,7 @@ def _majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The 64-bit fingerprint of a text's word shingles as a signed number; 0 if it has no word."""
-    return _majority(_shingle_hashes(text, words)[0])
-
-
-def wide_fingerprint(text: str | None, words: int = SHINGLE) -> tuple[int, int, int, int]:
-    """A hash of the words, two words of fingerprint, and the number of distinct shingles. The second word's bits come from the same hashes, mixed."""
-    hashes, joined = _shingle_hashes(text, words)
-    distinct = np.unique(hashes)
-    mixed = (distinct ^ (distinct >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return xxh64_intdigest(joined) - (1 << 63), _majority(distinct), _majority(mixed ^ (mixed >> np.uint64(32))), len(distinct)
+    return _majority(_shingle_hashes(text, words))
 
 
 @F.pandas_udf(LongType())
@@ -101,12 +86,6 @@ def fingerprints(docs: DataFrame, words: int = WORDS):
     return _fingerprints(docs["text"].cast("string"), F.lit(words))
 
 
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in ("h", "f0", "f1", "n")]))
-def _wide_fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        yield pd.DataFrame([wide_fingerprint(t) for t in texts], columns=["h", "f0", "f1", "n"], dtype="int64")
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints (rows of 64-bit words), one by one or each with each."""
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
@@ -137,28 +116,6 @@ def _star(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: n
         yield np.stack([ids[met][apart], roots[apart]])
 
 
-def _nearest(own: np.ndarray, own_ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, nearest, distance) of what lies within ``max_bits`` of a row of ``own``, once for each ``LINK_ROWS`` of them."""
-    every, ids = np.concatenate([own, others]), np.concatenate([own_ids, other_ids])
-    step = max(1, min(LEAF, _AREA // max(1, len(every))))
-    for at in range(0, len(own), LINK_ROWS):
-        held, by = np.full(len(every), 255, np.uint8), np.zeros(len(every), np.int64)
-        for first in range(at, min(at + LINK_ROWS, len(own)), step):
-            rows = own[first : min(first + step, at + LINK_ROWS)]
-            away = np.zeros((len(rows), len(every)), np.uint8)
-            for word in range(own.shape[1]):
-                away += np.bitwise_count(rows[:, word, None] ^ every[None, :, word])
-            own_id = own_ids[first : first + len(rows)]
-            away[:, : len(own)][own_id[:, None] >= own_ids[None, :]] = 255
-            least = away.argmin(0)
-            found = away[least, np.arange(len(every))]
-            closer = found < held
-            held[closer], by[closer] = found[closer], own_id[least[closer]]
-        met = np.flatnonzero(held <= max_bits)
-        if len(met):
-            yield ids[met], by[met], held[met].astype(np.int32)
-
-
 def search_parts(max_bits: int) -> list[tuple[np.uint64, int]]:
     """(mask, allowed bits) of the parts of a fingerprint: what lies within ``max_bits`` is within what one of them allows.
 
@@ -350,67 +307,6 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def wide_links(sets: DataFrame, max_bits: int = WIDE_BITS, alike: float = ALIKE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b, d) of nodes whose wide fingerprints lie within ``max_bits`` and whose sizes allow the likeness.
-
-    ``sets``: node, f0, f1, n (distinct shingles). Shell k holds the sizes from ``alike ** -k`` on; a shell's rows meet
-    each other and those of the next, in blocks of ``block_rows``. A node is linked to the nearest of every ``LINK_ROWS``
-    rows that it meets, of those in its own part to the nearest with a smaller number.
-    """
-    tasks = shuffle_partitions(sets.sparkSession)
-    shell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / alike) + 1e-9).cast("int")
-    rows = sets.select("node", "f0", "f1", "n", shell.alias("shell"))
-    blocks = {r.shell: -(-r["count"] // block_rows) for r in rows.groupBy("shell").count().collect()}  # shells: at most the logarithm of the largest size
-    number = F.create_map(*(F.lit(x) for pair in (blocks or {0: 1}).items() for x in pair))
-    of = F.coalesce(F.try_element_at(number, F.col("shell")), F.lit(1))
-    below = F.coalesce(F.try_element_at(number, F.col("shell") - 1), F.lit(0))
-    own = F.pmod(F.xxhash64("node"), of).cast("int")
-
-    def at(shell: Column, block: Column, mine: Column) -> Column:
-        return F.struct(shell.alias("shell"), block.alias("block"), mine.alias("own"))
-
-    here = F.transform(F.sequence(F.lit(0), of - 1), lambda b: at(F.col("shell"), b, b == own))
-    there = F.when(below > 0, F.transform(F.sequence(F.lit(0), F.greatest(below - 1, F.lit(0))), lambda b: at(F.col("shell") - 1, b, F.lit(False)))).otherwise(F.array().cast("array<struct<shell:int,block:int,own:boolean>>"))
-    dealt = rows.select("node", "f0", "f1", F.explode(F.concat(here, there)).alias("x")).select(F.xxhash64("x.shell", "x.block").alias("shard"), "node", "f0", "f1", "x.own")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, f0, f1, own in _by_shard(batches):
-            own = own.astype(bool)
-            fps = np.stack([f0, f1], axis=1).view(np.uint64)
-            for a, b, d in _nearest(fps[own], node[own], fps[~own], node[~own], max_bits):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.int32())], ["a", "b", "d"])
-
-    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long, d int")
-
-
-def classes(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the link graph: equal roots, if and only if a path joins the nodes.
-
-    Each round points every node to the least of itself and its neighbours and contracts the graph by that;
-    the number of nodes left falls by a constant factor a round.
-    """
-    edges = cut_lineage(edges.where("a <> b"))
-    labels = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent")))
-        if labels is None:
-            labels = parents.withColumnRenamed("parent", "root")
-        else:
-            step = parents.withColumnsRenamed({"node": "root", "parent": "next"})
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        labels = cut_lineage(labels)
-        left, right = parents.withColumnsRenamed({"node": "a", "parent": "pa"}), parents.withColumnsRenamed({"node": "b", "parent": "pb"})
-        edges = cut_lineage(edges.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
-
-
-def small(table: DataFrame) -> DataFrame:
-    """``table`` (written before; a few numbers a row) marked for broadcast if it has at most ``SMALL_ROWS`` rows."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
-
-
 def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, root, component_id) of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -430,66 +326,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return prints.join(small(cut_lineage(told.unionByName(alone))), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def shingle_set(text: Column, words: int = SHINGLE) -> Column:
-    """The distinct hashes of a text's word shingles (of its whole sequence of words, if shorter), A to Z in lower case."""
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    hashes = F.transform(F.array_remove(F.split(lowered, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
-
-    def windows(h: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - words + 1)), lambda i: F.xxhash64(F.slice(h, i, words))))
-
-    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(windows(h))), 1)
-
-
-def checked(found: DataFrame, members: DataFrame) -> DataFrame:
-    """The links (a, b) whose texts share ``ALIKE`` of their joint shingles or more. ``members``: node, shingles."""
-    left, right = members.select(F.col("node").alias("a"), "shingles"), members.select(F.col("node").alias("b"), F.col("shingles").alias("of"))
-    common = F.size(F.array_intersect("shingles", "of"))
-    return found.join(left, "a").join(right, "b").where(common >= ALIKE * (F.size("shingles") + F.size("of") - common)).select("a", "b")
-
-
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, hub_rounds: int = ngram_join.HUB_ROUNDS, tile: int = ngram_join.TILE) -> DataFrame:
     """``docs`` with one row of each class of near duplicates, all columns as they were.
 
-    Two texts are alike if their sets of ``SHINGLE``-word shingles share ``ALIKE`` of what either holds; texts of fewer
-    words are one shingle, and texts without words are all alike. Classes are joined by chains of alike texts. Candidates
-    are found by wide fingerprints and checked on the shingles. The row of a class's smallest doc_id stays; null ids come after all others, and of repeated rows one stays. An
-    empty table stays empty.
+    Two texts are alike if their sets of ``SHINGLE``-word shingles share ``ALIKE`` of a hundred of what either holds; texts of fewer
+    words are one shingle, and texts without words are all alike. Classes are joined by chains of alike texts, all of which the
+    exact n-gram join finds. The row of a class's smallest doc_id stays; null ids come after all others, and of repeated rows one stays.
+    An empty table stays empty.
     """
     names = docs.columns
     kept = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)]
-    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("t", F.xxhash64("text", F.length("text")))
-    prints = written(computed(rows, ["doc_id", "t"], {"x": _wide_fingerprints(F.col("text"))}).select("doc_id", "t", "x.*"))
-    node = F.xxhash64("h", "f0", "f1", "n")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("x")
-    sets = written(prints.groupBy(node.alias("node")).agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), least).select("node", "f0", "f1", "n", "x.*"))
-    candidates = written(wide_links(sets))
-    ends = cut_lineage(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    found = sets.join(small(ends), "node").select("node", "doc_id", "t")
+    rows = ngram_join.keyed(docs.select(*kept, "doc_id", "text"), [f"__{i}" for i in range(len(names))])
+    scanned, found = ngram_join.search(docs, SHINGLE, ALIKE, hub_rounds, tile)
     key = ["doc_id", "t"]
+    prints = scanned.select(*key, "node")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *key, "node")
+    firsts = written(prints.groupBy("node").agg(F.min(order).alias("x")))  # of texts of one set, those without words included
+    grouped = cut_lineage(firsts.join(small(classes(found.select("a", "b"))), "node").select("root", "x"))
+    stays = cut_lineage(grouped.groupBy("root").agg(F.min("x").alias("x")).select("x.node"))
+    dropped = cut_lineage(grouped.select("x.node").join(small(stays), "node", "left_anti"))
+    # a row stays if it is the first of its set and that set is kept
+    kept_keys = firsts.join(small(dropped), "node", "left_anti").select("x.doc_id", "x.t")
+    goes = cut_lineage(prints.select(*key).distinct().join(kept_keys, (prints["t"] == kept_keys["t"]) & prints["doc_id"].eqNullSafe(kept_keys["doc_id"]), "left_anti"))
+    again = cut_lineage(prints.groupBy(*key).count().where("count > 1").select(*key))
 
     def by_key(table: DataFrame) -> tuple[DataFrame, Column]:
         named = table.withColumnsRenamed({c: f"__k_{c}" for c in key})
         return small(named), F.col("t").eqNullSafe(F.col("__k_t")) & F.col("doc_id").eqNullSafe(F.col("__k_doc_id"))
 
-    wanted, same = by_key(cut_lineage(found))
-    texts = rows.select(*key, "text").join(wanted, same).select("node", "text")
-    again = cut_lineage(prints.groupBy(*key).count().where("count > 1").select(*key))
-    repeats = not again.isEmpty()
-    members = computed(texts, ["node"], {"shingles": shingle_set(F.col("text"))})
-    members = written(members.dropDuplicates(["node"]) if repeats else members)
-    classed = classes(checked(candidates.select("a", "b"), members))
-    order = F.struct("none", "doc_id", "t", "node")
-    grouped = cut_lineage(sets.join(small(classed), "node").select("root", order.alias("x")))
-    stays = cut_lineage(grouped.groupBy("root").agg(F.min("x").alias("x")).select("x.node"))
-    dropped = grouped.select("x.node").join(small(stays), "node", "left_anti")
-    # a row stays if it is the first of its text and that text is kept
-    firsts = sets.join(small(cut_lineage(dropped)), "node", "left_anti").select(*key)
-    goes = cut_lineage(prints.select(*key).distinct().join(firsts, (prints["t"] == firsts["t"]) & prints["doc_id"].eqNullSafe(firsts["doc_id"]), "left_anti"))
     gone, same = by_key(goes)
     left = rows.join(gone, same, "left_anti")
-    if repeats:
+    if not again.isEmpty():
         repeated, same = by_key(again)
         left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(key))
     return left.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))

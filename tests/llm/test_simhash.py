@@ -221,3 +221,41 @@ def test_deduplicate_against_brute_force(spark):
     near = sum(alike(shingles(rows[i][1]), shingles(rows[i + 1][1])) for i in range(0, 300, 2))
     assert near > 60 and len(pairs) <= 0.05 * near
     assert (None, rows[2][1]) not in kept and not any((i, t) in kept for i, t in rows if i in (2000, 2002, 2004) or (i or 0) in range(1000, 1040))
+
+
+def plain_kept(rows):
+    """The rows that stay if all pairs are compared: the first of each class of alike sets."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                parent[root(i)] = root(j)
+    first = {}
+    for i, r in enumerate(rows):
+        first[root(i)] = min(first.get(root(i), r), r, key=lambda x: (x[0] is None, x[0] or 0))
+    return sorted(first.values(), key=str)
+
+
+@pytest.mark.parametrize("tile, hub_rounds", [(512, 2), (4, 0)])
+def test_deduplicate_loses_no_link(spark, tile, hub_rounds):
+    """Short texts that are just alike, though their fingerprints lie far apart; and a partner behind nearer ones that aren't alike."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for base in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 9)]
+        rows += [(3 * base, " ".join(words)), (3 * base + 1, " ".join(words[:-1])), (3 * base + 2, " ".join(words[:-2]))]
+    long = [f"v{i}" for i in range(200)]
+    for i in range(60):  # from 190 to 130 of 196 shingles in common with the first
+        rows.append((2000 + i, " ".join([*long[: 199 - i], *(f"u{i}x{k}" for k in range(i))])))
+    rows += [(None, "one two"), (5000, "One TWO"), (5001, None), (5002, " "), (3, "another text of a row that has the same id"), rows[4], (None, None)]
+    docs = spark.createDataFrame([(i, x, 1, "c") for i, x in rows], "doc_id long, text string, t int, node string").repartition(5)
+    kept = simhash.deduplicate(docs) if hub_rounds else simhash.deduplicate(docs, hub_rounds, tile)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == plain_kept(rows)
