@@ -38,6 +38,7 @@ SHARD_ENTRIES = 1 << 20
 FLUSH_ENTRIES = 1 << 20
 TILE = 512
 HUB_ROUNDS = 2
+SEEN_PAIRS = 1 << 18
 SIGNATURE_BITS = 1024
 _BATCH_BYTES = 1 << 21
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -122,9 +123,9 @@ def _names(grams: np.ndarray, seed: int) -> tuple[int, int]:
     return xxh64_intdigest(data, seed) - (1 << 63), xxh64_intdigest(data, seed + 1) - (1 << 63)
 
 
-def signature(grams: np.ndarray) -> bytes:
-    """Of each of ``SIGNATURE_BITS`` places whether an odd number of a set's grams fall on it."""
-    return np.packbits(np.bincount((grams >> np.uint64(65 - SIGNATURE_BITS.bit_length())).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+def signature(grams: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
+    """Of each of ``bits`` places (a power of two) whether an odd number of a set's grams fall on it."""
+    return np.packbits(np.bincount((grams >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def most_apart(both: np.ndarray, alike: int) -> np.ndarray:
@@ -152,7 +153,7 @@ def _each(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[
         yield from zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), words, seed))
 
 
-def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
+def scan(docs: DataFrame, words: int, seed: int, bits: int = SIGNATURE_BITS) -> DataFrame:
     """A row of kind 0 for each document (doc_id, t, node, twin, n, signature), and rows of kind 1 for grams that a task saw often (node: gram, n: sets)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def scan(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
         for doc_id, t, grams in ((i, t, g) for b in batches for i, t, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), gram_sets(b.column(1), words, seed))):
             node, twin = _names(grams, seed)
-            rows.append((0, doc_id, t, node, twin, len(grams), signature(grams)))
+            rows.append((0, doc_id, t, node, twin, len(grams), signature(grams, bits)))
             if len(grams) and node not in seen:
                 seen.add(node)
                 held.append(grams)
@@ -326,63 +327,99 @@ def _hub_pairs(live: DataFrame, alike: int, turn: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _meeting(rows: np.ndarray, bits: np.ndarray, alike: int, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, apart) of the rows of a tile that are of different classes and that sizes and signatures let be alike, a few x at a time; ``once``: not the other way round as well."""
+    i, j, own, node, n, label = rows
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for at in range(0, len(left), 64):
+        a, b = left[at : at + 64, None], right[None, :]
+        meets = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= alike * np.maximum(n[a], n[b]))
+        if once and i[0] == j[0]:
+            meets &= node[a] < node[b]
+        x, y = np.nonzero(meets)
+        x, y = left[at + x], right[y]
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        near = apart <= most_apart(n[x] + n[y], alike)
+        yield x[near], y[near], apart[near]
+
+
+def _pair_batch(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    _, _, _, node, n, _ = rows
+    swap = node[x] > node[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], n[x], n[y])], ["a", "b", "na", "nb"])
+
+
 def _tile_pairs(live: DataFrame, signatures: DataFrame, alike: int, least: int, tile: int) -> DataFrame:
     """(a, b) of different classes whose overlap in the first block lets them be alike; columns of ``least`` sets or more are multiplied in tiles.
 
     ``signatures``: node, signature. A pair that they rule out is ruled out in every column, so the overlaps of the others are whole.
     """
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bits in _gathered(batches):
+            for x, y, _ in _meeting(rows, bits, alike, True):
+                yield _pair_batch(rows, x, y)
+
+    overlaps = _tiles(live, signatures, least, tile).mapInArrow(multiply, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    return _reaching(overlaps, alike)
+
+
+def _nearest_pairs(live: DataFrame, signatures: DataFrame, alike: int, least: int, tile: int) -> DataFrame:
+    """(a, b) of each set with the one of another class that, by its signature, is nearest in a tile: what these join needs no product any more."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        for rows, bits in _gathered(batches):
+            for x, y, apart in _meeting(rows, bits, alike, False):
+                order = np.lexsort((apart, x))
+                first = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+                new = [k for k, pair in zip(first.tolist(), zip(rows[3][x[first]].tolist(), rows[3][y[first]].tolist())) if pair not in told and not told.add(pair)]
+                if new:
+                    yield _pair_batch(rows, x[new], y[new])
+            if len(told) > SEEN_PAIRS:
+                told.clear()  # a pair may then come again
+
+    return _tiles(live, signatures, least, tile).mapInArrow(meet, "a long, b long, na long, nb long").select("a", "b").distinct()
+
+
+def _tiles(live: DataFrame, signatures: DataFrame, least: int, tile: int) -> DataFrame:
+    """Columns of ``least`` sets or more that hold several classes, dealt in tiles (gram, i, j) of ``tile`` sets by as many."""
     columns = live.groupBy("gram").agg(F.count("*").alias("k"), F.min("label").alias("l0"), F.max("label").alias("l1")).where((F.col("l0") != F.col("l1")) & (F.col("k") >= least)).select("gram", F.ceil(F.col("k") / tile).alias("of"))
     rows = live.join(columns, "gram").join(signatures, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("of")))
     dealt = rows.select("gram", "node", "n", "label", "signature", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("other"))
     dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "signature")
+    return dealt.repartition(shuffle_partitions(live.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def product(rows: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-            i, j, own, node, n, label = rows
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for at in range(0, len(left), 64):
-                a, b = left[at : at + 64, None], right[None, :]
-                meets = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= alike * np.maximum(n[a], n[b]))
-                if i[0] == j[0]:
-                    meets &= node[a] < node[b]
-                x, y = np.nonzero(meets)
-                x, y = left[at + x], right[y]
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                near = apart <= most_apart(n[x] + n[y], alike)
-                x, y = x[near], y[near]
-                swap = node[x] > node[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[x], node[y], n[x], n[y])], ["a", "b", "na", "nb"])
-
-        def whole() -> Iterator[pa.RecordBatch]:
-            yield from product(np.concatenate([r for r, _ in held], axis=1)[1:], np.concatenate([b for _, b in held]))
-
-        last, held = None, []
-        for batch in batches:
-            columns = np.stack([c.to_numpy() for c in batch.columns[:7]])
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(columns.shape[1], -1)
-            cuts = np.flatnonzero((columns[:3, 1:] != columns[:3, :-1]).any(axis=0)) + 1
-            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), columns.shape[1]]):
-                if first == end:
-                    continue
-                key = tuple(columns[:3, first])
-                if key != last and held:
-                    yield from whole()
-                    held = []
-                held.append((columns[:, first:end], bits[first:end]))
-                last = key
-        if held:
-            yield from whole()
 
-    tiles = dealt.repartition(shuffle_partitions(live.sparkSession), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    overlaps = tiles.mapInArrow(multiply, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return _reaching(overlaps, alike)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j, own, node, n, label) and the signatures of each tile."""
 
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([r for r, _ in held], axis=1)[1:], np.concatenate([b for _, b in held])
 
-def search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``scan`` for documents, and links (a, b, overlap, union): all between different sets, or, after hub rounds, enough to join each class."""
+    last, held = None, []
+    for batch in batches:
+        columns = np.stack([c.to_numpy() for c in batch.columns[:7]])
+        bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(columns.shape[1], -1)
+        cuts = np.flatnonzero((columns[:3, 1:] != columns[:3, :-1]).any(axis=0)) + 1
+        for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), columns.shape[1]]):
+            if first == end:
+                continue
+            key = tuple(columns[:3, first])
+            if key != last and held:
+                yield whole()
+                held = []
+            held.append((columns[:, first:end], bits[first:end]))
+            last = key
+    if held:
+        yield whole()
+
+
+def search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int, nearest_rounds: int = 0, bits: int = SIGNATURE_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``scan`` for documents, and links (a, b, overlap, union): all between different sets, or, after hub or nearest rounds, enough to join each class."""
     for seed in itertools.count(42):
-        scanned = written(scan(docs, words, seed))
+        scanned = written(scan(docs, words, seed, bits))
         rows = scanned.where("kind = 0")
         nodes = rows.groupBy("node").agg(F.min("twin").alias("t0"), F.max("twin").alias("t1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
         if nodes.where("t0 <> t1 or n0 <> n1").isEmpty():  # else two sets have one node
@@ -406,12 +443,19 @@ def search(docs: DataFrame, words: int, alike: int, hub_rounds: int, tile: int)
             sets = also(sets, _sets(docs, rows, wanted, words, seed))
         tested, links = also(tested, pairs), also(links, written(_alike(pairs, sets, alike)))
 
+    def merged() -> DataFrame:
+        labels = cut_lineage(classes(links.select("a", "b")).withColumnRenamed("root", "label"))
+        return block.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
     for turn in range(hub_rounds):
         test(_bounded(_hub_pairs(live, alike, turn), heads, alike))
-        labels = cut_lineage(classes(links.select("a", "b")).withColumnRenamed("root", "label"))
-        live = block.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        live = merged()
     signatures = written(rows.groupBy("node").agg(F.first("signature").alias("signature")))
-    test(_tile_pairs(live, signatures, alike, 3 if hub_rounds else 2, tile))
+    least = 3 if hub_rounds else 2
+    for _ in range(nearest_rounds):
+        test(_bounded(_nearest_pairs(live, signatures, alike, least, tile), heads, alike))
+        live = merged()
+    test(_tile_pairs(live, signatures, alike, least, tile))
     return rows, links
 
 

@@ -40,6 +40,8 @@ SAMPLE = 20_000
 SHARD_ROWS = 65_536
 LEAF = 128
 SHINGLE, ALIKE = 5, 80  # of a hundred
+NEAREST_ROUNDS = 1
+SIGNATURE_BITS = 4096  # below a likeness of 80, 1,024 rule out nothing beyond sets of some 2,300
 VANTAGES = 8
 NARROW = 13  # bits of a part that allows less than the widest: the wider the others, the fewer rows lie at their borders
 _CHUNK = 1 << 16
@@ -326,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return prints.join(small(cut_lineage(told.unionByName(alone))), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame, hub_rounds: int = ngram_join.HUB_ROUNDS, tile: int = ngram_join.TILE) -> DataFrame:
+def deduplicate(docs: DataFrame, hub_rounds: int = ngram_join.HUB_ROUNDS, tile: int = ngram_join.TILE, nearest_rounds: int = NEAREST_ROUNDS) -> DataFrame:
     """``docs`` with one row of each class of near duplicates, all columns as they were.
 
     Two texts are alike if their sets of ``SHINGLE``-word shingles share ``ALIKE`` of a hundred of what either holds; texts of fewer
@@ -337,7 +339,7 @@ def deduplicate(docs: DataFrame, hub_rounds: int = ngram_join.HUB_ROUNDS, tile:
     names = docs.columns
     kept = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)]
     rows = ngram_join.keyed(docs.select(*kept, "doc_id", "text"), [f"__{i}" for i in range(len(names))])
-    scanned, found = ngram_join.search(docs, SHINGLE, ALIKE, hub_rounds, tile)
+    scanned, found = ngram_join.search(docs, SHINGLE, ALIKE, hub_rounds, tile, nearest_rounds, SIGNATURE_BITS)
     key = ["doc_id", "t"]
     prints = scanned.select(*key, "node")
     order = F.struct(F.col("doc_id").isNull().alias("none"), *key, "node")
