@@ -17,12 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.graph import small
 from docloom.llm.once import computed, written
 from docloom.session import cut_lineage
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
-TRAIN_DOCS = 4_000
 VOCABULARY = 2_000
 LEAST_DOCS = 5
 STEPS = 20
@@ -37,18 +37,18 @@ def words_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> dict:
     """Log-odds of each domain against clean: a prior, and whole-number weights of the most telling words.
 
-    Learned from at most ``train_docs`` labelled documents, chosen by hashed id. Labels with a null are left
+    Learned from every labelled document; words are counted where they lie. Labels with a null are left
     out; quality 0 makes a document low, else toxic 1 makes it toxic. A domain of fewer than ``LEAST_DOCS`` labelled
     documents can't be learned: no document belongs to it.
     """
     domain = F.when(F.col("quality") == 0, 1).when(F.col("toxic") == 1, 2).otherwise(0)
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(domain).alias("domain"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", F.array_distinct(words_of(F.col("text"))).alias("words")))
-    sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
+    marked = small(cut_lineage(marked))
+    sizes = {r.domain: r["count"] for r in docs.select("doc_id").join(marked, "doc_id").groupBy("domain").count().collect()}
+    rows = docs.select("doc_id", "text").join(marked, "doc_id").select("domain", F.array_distinct(words_of(F.col("text"))).alias("words"))
     n = [sizes.get(k, 0) for k in range(3)]
     taught = [k for k in (1, 2) if n[k] >= LEAST_DOCS and n[0] >= LEAST_DOCS]
     if not taught:

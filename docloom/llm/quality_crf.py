@@ -2,8 +2,9 @@
 
 Every line is labelled good or bad from its own features and those of the lines next to it; the
 forward-backward marginals of "good", weighted by line length, add up to the document's quality. The
-field is trained on the driver from the features of every line of at most ``train_docs`` labelled documents;
-scoring covers every line of every text, one partition at a time.
+field is trained on every line of every labelled document: they are dealt to blocks of about ``block_docs``, a task
+fits the field of a block, and the blocks' weights are averaged by their documents. Scoring covers every line of
+every text, one partition at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 3_000
+from docloom.llm.graph import small
+from docloom.llm.once import written
+from docloom.session import cut_lineage
+
+BLOCK_DOCS, BLOCK_LINES = 3_000, 200_000
 AREA = 40_000  # lines, with padding, that are worked on at a time
 HELD_OUT_OF, HELD_OUT = 4, 2
 ACCEPT = 0.7
@@ -114,15 +119,18 @@ class LineField:
         self.weights, self.moves, self.centre, self.scale = weights, moves, centre, scale
 
     @classmethod
-    def fit(cls, parts: list[np.ndarray], labels: np.ndarray, rounds: int = 120, rate: float = 0.08, decay: float = 2e-3) -> LineField:
-        """Maximises the likelihood of the lines' labels (each line has its document's) by Adam, full batch."""
+    def fit(cls, parts: list[np.ndarray], labels: np.ndarray, rounds: int = 120, rate: float = 0.08, decay: float = 2e-3, scaling: tuple | None = None, share: np.ndarray | None = None) -> LineField:
+        """Maximises the likelihood of the lines' labels (each line has its document's) by Adam, full batch.
+
+        ``scaling`` (centre and scale of the features) and ``share`` of each label are the parts' own, or those of all that the parts are a block of.
+        """
         width = 1 + 3 * N_FEATURES
         weights, moves = np.zeros((width, 2)), np.zeros((2, 2))
         if not parts:
             return cls(weights, moves, np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32))
         every = np.vstack(parts)
-        centre, scale = every.mean(0), every.std(0) + 1e-3
-        share = np.bincount(labels, minlength=2) / len(labels)
+        centre, scale = scaling or (every.mean(0), every.std(0) + 1e-3)
+        share = np.bincount(labels, minlength=2) / len(labels) if share is None else share
         of_doc = 0.5 / np.maximum(share, 1e-6)[labels] / np.array([len(p) for p in parts]) / len(labels)  # classes and documents weigh alike
         groups = []
         for rows in batches_of([len(p) for p in parts]):
@@ -177,31 +185,58 @@ def remainder(doc_id, of: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineField:
-    """Fits the field on at most ``train_docs`` labelled rows outside the held-out fold, chosen by hashed id.
+def train(docs: DataFrame, labels: DataFrame, block_docs: int = BLOCK_DOCS, block_lines: int = BLOCK_LINES) -> LineField:
+    """Fits the field on all labelled rows outside the held-out fold.
 
-    Labels null in either column are left out; of several labels of one id the largest counts, and of several
-    texts of one id the one that is least by hash. With no labelled document at all every score is 0.5.
+    They are dealt by hashed id to blocks of about ``block_docs`` rows and ``block_lines`` lines, each fitted by one task with the
+    scaling and the balance of labels of all; the field is the mean of the blocks' weights by documents. Labels null in either
+    column are left out; of several labels of one id the largest counts, and of several texts of one id the one that is
+    least by hash. With no labelled document at all every score is 0.5.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT))
         .groupBy("doc_id")
-        .agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(train_docs)
+        .agg((F.max("quality") > 0).cast("int").alias("quality"))
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(small(cut_lineage(chosen)), "doc_id").select("doc_id", "quality", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = [line_features(t or "")[0] for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "quality": pdf.quality, "features": [p.tobytes() for p in parts]})
 
+    def lines(features: bytes) -> np.ndarray:
+        return np.frombuffer(features, np.float32).reshape(-1, N_FEATURES)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, good, docs = np.zeros((2, 1 + N_FEATURES)), 0, 0
+        for pdf in batches:
+            for part in map(lines, pdf.features):
+                sums += [np.append(x.sum(0), len(x)) for x in (part.astype(np.float64), part.astype(np.float64) ** 2)]
+            good, docs = good + int(pdf.quality.sum()), docs + len(pdf)
+        yield pd.DataFrame({"docs": [docs], "good": [good], "sums": [sums.ravel().tolist()]})
+
     every = rows.mapInPandas(features, "doc_id long, quality int, features binary")
-    found = every.groupBy("doc_id").agg(F.min_by(F.struct("quality", "features"), F.xxhash64("features")).alias("x")).select("doc_id", "x.*").collect()
-    found.sort(key=lambda r: r.doc_id)
-    parts = [np.frombuffer(r.features, np.float32).reshape(-1, N_FEATURES) for r in found]
-    return LineField.fit(parts, np.array([int(r.quality > 0) for r in found], dtype=np.int64))
+    found = written(every.groupBy("doc_id").agg(F.min_by(F.struct("quality", "features"), F.xxhash64("features")).alias("x")).select("doc_id", "x.*"))
+    told = found.select("quality", "features").mapInPandas(moments, "docs long, good long, sums array<double>")
+    n, good, *sums = told.agg(F.sum("docs"), F.sum("good"), *(F.sum(F.get("sums", F.lit(i))) for i in range(2 * (1 + N_FEATURES)))).first()
+    if not n:
+        return LineField.fit([], np.zeros(0, np.int64))
+    first, second = np.array(sums).reshape(2, -1)
+    n_lines, centre = first[-1], first[:-1] / first[-1]
+    scale = np.sqrt(np.maximum(second[:-1] / n_lines - centre**2, 0.0)) + 1e-3
+    scaling, share = (centre.astype(np.float32), scale.astype(np.float32)), np.array([n - good, good]) / n
+    blocks = max(-(-n // block_docs), -(-int(n_lines) // block_lines))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        field = LineField.fit([*map(lines, pdf.features)], pdf.quality.to_numpy(np.int64), scaling=scaling, share=share)
+        return pd.DataFrame({"block": pdf.block[:1], "docs": [len(pdf)], "weights": [np.append(field.weights, field.moves).tolist()]})
+
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    fitted = sorted(dealt.groupBy("block").applyInPandas(learn, "block long, docs long, weights array<double>").collect())  # a field is a hundred numbers
+    mean = np.average([r.weights for r in fitted], axis=0, weights=[r.docs for r in fitted])
+    return LineField(mean[:-4].reshape(-1, 2), mean[-4:].reshape(2, 2), *scaling)
 
 
 def classify(docs: DataFrame, field: LineField) -> DataFrame:

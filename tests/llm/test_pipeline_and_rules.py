@@ -116,6 +116,20 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.93 * len(rows)
 
 
+def test_every_labelled_document_teaches(spark):
+    docs = spark.createDataFrame([(i, "\n".join([f"### $$ {i} !!"] * 4) if i % 2 else f"the words of a plain line of text number {i} go on") for i in range(60)], "doc_id long, text string")
+    marks = [(i, 1 - i % 2, 0) for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    shape = "doc_id long, quality int, toxic int"
+    field = quality_crf.train(docs, spark.createDataFrame(marks, shape), 8)
+    scores = field.score([r.text for r in docs.orderBy("doc_id").collect()])
+    assert (scores[::2] > 0.9).all() and (scores[1::2] < 0.1).all()
+    for i in range(0, len(marks), 12):  # one more or less is told from the others
+        less = quality_crf.train(docs, spark.createDataFrame(marks[:i] + marks[i + 1 :], shape), 8)
+        assert not np.allclose(less.weights, field.weights, atol=1e-9)
+    lines = quality_crf.train(docs, spark.createDataFrame(marks, shape), 1_000, 40).score(["### $$ 1 !!\n### $$ 1 !!", "the words of a plain line of text"])
+    assert lines[0] < 0.5 < lines[1]
+
+
 def test_classifier_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == pytest.approx(0.5) for r in quality_crf.classify(odd, quality_crf.train(odd, none)).collect())
