@@ -1,11 +1,16 @@
-"""Reservations as keyed state: reserved, then settled, released or, after half an hour, given back by a timer."""
+"""Reservations as keyed state: reserved, then settled, released or, after half an hour, given back.
+
+``histories`` keeps each entry's events as the keyed state of a native streaming aggregation, and ``told`` folds them in order of
+time; what is due by the clock of event time is given back when the moves are read. ``transitions`` is for streams that
+stay up: a timer tells a release when it falls due, at the price of a call to Python for each entry.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,18 +81,68 @@ def balances(moves: DataFrame) -> DataFrame:
     return last.groupBy("owner").agg(total(status == "RESERVED").alias("reserved"), total(status == "SETTLED").alias("spent"), total(status == "RELEASED").alias("released"), F.count_if(F.col("reason") == "STALE").alias("stale"))
 
 
-def run(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, late: str = "0 seconds") -> DataFrame:
-    """Runs ``transitions`` over all that is there and gives every transition so far; a later call with the same folders goes on from there."""
+def histories(events: DataFrame) -> DataFrame:
+    """(entry_id, events) as a stream of updates: all events of each entry that a batch touches. ``events`` and null ids as in ``transitions``."""
+    rank = F.when(F.col("event") == "RESERVE", 0).otherwise(1)
+    return events.where("entry_id IS NOT NULL").groupBy("entry_id").agg(F.collect_list(F.struct("at", rank.alias("rank"), "event", "owner", "amount")).alias("events"))
+
+
+def told(held: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(entry_id, owner, amount, status, reason, seq) of every transition in the histories ``held`` (entry_id, events, batch), of which an entry's last counts.
+
+    Events are taken in order of time, a reservation before what ends it and then by name, so neither batches nor their order matter. The
+    clock is the latest event of all, less ``late``; a reservation open for longer than ``STALE_SECONDS`` by then is released.
+    """
+    stale = F.expr(f"INTERVAL {STALE_SECONDS} SECONDS")
+    kinds = "owner long, amount long, status string, reason string, seq long"
+    clock = held.agg(F.max(F.array_max(F.transform("events", lambda x: x["at"]))).alias("clock")).select((F.col("clock") - F.expr(f"INTERVAL {late}")).alias("clock"))
+    last = held.groupBy("entry_id").agg(F.max_by("events", "batch").alias("events")).join(F.broadcast(clock))
+    none = F.array().cast(f"array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>")
+    begin = F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("owner", "long"), ("amount", "long"), ("created", "timestamp"), ("status", "string"))), F.lit(0).cast("long").alias("seq"), none.alias("moves"))
+
+    def move(owner: Column, amount: Column, status: Column | str, reason: Column | str, seq: Column) -> Column:
+        named = {"owner": owner, "amount": amount, "status": status, "reason": reason, "seq": seq}
+        return F.array(F.struct(*((F.lit(x) if isinstance(x, str) else x).alias(c) for c, x in named.items())))
+
+    def due(s: Column, at: Column) -> Column:
+        return F.coalesce((s["status"] == "RESERVED") & (at > s["created"] + stale), F.lit(False))
+
+    def given_back(s: Column, at: Column) -> Column:
+        seq = s["seq"] + 1
+        moves = F.concat(s["moves"], move(s["owner"], s["amount"], "RELEASED", "STALE", seq))
+        back = F.struct(s["owner"].alias("owner"), s["amount"].alias("amount"), s["created"].alias("created"), F.lit("RELEASED").alias("status"), seq.alias("seq"), moves.alias("moves"))
+        return F.when(due(s, at), back).otherwise(s)
+
+    def moved(s: Column, x: Column) -> Column:
+        opens = (x["event"] == "RESERVE") & s["status"].isNull()
+        ends = x["event"].isin("SETTLE", "RELEASE") & F.coalesce(s["status"] == "RESERVED", F.lit(False))
+        owner, amount, created = (F.when(opens, x[new].cast(t)).otherwise(s[c]) for new, c, t in (("owner", "owner", "long"), ("amount", "amount", "long"), ("at", "created", "timestamp")))
+        status = F.when(opens, "RESERVED").when(x["event"] == "SETTLE", "SETTLED").otherwise("RELEASED")
+        seq = s["seq"] + 1
+        moves = F.concat(s["moves"], move(owner, amount, status, x["event"], seq))
+        onward = F.struct(owner.alias("owner"), amount.alias("amount"), created.alias("created"), status.alias("status"), seq.alias("seq"), moves.alias("moves"))
+        return F.when(opens | ends, onward).otherwise(s)
+
+    def once(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    folded = F.aggregate(F.sort_array("events"), begin, lambda s, x: once(given_back(s, x["at"]), lambda b: moved(b, x)), lambda s: given_back(s, F.col("clock"))["moves"])
+    return last.select("entry_id", F.inline(folded))
+
+
+def run(spark: SparkSession, events: DataFrame, out: str, checkpoint: str, late: str = "0 seconds", timers: bool = False) -> DataFrame:
+    """Every transition of all that is there so far, by ``histories`` or, with ``timers``, by ``transitions``; a later call with the same folders goes on from there."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKS)  # keyed state with timers needs it; other streams keep theirs
+    spark.conf.set(provider, ROCKS)  # other streams keep theirs
     try:
-        stream = transitions(events, late).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        stream.awaitTermination()
+        rows, mode = (transitions(events, late), "append") if timers else (histories(events), "update")
+        rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return spark.read.parquet(out).drop("batch")
+    held = spark.read.parquet(out)
+    return held.drop("batch") if timers else told(held, late)

@@ -103,3 +103,22 @@ def test_the_ledger_goes_on_after_a_restart(spark, tmp_path):
     assert got == [(7, 0, 20, 40, 1), (8, 0, 40, 0, 0), (9, 150, 0, 60, 1)]
     once = ledger.run(spark, spark.readStream.schema(shape).parquet(str(tmp_path / "in")), str(tmp_path / "out2"), str(tmp_path / "state2"))
     assert sorted(map(tuple, ledger.balances(once).collect())) == got
+
+
+def test_the_ledger_doesnt_mind_the_order_of_batches(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(1, 7, "RESERVE", 10, 0), (1, 7, "SETTLE", 10, 5), (2, 7, "RESERVE", 20, 1), (2, 7, "RELEASE", 20, 31), (3, 8, "SETTLE", 30, 2), (3, 8, "RESERVE", 30, 3), (4, 8, "RESERVE", 40, 2), (4, 8, "SETTLE", 40, 33), (4, 8, "RESERVE", 41, 34), (5, 9, "RESERVE", 50, 30)]
+    shape = "entry_id long, owner long, event string, amount long, at timestamp"
+    frame = spark.createDataFrame([(*r[:4], t0 + dt.timedelta(minutes=r[4])) for r in rows], shape)
+    moves = {}
+    for name, parts in (("once", [frame]), ("apart", [frame.where("event <> 'RESERVE'"), frame.where("event = 'RESERVE'")]), ("timers", [frame])):
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            events = spark.readStream.schema(shape).parquet(str(tmp_path / name / "in"))
+            found = ledger.run(spark, events, str(tmp_path / name / "out"), str(tmp_path / name / "state"), timers=name == "timers")
+        moves[name] = sorted(map(tuple, found.select("entry_id", "owner", "amount", "status", "reason", "seq").collect()))
+    assert moves["once"] == moves["apart"] == moves["timers"]
+    assert moves["once"] == [
+        (1, 7, 10, "RESERVED", "RESERVE", 1), (1, 7, 10, "SETTLED", "SETTLE", 2), (2, 7, 20, "RELEASED", "RELEASE", 2), (2, 7, 20, "RESERVED", "RESERVE", 1), (3, 8, 30, "RELEASED", "STALE", 2), (3, 8, 30, "RESERVED", "RESERVE", 1),
+        (4, 8, 40, "RELEASED", "STALE", 2), (4, 8, 40, "RESERVED", "RESERVE", 1), (5, 9, 50, "RESERVED", "RESERVE", 1),
+    ]
